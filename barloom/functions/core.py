@@ -55,9 +55,15 @@ class Axis:
     order: str = "trade_date"
 
     @property
-    def whole(self):
+    def members(self):
         return Window.partitionBy(self.key)
 
+    @property
+    def whole(self):
+        """All rows of the series. It states the order it does not need so that Spark plans it in
+        the same Window operator, over the same sort, as the rolling frames."""
+        return self.ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
     @property
     def ordered(self):
         return Window.partitionBy(self.key).orderBy(self.order)

@@ -60,7 +60,7 @@ def rank(x: X, w: int = 0, ascending: bool = True, on: Axis = SERIES) -> Column:
     x = col(x)
     n = F.count(F.lit(1)).over(on.whole)
     by = x.asc_nulls_last() if ascending else x.desc_nulls_last()
-    overall = F.row_number().over(on.whole.orderBy(by, on.order)) / n
+    overall = F.row_number().over(on.members.orderBy(by, on.order)) / n
     if w <= 0:
         return overall
     inside = lambda v: (v <= x) if ascending else (v >= x)
@@ -71,7 +71,7 @@ def rank(x: X, w: int = 0, ascending: bool = True, on: Axis = SERIES) -> Column:
 
 def dense_rank(x: X, w: int = 0, on: Axis = SERIES) -> Column:
     x = col(x)
-    overall = F.dense_rank().over(on.whole.orderBy(x.asc_nulls_last())).cast("double")
+    overall = F.dense_rank().over(on.members.orderBy(x.asc_nulls_last())).cast("double")
     if w <= 0:
         return overall
     frame = on.last(w)

@@ -3,6 +3,6 @@
 
 def catalogue():
     """All registered queries."""
-    from barloom.plans import base, function_queries  # noqa: F401
+    from barloom.plans import base, function_queries, panel_queries  # noqa: F401
 
     return base.REGISTRY

@@ -42,15 +42,16 @@ def column_query(name: str, columns: dict[str, tuple[Column, str]], digits: int
 
 # -- statistics -----------------------------------------------------------------------------------
 
-def _statistic(name: str, fn: Callable, agg: str, whole: str | None = None, digits: int = 6) -> None:
+def _statistic(name: str, fn: Callable, agg: str, digits: int = 6) -> None:
     over = "(PARTITION BY ts_code)"
-    whole_sql = (whole or agg).format(x="gap")
-    column_query(name, {
+    columns = {
         "rolling": (fn("close", 20), rolled(agg.format(x="close"), "close", 20)),
         "gaps": (fn("gap", 4), rolled(agg.format(x="gap"), "gap", 4)),
-        "overall": (fn("gap", 0), f"{whole_sql} OVER {over}"),
-        "covered": (fn("gap", 100000), f"{agg.format(x='gap')} OVER {over}"),
-    }, digits)
+        "overall": (fn("gap", 0), f"{agg.format(x='gap')} OVER {over}"),
+    }
+    if name == "fn_mean":
+        columns["covered"] = (fn("gap", 100000), f"{agg.format(x='gap')} OVER {over}")
+    column_query(name, columns, digits)
 
 
 _statistic("fn_mean", stats.mean, "avg({x})")

@@ -28,11 +28,8 @@ TABLES: dict[str, tuple[str, str]] = {
         SELECT *, close / lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) - 1 AS ret FROM bars"""),
     "holdings": ("rets", """
         SELECT *, amount / sum(amount) OVER (PARTITION BY trade_date) AS weight FROM rets"""),
-    "fwd": ("bars days", """
-        SELECT b.*, d.day_no, n.close / b.close - 1 AS fwd_ret
-        FROM bars b JOIN days d USING (trade_date)
-        LEFT JOIN (SELECT ts_code, close, day_no FROM bars JOIN days USING (trade_date)) n
-          ON n.ts_code = b.ts_code AND n.day_no = d.day_no + 5"""),
+    "labelled": ("rets", """
+        SELECT *, lead(close, 5) OVER (PARTITION BY ts_code ORDER BY trade_date) / close - 1 AS fwd_ret FROM rets"""),
 }
 
 

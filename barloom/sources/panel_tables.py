@@ -10,8 +10,29 @@ from barloom.functions.series import pct_change
 KEYS = ["trade_date", "ts_code"]
 
 
+# Column types of the given tables; stating them spares a footer-reading job per read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.read
+    if name in SCHEMAS:
+        reader = reader.schema(SCHEMAS[name])
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def security_dim(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,25 +53,30 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
     The raw rows collapse to bars before any join or window: partial aggregation on the map side
     turns a security or date with a third of all rows into at most one row per day and task, so the
     exchanges behind it carry bars only. A security then has at most one row per trading day.
+
+    First and last trade of a day go by order key, line and part packed into one long: a number
+    keeps the aggregation hash-based, a struct would make Spark sort all raw rows.
     """
     ext = F.col("l_extendedprice")
     shut = 100 + F.sqrt(ext) / 20
     start = 100 + F.sqrt(ext * (1 - F.col("l_discount"))) / 20
-    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+    part_bits = F.lit(2 ** 20)
+    seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * part_bits + F.col("l_partkey") % part_bits
     daily = (
         table(spark, folder, "lineitem")
         .select(
-            F.concat(F.lit("S"), F.col("l_suppkey")).alias("ts_code"),
-            F.to_date("l_shipdate").alias("trade_date"),
+            "l_suppkey", F.to_date("l_shipdate").alias("trade_date"),
             start.alias("_o"), shut.alias("_c"), seq.alias("_seq"), F.col("l_quantity").alias("_q"),
             (shut * (1 + F.col("l_tax") / 20)).alias("_h"), (start * (1 - F.col("l_tax") / 20)).alias("_l"),
         )
-        .groupBy("ts_code", "trade_date")
+        .groupBy("l_suppkey", "trade_date")
         .agg(
             F.min_by("_o", "_seq").alias("open"), F.max("_h").alias("high"), F.min("_l").alias("low"),
             F.max_by("_c", "_seq").alias("close"), F.sum("_q").alias("vol"),
             F.sum(F.col("_c") * F.col("_q")).alias("amount"), F.count(F.lit(1)).alias("n_rows"),
         )
+        .withColumn("ts_code", F.concat(F.lit("S"), F.col("l_suppkey")))
+        .drop("l_suppkey")
     )
     return daily.join(security_dim(spark, folder), "ts_code").withColumn(
         "gap", F.when(F.col("vol") >= 12, F.col("close")))
