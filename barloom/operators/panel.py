@@ -95,9 +95,8 @@ def forward_returns_on_calendar(panel: DataFrame, periods: tuple[int, ...] = (1,
     so the rectangular grid is never built. One row per bar.
     """
     cal = calendar(panel)
-    numbered = panel.join(cal, "trade_date").join(
-        cal.agg(F.max("day_no").alias("_last")).select(F.lit(0).alias("_k"), "_last").hint("broadcast"),
-        F.lit(0) == F.col("_k")).drop("_k")
+    numbered = panel.join(cal, "trade_date")
+    newest = cal.agg(F.max("day_no")).scalar()
     series = Window.partitionBy("ts_code").orderBy("day_no")
 
     def at(k: int) -> Column:
@@ -105,7 +104,7 @@ def forward_returns_on_calendar(panel: DataFrame, periods: tuple[int, ...] = (1,
         return F.when(F.col("day_no") + k <= F.col("_last"), known)
 
     named = {f"ret_{p}d": ratio(at(purge + p), at(purge)) - 1 for p in periods}
-    return numbered.withColumns(named).dropna("all", subset=list(named)).drop("_last")
+    return numbered.withColumn("_last", newest).withColumns(named).dropna("all", subset=list(named)).drop("_last")
 
 
 def align_factor(panel: DataFrame, factor: DataFrame, fill: float | None = 0.0) -> DataFrame:

@@ -158,7 +158,7 @@ def trade_calendar(spark, folder):
     SELECT code || '_technical_' || stamp AS id, 'agent_decisions' AS collection,
            '股票:' || code || ' Agent:technical 信号:' || l_returnflag || ' 置信度:' || l_linenumber || ' 分析:'
            || substr(repeat(l_linestatus || '-' || l_returnflag || ' ', 60), 1, 200) AS document,
-           code AS stock_code, NULL AS prediction FROM r
+           code AS stock_code, CAST(NULL AS VARCHAR) AS prediction FROM r
     UNION ALL
     SELECT 'reflection_' || code || '_' || stamp, 'reflections',
            '预测:' || l_returnflag || ' → 实际:' || l_linestatus || ' | 教训:none', code, l_returnflag FROM r""")
@@ -258,17 +258,17 @@ def panel_build(spark, folder):
 
 
 def with_adjustment(b):
-    return panel.adjusted(b.withColumn("adj_factor", 1 + F.col("vol") / 100))
+    return panel.adjusted(b.withColumn("adj_factor", 1 + F.col("vol") / 97))
 
 
-@query("adj_prices", KEY + " open_adj:9 high_adj:9 low_adj:9 close_adj:9", uses="bars", sql="""
+@query("adj_prices", KEY + " open_adj:6 high_adj:6 low_adj:6 close_adj:6", uses="bars", sql="""
     SELECT trade_date, ts_code, open * f AS open_adj, high * f AS high_adj, low * f AS low_adj, close * f AS close_adj
-    FROM (SELECT *, 1 + vol / 100 AS f FROM bars)""")
+    FROM (SELECT *, 1 + vol / 97 AS f FROM bars)""")
 def adj_prices(spark, folder):
     return with_adjustment(bars(spark, folder))
 
 
-@query("price_matrix", KEY + " value:6", uses="bars", sql="SELECT trade_date, ts_code, close * (1 + vol / 100) AS value FROM bars")
+@query("price_matrix", KEY + " value:6", uses="bars", sql="SELECT trade_date, ts_code, close * (1 + vol / 97) AS value FROM bars")
 def price_matrix(spark, folder):
     return panel.price_cells(with_adjustment(bars(spark, folder)))
 
