@@ -11,6 +11,7 @@ from barloom.functions.core import or_zero, pearson, ratio
 from barloom.operators.evaluate import daily_ic
 from barloom.operators.factor import overall_rank
 from barloom.operators.panel import calendar
+from barloom.session import scratch_table
 
 # Columns that are never features, and the thresholds of monitoring.
 NOT_FEATURES = {"ts_code", "trade_date", "industry", "circ_mv", "log_mv", "fwd_ret_5d"}
@@ -148,17 +149,21 @@ def train_trees(train: DataFrame, features: list[str], label: str, rounds: int =
 def walk_forward(df: DataFrame, features: list[str], label: str, plan: WalkForward = WalkForward(), **tree_args) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions and feature importances of one model per fold.
 
-    The driver loops over folds, which are few; training and scoring are distributed. Folds with too
-    little data are skipped.
+    The driver loops over folds, which are few; training and scoring are distributed. The usable rows
+    are written once to the shared folder, so that a fold reads a Parquet table with its date range
+    pushed down instead of computing all factors again. Folds with too little data are skipped.
     """
     predictions, importances = None, None
-    usable = df.dropna(subset=[*features, label])
+    spark = df.sparkSession
+    path = scratch_table(spark, "training")
+    df.dropna(subset=[*features, label]).write.parquet(path)
+    usable = spark.read.parquet(path)
     for f in fold_table(usable, plan).where((F.col("n_train") >= MIN_TRAIN) & (F.col("n_val") >= MIN_VALIDATE)).orderBy("fold").collect():
         model = train_trees(usable.where(F.col("trade_date") <= F.lit(f["train_end"])), features, label, **tree_args)
         val = usable.where((F.col("trade_date") > F.lit(f["val_after"])) & (F.col("trade_date") <= F.lit(f["val_until"])))
         scored = model.transform(_assembled(val, features, label)).select(
             "trade_date", "ts_code", F.lit(f["fold"]).alias("fold"), label, "prediction")
-        gains = df.sparkSession.createDataFrame(
+        gains = spark.createDataFrame(
             [(f["fold"], n, float(g)) for n, g in zip(features, model.featureImportances.toArray())], "fold int, feature string, gain double")
         predictions = scored if predictions is None else predictions.unionByName(scored)
         importances = gains if importances is None else importances.unionByName(gains)
