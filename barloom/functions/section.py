@@ -4,9 +4,10 @@ A date may hold a large part of all rows, so no function here gathers a date in
 
 * means, deviations and extremes come from a ``groupBy`` with map-side partial sums, joined back;
   the joined side has one row per date, and AQE broadcasts it when its measured size allows;
-* ranks first collapse equal values, then cut each date's value range into slices that are ranked
-  apart and shifted by the size of the slices below. The cut points follow from the exact minimum
-  and maximum, so the answer is exact whatever the distribution.
+* ranks cut each date's values into slices that are ranked apart and shifted by the row counts of the
+  slices below. A slice is a function of the value alone (its binary order of magnitude and the
+  leading part of its mantissa), so it needs no pass for cut points and is the same wherever it is
+  computed. The answer is exact whatever the distribution; the slices only spread the work.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .core import or_zero, ratio
 
-SLICES = 16
+PER_OCTAVE = 64
+_NULL_SLICE = 2 ** 40
+_NULL_SPREAD = 64
 
 
 def with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
@@ -24,53 +27,64 @@ def with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*by).agg(*(c.alias(n) for n, c in aggs.items())), by, "left")
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, slices: int = SLICES) -> DataFrame:
-    """One row per group and distinct non-NULL value: ``n_less``, ``n_equal``, ``n_total``."""
-    v, eq = F.col(value), F.col("n_equal")
-    distinct = df.where(v.isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    bounds = distinct.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.sum(eq).alias("n_total"))
-    place = or_zero(ratio(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))) * slices
-    cut = distinct.join(bounds, by).withColumn("_slice", F.floor(place).cast("int")).drop("_lo", "_hi")
-    below = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*by, "_slice")
-        .agg(F.sum(eq).alias("_n"))
-        .select(*by, "_slice", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
-    )
-    inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        cut.withColumn("_inside", F.coalesce(F.sum(eq).over(inside), F.lit(0)))
-        .join(offsets, [*by, "_slice"])
-        .select(*by, value, (F.col("_below") + F.col("_inside")).alias("n_less"), "n_equal", "n_total")
-    )
-
-
-def with_ranks(df: DataFrame, by: list[str], value: str, slices: int = SLICES) -> DataFrame:
-    """Rows with ``n_less``, ``n_equal`` and ``n_total`` of their value (NULL for a NULL value)."""
-    return df.join(value_ranks(df, by, value, slices), [*by, value], "left")
+def slice_of(v: Column, per_octave: int = PER_OCTAVE) -> Column:
+    """Number of a value's slice; never falls as the value grows.
+
+    Rounding in the logarithm may move a power of two one exponent up or down; the mantissa part then
+    overflows into the same slice number, so the order holds.
+    """
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    part = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * per_octave)
+    number = (exponent + 1100) * per_octave + part + 1
+    return F.when(v == 0, F.lit(0)).otherwise((F.signum(v) * number).cast("long"))
+
+
+def with_ranks(df: DataFrame, by: list[str], value: str, tie: str | None = None, per_octave: int = PER_OCTAVE) -> DataFrame:
+    """Add ``n_less``, ``n_upto`` (values not above), ``n_total`` (values) and ``n_rows`` of the group.
+
+    With ``tie`` also ``place``, the ordinal position with ties in that order and NULLs last. The join
+    with the slice offsets and the window inside the slices use the same keys: one exchange.
+    """
+    last = F.lit(_NULL_SLICE)
+    if tie is None:  # NULLs need no order among themselves, so they spread
+        last = last + F.pmod(F.xxhash64(*df.columns), F.lit(_NULL_SPREAD))
+    cut = df.withColumn("_k", F.coalesce(slice_of(F.col(value), per_octave), last))
+    group = Window.partitionBy(*by)
+    n = F.col("_n")
+    offsets = cut.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_k",
+        F.coalesce(F.sum(n).over(group.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"),
+        or_zero(F.sum(F.when(F.col("_k") < _NULL_SLICE, n)).over(group)).alias("n_total"), F.sum(n).over(group).alias("n_rows"))
+    inside = Window.partitionBy(*by, "_k")
+    known = F.col(value).isNotNull()
+    ranked = cut.join(offsets, [*by, "_k"])
+    below = F.col("_below")
+    out = {"n_less": F.when(known, below + F.rank().over(inside.orderBy(value)) - 1),
+           "n_upto": F.when(known, below + F.count(F.lit(1)).over(inside.orderBy(value)))}
+    if tie is not None:
+        out["place"] = below + F.row_number().over(inside.orderBy(value, tie))
+    return ranked.withColumns(out).drop("_k", "_below")
+
+
+_RANK_COLUMNS = ("n_less", "n_upto", "n_total", "n_rows")
 
 
 def average_rank() -> Column:
     """Average-tie rank from the columns of ``with_ranks``."""
-    return F.col("n_less") + (F.col("n_equal") + 1) / 2
+    return (F.col("n_less") + F.col("n_upto") + 1) / 2
 
 
-def pct_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, slices: int = SLICES) -> DataFrame:
+def pct_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Average-tie rank divided by the number of values; NULLs stay NULL and do not count."""
-    by = by or ["trade_date"]
-    ranked = with_ranks(df, by, value, slices).withColumn(out, average_rank() / F.col("n_total"))
-    return ranked.drop("n_less", "n_equal", "n_total")
+    ranked = with_ranks(df, by or ["trade_date"], value)
+    return ranked.withColumn(out, average_rank() / F.col("n_total")).drop(*_RANK_COLUMNS)
 
 
-def ordinal_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, tie: str = "ts_code",
-                 slices: int = SLICES) -> DataFrame:
+def ordinal_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, tie: str = "ts_code") -> DataFrame:
     """Ordinal rank divided by the row count; ties by ``tie``, NULLs last and counted."""
-    by = by or ["trade_date"]
-    ties = Window.partitionBy(*by, value).orderBy(tie)
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known"))
-    ranked = with_ranks(df.withColumn("_tie", F.row_number().over(ties)), by, value, slices).join(n, by)
-    place = F.coalesce(F.col("n_less"), F.col("_known")) + F.col("_tie")
-    return ranked.withColumn(out, place / F.col("_n")).drop("n_less", "n_equal", "n_total", "_n", "_known", "_tie")
+    ranked = with_ranks(df, by or ["trade_date"], value, tie)
+    return ranked.withColumn(out, F.col("place") / F.col("n_rows")).drop(*_RANK_COLUMNS, "place")
 
 
 def zscore(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
@@ -85,22 +99,33 @@ def scale(df: DataFrame, value: str, out: str, a: float = 1.0, b: float = 0.0, b
     return x.withColumn(out, mapped).drop("_lo", "_hi")
 
 
-def group_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str, slices: int = SLICES) -> DataFrame:
+def group_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str, per_octave: int = PER_OCTAVE) -> DataFrame:
     """Linearly interpolated quantile per group, read off the ranks instead of a per-group list."""
-    at = F.col("n_total").cast("double")
-    at = (at - 1) * q
-    lo, less, upto = F.floor(at), F.col("n_less"), F.col("n_less") + F.col("n_equal")
-    v, frac = F.col(value), at - lo
-    here = value_ranks(df, by, value, slices)
-    low = F.max(F.when((less <= lo) & (lo < upto), v))
-    high = F.max(F.when((less <= lo + 1) & (lo + 1 < upto), v))
-    found = here.groupBy(*by).agg(low.alias("_l"), high.alias("_h"), F.max(frac).alias("_f"))
+    at = (F.col("n_total").cast("double") - 1) * q
+    lo, v, frac = F.floor(at), F.col(value), at - F.floor(at)
+    covers = lambda i: (F.col("n_less") <= i) & (i < F.col("n_upto"))
+    ranked = with_ranks(df.select(*by, value).where(v.isNotNull()), by, value, per_octave=per_octave)
+    found = ranked.groupBy(*by).agg(
+        F.max(F.when(covers(lo), v)).alias("_l"), F.max(F.when(covers(lo + 1), v)).alias("_h"), F.max(frac).alias("_f"))
     value_at = F.col("_l") + F.when(F.col("_f") > 0, F.col("_f") * (F.col("_h") - F.col("_l"))).otherwise(0.0)
     return found.select(*by, value_at.alias(out))
 
 
-def demedian(df: DataFrame, value: str, out: str, by: list[str] | None = None, slices: int = SLICES) -> DataFrame:
+def demedian(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Distance from the cross-section median."""
     by = by or ["trade_date"]
-    mid = group_quantile(df, by, value, 0.5, "_mid", slices)
+    mid = group_quantile(df, by, value, 0.5, "_mid")
     return df.join(mid, by, "left").withColumn(out, F.col(value) - F.col("_mid")).drop("_mid")
+
+
+def rank_sum(df: DataFrame, signs: dict[str, float], out: str, by: str = "trade_date", key: str = "ts_code") -> DataFrame:
+    """(by, key, out): signed sum of the percentile ranks of several columns, NULL if one is NULL.
+
+    The columns become rows first, so all are ranked in one pass over the table.
+    """
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("_name"), F.col(n).cast("double").alias("_v"), F.lit(float(w)).alias("_w"))
+                                for n, w in signs.items())))
+    long = df.select(by, key, cells.alias("_c")).select(by, key, "_c.*")
+    ranked = pct_rank(long, "_v", "_r", [by, "_name"])
+    return ranked.groupBy(by, key).agg(
+        F.when(F.count("_r") == len(signs), F.sum(F.col("_w") * F.col("_r"))).alias(out))

@@ -30,12 +30,10 @@ def ic(df: DataFrame, factor: str, rets: list[str], by: str = "ts_code", train_e
 def series_rank(x: Column, on: Axis, keep: Column) -> Column:
     """Average-tie rank inside each series among the rows where ``keep`` holds.
 
-    Rising and falling ranks average out ties and share the exchange by series.
+    Rows below and rows not above come from the same sort, and all ranks share the exchange by series.
     """
-    part = Window.partitionBy(on.key, keep)
-    n = F.count(F.lit(1)).over(part)
-    up, down = F.rank().over(part.orderBy(x.asc())), F.rank().over(part.orderBy(x.desc()))
-    return F.when(keep, (up + n + 1 - down) / 2)
+    order = Window.partitionBy(on.key, keep).orderBy(x)
+    return F.when(keep, (F.rank().over(order) + F.count(F.lit(1)).over(order)) / 2)
 
 
 def rank_ic(df: DataFrame, factor: str, rets: list[str], on: Axis = SERIES) -> DataFrame:

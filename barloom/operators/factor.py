@@ -112,9 +112,11 @@ def corr_matrix(df: DataFrame, factors: list[str], method: str = "pearson") -> D
     return out
 
 
-def overall_rank(df: DataFrame, value: str, out: str, slices: int = 1024) -> DataFrame:
-    """Average-tie rank over the whole table; needs a constant ``_all`` column."""
-    return with_ranks(df, ["_all"], value, slices).withColumn(out, average_rank()).drop("n_less", "n_equal", "n_total")
+def overall_rank(df: DataFrame, value: str, out: str, per_octave: int = 4096) -> DataFrame:
+    """Average-tie rank over the whole table; needs a constant ``_all`` column. Finer slices than for a
+    date, because there is only one group."""
+    ranked = with_ranks(df, ["_all"], value, per_octave=per_octave)
+    return ranked.withColumn(out, average_rank()).drop("n_less", "n_upto", "n_total", "n_rows")
 
 
 def spreads(df: DataFrame, factors: list[str]) -> DataFrame:

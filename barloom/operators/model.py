@@ -11,7 +11,7 @@ from barloom.functions.core import or_zero, pearson, ratio
 from barloom.operators.evaluate import daily_ic
 from barloom.operators.factor import overall_rank
 from barloom.operators.panel import calendar
-from barloom.session import scratch_table
+from barloom.session import materialize
 
 # Columns that are never features, and the thresholds of monitoring.
 NOT_FEATURES = {"ts_code", "trade_date", "industry", "circ_mv", "log_mv", "fwd_ret_5d"}
@@ -155,9 +155,7 @@ def walk_forward(df: DataFrame, features: list[str], label: str, plan: WalkForwa
     """
     predictions, importances = None, None
     spark = df.sparkSession
-    path = scratch_table(spark, "training")
-    df.dropna(subset=[*features, label]).write.parquet(path)
-    usable = spark.read.parquet(path)
+    usable = materialize(df.dropna(subset=[*features, label]), "training")
     for f in fold_table(usable, plan).where((F.col("n_train") >= MIN_TRAIN) & (F.col("n_val") >= MIN_VALIDATE)).orderBy("fold").collect():
         model = train_trees(usable.where(F.col("trade_date") <= F.lit(f["train_end"])), features, label, **tree_args)
         val = usable.where((F.col("trade_date") > F.lit(f["val_after"])) & (F.col("trade_date") <= F.lit(f["val_until"])))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.core import or_zero, ratio
-from barloom.functions.section import pct_rank
+from barloom.functions.section import rank_sum
 from barloom.operators.panel import TRADING_DAYS
 
 # Trading cost rates and limits.
@@ -90,10 +90,10 @@ def turnover(weights: DataFrame, rebalances: DataFrame, by: Sequence[str] = ())
     """(by, trade_date, turnover): half the absolute weight change on every rebalance after the first."""
     order = Window.partitionBy(F.lit(0)).orderBy("rebalance_date")
     seq = rebalances.withColumn("_seq", F.row_number().over(order))
-    now = weights.join(seq, "rebalance_date").select(*by, "ts_code", "_seq", F.col("weight").alias("_new"), F.lit(0.0).alias("_old"))
-    then = weights.join(seq, "rebalance_date").select(
-        *by, "ts_code", (F.col("_seq") + 1).alias("_seq"), F.lit(0.0).alias("_new"), F.col("weight").alias("_old"))
-    moved = now.unionByName(then).groupBy(*by, "ts_code", "_seq").agg(F.abs(F.sum("_new") - F.sum("_old")).alias("_d"))
+    # each weight counts for its own rebalance and against the next one
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("weight").alias("w")), F.struct(F.lit(1).alias("s"), (-F.col("weight")).alias("w"))))
+    signed = weights.join(seq, "rebalance_date").select(*by, "ts_code", "_seq", sides.alias("_e"))
+    moved = signed.groupBy(*by, "ts_code", (F.col("_seq") + F.col("_e.s")).alias("_seq")).agg(F.abs(F.sum("_e.w")).alias("_d"))
     sums = moved.groupBy(*by, "_seq").agg((F.sum("_d") / 2).alias("turnover"))
     later = seq.where("_seq > 1")
     return later.join(sums, "_seq").select(*by, F.col("rebalance_date").alias("trade_date"), "turnover")
@@ -201,13 +201,14 @@ def equal_weight_signal(panel: DataFrame) -> DataFrame:
     return panel.select("trade_date", "ts_code", F.lit(1.0).alias("signal"))
 
 
+def at_rebalances(df: DataFrame, rebalances: DataFrame) -> DataFrame:
+    """Rows of the rebalance dates only: cross-section work need not be done on other dates."""
+    return df.join(rebalances.withColumnRenamed("rebalance_date", "trade_date"), "trade_date", "left_semi")
+
+
 def composite_signal(df: DataFrame, rising: Sequence[str], falling: Sequence[str]) -> DataFrame:
     """Sum of average-tie percentile ranks per date: plus for ``rising``, minus for ``falling`` columns."""
-    out, total = df, F.lit(0.0)
-    for name in (*rising, *falling):
-        out = pct_rank(out, name, f"_rank_{name}")
-        total = total + (F.col(f"_rank_{name}") if name in rising else -F.col(f"_rank_{name}"))
-    return out.select("trade_date", "ts_code", total.alias("signal"))
+    return rank_sum(df, {n: 1.0 for n in rising} | {n: -1.0 for n in falling}, "signal")
 
 
 def oof_signal(keys: DataFrame, predictions: DataFrame, column: str = "prediction") -> DataFrame:

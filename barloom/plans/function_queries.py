@@ -30,14 +30,17 @@ def strict(agg: str, x: str, w: int) -> str:
     return f"CASE WHEN count({x}) OVER {frame} = {w} THEN {agg} OVER {frame} END"
 
 
-def column_query(name: str, columns: dict[str, tuple[Column, str]], digits: int = 6, kinds: dict | None = None) -> None:
-    """Register a query that adds columns to the bars; each comes with its SQL."""
+def column_query(name: str, columns: dict[str, tuple[Callable[[], Column], str]], digits: int = 6, kinds: dict | None = None) -> None:
+    """Register a query that adds columns to the bars; each comes with its SQL.
+
+    Columns are given as functions: building one needs a running session, registering must not.
+    """
     cols = KEY + "".join(f" {c}:{(kinds or {}).get(c, digits)}" for c in columns)
     sql = "SELECT trade_date, ts_code, " + ", ".join(f"{s} AS {c}" for c, (_, s) in columns.items()) + " FROM bars"
 
     @query(name, cols, sql, uses="bars")
     def build(spark, folder):
-        return expr.factor_table(bars(spark, folder), {c: e for c, (e, _) in columns.items()})
+        return expr.factor_table(bars(spark, folder), {c: e() for c, (e, _) in columns.items()})
 
 
 # -- statistics -----------------------------------------------------------------------------------
@@ -45,12 +48,12 @@ def column_query(name: str, columns: dict[str, tuple[Column, str]], digits: int
 def _statistic(name: str, fn: Callable, agg: str, digits: int = 6) -> None:
     over = "(PARTITION BY ts_code)"
     columns = {
-        "rolling": (fn("close", 20), rolled(agg.format(x="close"), "close", 20)),
-        "gaps": (fn("gap", 4), rolled(agg.format(x="gap"), "gap", 4)),
-        "overall": (fn("gap", 0), f"{agg.format(x='gap')} OVER {over}"),
+        "rolling": (lambda: fn("close", 20), rolled(agg.format(x="close"), "close", 20)),
+        "gaps": (lambda: fn("gap", 4), rolled(agg.format(x="gap"), "gap", 4)),
+        "overall": (lambda: fn("gap", 0), f"{agg.format(x='gap')} OVER {over}"),
     }
     if name == "fn_mean":
-        columns["covered"] = (fn("gap", 100000), f"{agg.format(x='gap')} OVER {over}")
+        columns["covered"] = (lambda: fn("gap", 100000), f"{agg.format(x='gap')} OVER {over}")
     column_query(name, columns, digits)
 
 
@@ -66,12 +69,12 @@ _statistic("fn_hhv", series.hhv, "max({x})")
 _statistic("fn_llv", series.llv, "min({x})")
 
 column_query("fn_product", {
-    "rolling": (stats.product(F.col("close") / 108, 20), rolled("product(close / 108)", "close", 20)),
-    "gaps": (stats.product(F.col("gap") / 108, 4), rolled("product(gap / 108)", "gap", 4)),
+    "rolling": (lambda: stats.product(F.col("close") / 108, 20), rolled("product(close / 108)", "close", 20)),
+    "gaps": (lambda: stats.product(F.col("gap") / 108, 4), rolled("product(gap / 108)", "gap", 4)),
 })
 column_query("fn_percentile", {
-    "rolling": (stats.percentile("close", 80, 20), rolled("quantile_cont(close, 0.8)", "close", 20)),
-    "overall": (stats.percentile("gap", 10), "quantile_cont(gap, 0.1) OVER (PARTITION BY ts_code)"),
+    "rolling": (lambda: stats.percentile("close", 80, 20), rolled("quantile_cont(close, 0.8)", "close", 20)),
+    "overall": (lambda: stats.percentile("gap", 10), "quantile_cont(gap, 0.1) OVER (PARTITION BY ts_code)"),
 })
 
 # -- ranking --------------------------------------------------------------------------------------
@@ -103,15 +106,15 @@ def fn_dense_rank(spark, folder):
 
 
 column_query("fn_zscore", {
-    "rolling": (stats.zscore("close", 20),
+    "rolling": (lambda: stats.zscore("close", 20),
                 f"coalesce((close - ({rolled('avg(close)', 'close', 20)})) / "
                 f"nullif(({rolled('stddev_samp(close)', 'close', 20)}), 0), 0)"),
-    "overall": (stats.zscore("gap"),
+    "overall": (lambda: stats.zscore("gap"),
                 "coalesce((gap - avg(gap) OVER (PARTITION BY ts_code)) / "
                 "nullif(stddev_samp(gap) OVER (PARTITION BY ts_code), 0), 0)"),
 })
 column_query("fn_scale", {
-    "scaled": (stats.scale("gap", 2.0, -1.0),
+    "scaled": (lambda: stats.scale("gap", 2.0, -1.0),
                "CASE WHEN max(gap) OVER p = min(gap) OVER p THEN 0 ELSE "
                "2 * (gap - min(gap) OVER p) / (max(gap) OVER p - min(gap) OVER p) - 1 END"
                .replace("OVER p", "OVER (PARTITION BY ts_code)")),
@@ -125,41 +128,41 @@ def _lag(x: str, p: int) -> str:
 
 
 column_query("fn_delta", {
-    "by5": (series.delta("close", 5), f"(close - {_lag('close', 5)}) / {_lag('close', 5)}"),
-    "zero_base": (series.delta(F.col("vol") - 20, 1),
+    "by5": (lambda: series.delta("close", 5), f"(close - {_lag('close', 5)}) / {_lag('close', 5)}"),
+    "zero_base": (lambda: series.delta(F.col("vol") - 20, 1),
                   f"CASE WHEN {_lag('vol - 20', 1)} = 0 AND vol <> 20 THEN 0 ELSE "
                   f"(vol - 20 - {_lag('vol - 20', 1)}) / nullif({_lag('vol - 20', 1)}, 0) END"),
 })
-column_query("fn_delay", {"by3": (series.delay("close", 3), _lag("close", 3)),
-                          "negative": (series.delay("close", -2), "close")})
-column_query("fn_diff", {"by3": (series.diff("gap", 3), f"gap - {_lag('gap', 3)}")})
-column_query("fn_ffill", {"filled": (series.fill_forward("gap"),
+column_query("fn_delay", {"by3": (lambda: series.delay("close", 3), _lag("close", 3)),
+                          "negative": (lambda: series.delay("close", -2), "close")})
+column_query("fn_diff", {"by3": (lambda: series.diff("gap", 3), f"gap - {_lag('gap', 3)}")})
+column_query("fn_ffill", {"filled": (lambda: series.fill_forward("gap"),
              f"last_value(gap IGNORE NULLS) OVER ({ORDERED} ROWS UNBOUNDED PRECEDING)")})
-column_query("fn_bfill", {"filled": (series.fill_backward("gap"),
+column_query("fn_bfill", {"filled": (lambda: series.fill_backward("gap"),
              f"first_value(gap IGNORE NULLS) OVER ({ORDERED} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")})
-column_query("win_pct_change", {"by1": (series.pct_change("close"), f"close / {_lag('close', 1)} - 1"),
-                                "by20": (series.pct_change("close", 20), f"close / {_lag('close', 20)} - 1")})
+column_query("win_pct_change", {"by1": (lambda: series.pct_change("close"), f"close / {_lag('close', 1)} - 1"),
+                                "by20": (lambda: series.pct_change("close", 20), f"close / {_lag('close', 20)} - 1")})
 _SO_FAR = f"OVER ({ORDERED} ROWS UNBOUNDED PRECEDING)"
 column_query("win_expanding", {
-    "mean": (stats.expanding(F.avg, "gap", 60), f"CASE WHEN count(gap) {_SO_FAR} >= 60 THEN avg(gap) {_SO_FAR} END"),
-    "std": (stats.expanding(F.stddev_samp, "gap", 60),
+    "mean": (lambda: stats.expanding(F.avg, "gap", 60), f"CASE WHEN count(gap) {_SO_FAR} >= 60 THEN avg(gap) {_SO_FAR} END"),
+    "std": (lambda: stats.expanding(F.stddev_samp, "gap", 60),
             f"CASE WHEN count(gap) {_SO_FAR} >= 60 THEN stddev_samp(gap) {_SO_FAR} END"),
 })
-column_query("win_cummax", {"peak": (series.running_max("gap"), f"max(gap) {_SO_FAR}")})
-column_query("win_cumprod", {"grown": (series.running_product(1 + (F.col("close") - F.col("open")) / 10000),
+column_query("win_cummax", {"peak": (lambda: series.running_max("gap"), f"max(gap) {_SO_FAR}")})
+column_query("win_cumprod", {"grown": (lambda: series.running_product(1 + (F.col("close") - F.col("open")) / 10000),
                                        f"product(1 + (close - open) / 10000) {_SO_FAR}")})
-column_query("win_clip", {"clipped": (series.clip(F.col("gap") - 108, -2, 2), "CASE WHEN gap IS NULL THEN NULL "
+column_query("win_clip", {"clipped": (lambda: series.clip(F.col("gap") - 108, -2, 2), "CASE WHEN gap IS NULL THEN NULL "
                                       "ELSE least(greatest(gap - 108, -2), 2) END")})
 
 # -- indicators -----------------------------------------------------------------------------------
 
-column_query("ind_ma", {"close_5": (indicators.ma("close", 5), strict("avg(close)", "close", 5)),
-                        "gap_4": (indicators.ma("gap", 4), strict("avg(gap)", "gap", 4)),
-                        "too_long": (indicators.ma("close", 100000), "CAST(NULL AS DOUBLE)")})
-column_query("ind_wma", {"wma": (indicators.wma("gap", 10),
+column_query("ind_ma", {"close_5": (lambda: indicators.ma("close", 5), strict("avg(close)", "close", 5)),
+                        "gap_4": (lambda: indicators.ma("gap", 4), strict("avg(gap)", "gap", 4)),
+                        "too_long": (lambda: indicators.ma("close", 100000), "CAST(NULL AS DOUBLE)")})
+column_query("ind_wma", {"wma": (lambda: indicators.wma("gap", 10),
              f"CASE WHEN row_number() OVER ({ORDERED}) >= 10 THEN (coalesce(gap, 0) * 10 + "
              + " + ".join(f"coalesce({_lag('gap', i)}, 0) * {10 - i}" for i in range(1, 10)) + ") / 55 END")})
-column_query("ind_boll", {"upper": (indicators.boll("close", 20, 2.0),
+column_query("ind_boll", {"upper": (lambda: indicators.boll("close", 20, 2.0),
              f"({strict('avg(close)', 'close', 20)}) + 2 * ({strict('stddev_samp(close)', 'close', 20)})")})
 
 _TR = f"""tr AS (SELECT *, greatest(high - low, abs(high - {_lag('close', 1)}), abs(low - {_lag('close', 1)})) AS rng,
@@ -279,28 +282,32 @@ def ind_sar(spark, folder):
 # -- two series -----------------------------------------------------------------------------------
 
 column_query("fn_corr", {
-    "corr": (series.corr("close", "vol", 20), strict("corr(close, vol)", "close", 20)),
-    "gaps": (series.corr("gap", "vol", 4), strict("corr(gap, vol)", "gap", 4)),
+    "corr": (lambda: series.corr("close", "vol", 20), strict("corr(close, vol)", "close", 20)),
+    "gaps": (lambda: series.corr("gap", "vol", 4), strict("corr(gap, vol)", "gap", 4)),
 })
-column_query("fn_cov", {"cov": (series.covariance("close", "vol", 20), strict("covar_samp(close, vol)", "close", 20))})
-column_query("fn_beta", {"beta": (series.beta("close", "vol", 20),
+column_query("fn_cov", {"cov": (lambda: series.covariance("close", "vol", 20), strict("covar_samp(close, vol)", "close", 20))})
+column_query("fn_beta", {"beta": (lambda: series.beta("close", "vol", 20),
              strict("coalesce(covar_samp(close, vol) OVER f / nullif(var_samp(vol) OVER f, 0), 0)", "close", 20)
              .replace("OVER f", f"OVER ({ORDERED} ROWS 19 PRECEDING)")
              .replace(f", 0) OVER ({ORDERED} ROWS 19 PRECEDING)", ", 0)"))})
 
 # -- math -----------------------------------------------------------------------------------------
 
-_D = F.col("gap") - 108
-column_query("fn_abs", {"value": (scalar.absolute(_D), "abs(gap - 108)")})
-column_query("fn_sign", {"value": (scalar.sign(_D), "sign(gap - 108)")})
-column_query("fn_log", {"value": (scalar.log(_D), "ln(CASE WHEN gap - 108 > 0 THEN gap - 108 ELSE 1e-10 END)")})
-column_query("fn_log10", {"value": (scalar.log10(_D), "log10(CASE WHEN gap - 108 > 0 THEN gap - 108 ELSE 1e-10 END)")})
-column_query("fn_exp", {"value": (scalar.exp(_D / 4), "exp((gap - 108) / 4)")})
-column_query("fn_sqrt", {"value": (scalar.sqrt(_D), "sqrt(CASE WHEN gap - 108 >= 0 THEN gap - 108 ELSE 0 END)")})
-column_query("fn_power", {"value": (scalar.power(_D), "pow(gap - 108, 2)"),
-                          "root": (scalar.power(_D, 0.5), "CASE WHEN gap - 108 >= 0 THEN sqrt(gap - 108) END")})
-column_query("fn_sign_pow", {"value": (scalar.sign_pow(_D), "sign(gap - 108) * sqrt(abs(gap - 108))")})
-column_query("cs_abs", {"value": (scalar.absolute(F.col("close") - F.col("high")), "abs(close - high)")})
+
+def _d() -> Column:
+    return F.col("gap") - 108
+
+
+column_query("fn_abs", {"value": (lambda: scalar.absolute(_d()), "abs(gap - 108)")})
+column_query("fn_sign", {"value": (lambda: scalar.sign(_d()), "sign(gap - 108)")})
+column_query("fn_log", {"value": (lambda: scalar.log(_d()), "ln(CASE WHEN gap - 108 > 0 THEN gap - 108 ELSE 1e-10 END)")})
+column_query("fn_log10", {"value": (lambda: scalar.log10(_d()), "log10(CASE WHEN gap - 108 > 0 THEN gap - 108 ELSE 1e-10 END)")})
+column_query("fn_exp", {"value": (lambda: scalar.exp(_d() / 4), "exp((gap - 108) / 4)")})
+column_query("fn_sqrt", {"value": (lambda: scalar.sqrt(_d()), "sqrt(CASE WHEN gap - 108 >= 0 THEN gap - 108 ELSE 0 END)")})
+column_query("fn_power", {"value": (lambda: scalar.power(_d()), "pow(gap - 108, 2)"),
+                          "root": (lambda: scalar.power(_d(), 0.5), "CASE WHEN gap - 108 >= 0 THEN sqrt(gap - 108) END")})
+column_query("fn_sign_pow", {"value": (lambda: scalar.sign_pow(_d()), "sign(gap - 108) * sqrt(abs(gap - 108))")})
+column_query("cs_abs", {"value": (lambda: scalar.absolute(F.col("close") - F.col("high")), "abs(close - high)")})
 
 # -- cross-section --------------------------------------------------------------------------------
 
@@ -345,62 +352,62 @@ def cs_pct_rank(spark, folder):
 
 _TRUE = "coalesce({c} <> 0, true)"
 column_query("fn_when", {
-    "picked": (scalar.when(F.col("gap") - 108, "open", "low"), f"CASE WHEN {_TRUE.format(c='(gap - 108)')} THEN open ELSE low END"),
-    "or_zero": (scalar.when(expr.gt("gap", 108), "open"), "CASE WHEN gap > 108 THEN open ELSE 0 END"),
+    "picked": (lambda: scalar.when(F.col("gap") - 108, "open", "low"), f"CASE WHEN {_TRUE.format(c='(gap - 108)')} THEN open ELSE low END"),
+    "or_zero": (lambda: scalar.when(expr.gt("gap", 108), "open"), "CASE WHEN gap > 108 THEN open ELSE 0 END"),
 })
-column_query("fn_filter", {"within": (scalar.keep_between("gap", 104, 112), "CASE WHEN gap BETWEEN 104 AND 112 THEN gap END"),
-                           "low_only": (scalar.keep_between("close", low=110), "CASE WHEN close >= 110 THEN close END")})
-column_query("fn_keep", {"kept": (scalar.keep_every("close", 3),
+column_query("fn_filter", {"within": (lambda: scalar.keep_between("gap", 104, 112), "CASE WHEN gap BETWEEN 104 AND 112 THEN gap END"),
+                           "low_only": (lambda: scalar.keep_between("close", low=110), "CASE WHEN close >= 110 THEN close END")})
+column_query("fn_keep", {"kept": (lambda: scalar.keep_every("close", 3),
              f"CASE WHEN (row_number() OVER ({ORDERED}) - 1) % 3 = 0 THEN close END")})
-column_query("fin_leverage", {"value": (scalar.leverage("amount", F.col("vol") - 20), "amount / nullif(vol - 20, 0)")}, 4)
-column_query("fin_debt_ratio", {"value": (scalar.debt_ratio("vol", "amount"), "vol / nullif(amount, 0)")}, 8)
-column_query("fin_growth", {"value": (scalar.growth(F.col("vol") - 20), f"(vol - 20) / nullif({_lag('vol - 20', 4)}, 0) - 1")})
-column_query("fin_roic", {"value": (scalar.roic(F.col("close") - F.col("open"), F.col("vol") - 10),
+column_query("fin_leverage", {"value": (lambda: scalar.leverage("amount", F.col("vol") - 20), "amount / nullif(vol - 20, 0)")}, 4)
+column_query("fin_debt_ratio", {"value": (lambda: scalar.debt_ratio("vol", "amount"), "vol / nullif(amount, 0)")}, 8)
+column_query("fin_growth", {"value": (lambda: scalar.growth(F.col("vol") - 20), f"(vol - 20) / nullif({_lag('vol - 20', 4)}, 0) - 1")})
+column_query("fin_roic", {"value": (lambda: scalar.roic(F.col("close") - F.col("open"), F.col("vol") - 10),
                                     "(close - open) / nullif(vol - 10, 0)")})
 
 # -- expression operators -------------------------------------------------------------------------
 
-column_query("expr_var", {"close": (F.col("close"), "close"), "gap": (F.col("gap"), "gap")})
-column_query("expr_literal", {"sci": (expr.lit(1.5e-3) * F.col("close"), "1.5e-3 * close"),
-                              "yes": (expr.lit(True), "1.0"), "no": (expr.lit(False), "0.0"),
-                              "word": (expr.lit("hs300"), "'hs300'")}, kinds={"word": "s"})
-column_query("expr_arith", {"value": (expr.add(expr.mul("gap", 2.0), expr.sub("open", "vol")), "gap * 2 + open - vol")})
-column_query("expr_div", {"value": (expr.div("gap", F.col("vol") - 20), "coalesce(gap / nullif(vol - 20, 0), 0)")})
+column_query("expr_var", {"close": (lambda: F.col("close"), "close"), "gap": (lambda: F.col("gap"), "gap")})
+column_query("expr_literal", {"sci": (lambda: expr.lit(1.5e-3) * F.col("close"), "1.5e-3 * close"),
+                              "yes": (lambda: expr.lit(True), "1.0"), "no": (lambda: expr.lit(False), "0.0"),
+                              "word": (lambda: expr.lit("hs300"), "'hs300'")}, kinds={"word": "s"})
+column_query("expr_arith", {"value": (lambda: expr.add(expr.mul("gap", 2.0), expr.sub("open", "vol")), "gap * 2 + open - vol")})
+column_query("expr_div", {"value": (lambda: expr.div("gap", F.col("vol") - 20), "coalesce(gap / nullif(vol - 20, 0), 0)")})
 column_query("expr_mod", {
-    "value": (expr.mod(_D, 3.0), "(gap - 108) - 3 * floor((gap - 108) / 3)"),
-    "negative": (expr.mod(_D, F.col("vol") - 20), "(gap - 108) - (vol - 20) * floor((gap - 108) / nullif(vol - 20, 0))"),
+    "value": (lambda: expr.mod(_d(), 3.0), "(gap - 108) - 3 * floor((gap - 108) / 3)"),
+    "negative": (lambda: expr.mod(_d(), F.col("vol") - 20), "(gap - 108) - (vol - 20) * floor((gap - 108) / nullif(vol - 20, 0))"),
 })
-column_query("expr_pow", {"value": (expr.power(_D, 0.5), "CASE WHEN gap >= 108 THEN sqrt(gap - 108) END"),
-                          "square": (expr.power("gap", 2.0), "gap * gap")}, 4)
+column_query("expr_pow", {"value": (lambda: expr.power(_d(), 0.5), "CASE WHEN gap >= 108 THEN sqrt(gap - 108) END"),
+                          "square": (lambda: expr.power("gap", 2.0), "gap * gap")}, 4)
 column_query("expr_compare", {
-    "gt": (expr.gt("gap", 108), "CASE WHEN gap > 108 THEN 1 ELSE 0 END"),
-    "ge": (expr.ge("vol", 20), "CASE WHEN vol >= 20 THEN 1 ELSE 0 END"),
-    "lt": (expr.lt("gap", "open"), "CASE WHEN gap < open THEN 1 ELSE 0 END"),
-    "le": (expr.le("gap", "open"), "CASE WHEN gap <= open THEN 1 ELSE 0 END"),
-    "eq": (expr.eq("gap", "close"), "CASE WHEN gap = close THEN 1 ELSE 0 END"),
-    "ne": (expr.ne("gap", "close"), "CASE WHEN coalesce(gap <> close, true) THEN 1 ELSE 0 END"),
+    "gt": (lambda: expr.gt("gap", 108), "CASE WHEN gap > 108 THEN 1 ELSE 0 END"),
+    "ge": (lambda: expr.ge("vol", 20), "CASE WHEN vol >= 20 THEN 1 ELSE 0 END"),
+    "lt": (lambda: expr.lt("gap", "open"), "CASE WHEN gap < open THEN 1 ELSE 0 END"),
+    "le": (lambda: expr.le("gap", "open"), "CASE WHEN gap <= open THEN 1 ELSE 0 END"),
+    "eq": (lambda: expr.eq("gap", "close"), "CASE WHEN gap = close THEN 1 ELSE 0 END"),
+    "ne": (lambda: expr.ne("gap", "close"), "CASE WHEN coalesce(gap <> close, true) THEN 1 ELSE 0 END"),
 }, 0)
 _A, _B = "coalesce(gap - 108 <> 0, true)", "(vol - 20 <> 0)"
 column_query("expr_logic", {
-    "conj": (expr.both(_D, F.col("vol") - 20), f"CASE WHEN {_A} AND {_B} THEN 1 ELSE 0 END"),
-    "disj": (expr.either(F.col("gap") * 0, F.col("vol") - 20),
+    "conj": (lambda: expr.both(_d(), F.col("vol") - 20), f"CASE WHEN {_A} AND {_B} THEN 1 ELSE 0 END"),
+    "disj": (lambda: expr.either(F.col("gap") * 0, F.col("vol") - 20),
                f"CASE WHEN coalesce(gap * 0 <> 0, true) OR {_B} THEN 1 ELSE 0 END"),
-    "negated": (expr.negate(F.col("gap") * 0), "CASE WHEN coalesce(gap * 0 <> 0, true) THEN 0 ELSE 1 END"),
+    "negated": (lambda: expr.negate(F.col("gap") * 0), "CASE WHEN coalesce(gap * 0 <> 0, true) THEN 0 ELSE 1 END"),
 }, 0)
-column_query("expr_neg", {"value": (-F.col("gap"), "-gap")})
-column_query("expr_if", {"no_else": (expr.choose(expr.gt("gap", 108), "gap"), "CASE WHEN gap > 108 THEN gap END"),
-                         "with_else": (expr.choose(F.col("gap") * 0, "open", "low"),
+column_query("expr_neg", {"value": (lambda: -F.col("gap"), "-gap")})
+column_query("expr_if", {"no_else": (lambda: expr.choose(expr.gt("gap", 108), "gap"), "CASE WHEN gap > 108 THEN gap END"),
+                         "with_else": (lambda: expr.choose(F.col("gap") * 0, "open", "low"),
                                        "CASE WHEN coalesce(gap * 0 <> 0, true) THEN open ELSE low END")})
 _LIB = FunctionLibrary()
-column_query("expr_call", {"mean": (_LIB.call("mean", "close", 20), rolled("avg(close)", "close", 20)),
-                           "sign": (_LIB.call("Sign", _D), "sign(gap - 108)")})
+column_query("expr_call", {"mean": (lambda: _LIB.call("mean", "close", 20), rolled("avg(close)", "close", 20)),
+                           "sign": (lambda: _LIB.call("Sign", _d()), "sign(gap - 108)")})
 _LIB.register("spread", lambda a, b: expr.div(expr.sub(a, b), b))
-column_query("udf_register", {"spread": (_LIB.call("SPREAD", "high", "low"), "(high - low) / low")})
+column_query("udf_register", {"spread": (lambda: _LIB.call("SPREAD", "high", "low"), "(high - low) / low")})
 column_query("factor_table", {
-    "mom20": (series.delta("close", 20), f"close / {_lag('close', 20)} - 1"),
-    "vola20": (expr.div(stats.std("close", 20), "close"),
+    "mom20": (lambda: series.delta("close", 20), f"close / {_lag('close', 20)} - 1"),
+    "vola20": (lambda: expr.div(stats.std("close", 20), "close"),
                f"coalesce(({rolled('stddev_samp(close)', 'close', 20)}) / close, 0)"),
-    "volume_ratio": (expr.div("vol", stats.mean("vol", 20)),
+    "volume_ratio": (lambda: expr.div("vol", stats.mean("vol", 20)),
                      f"coalesce(vol / ({rolled('avg(vol)', 'vol', 20)}), 0)"),
-    "pv_corr": (series.corr("close", "vol", 20), strict("corr(close, vol)", "close", 20)),
+    "pv_corr": (lambda: series.corr("close", "vol", 20), strict("corr(close, vol)", "close", 20)),
 })

@@ -409,7 +409,7 @@ def join_intersection(spark, folder):
 def join_three_way(spark, folder):
     b = bars(spark, folder)
     caps = b.where("amount > 500").select("trade_date", "ts_code", "amount")
-    factor = b.drop("industry").select("trade_date", "ts_code", "gap").dropna()
+    factor = b.select("trade_date", "ts_code", "gap").dropna()
     return factor.join(security_dim(spark, folder), "ts_code").join(caps, panel.KEYS)
 
 
@@ -433,7 +433,7 @@ def join_factor_label(spark, folder):
     SELECT trade_date, ts_code, CASE WHEN industry IN ('ASIA', 'EUROPE') THEN industry ELSE '未知' END AS industry FROM bars""")
 def join_industry(spark, folder):
     known = security_dim(spark, folder).where(F.col("industry").isin("ASIA", "EUROPE"))
-    return bars(spark, folder).drop("industry").join(known, "ts_code", "left").withColumn(
+    return bars(spark, folder).join(known, "ts_code", "left").withColumn(
         "industry", F.coalesce("industry", F.lit(panel.UNKNOWN_BOARD)))
 
 

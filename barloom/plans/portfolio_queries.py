@@ -243,16 +243,19 @@ TABLES["composite"] = ("composite_parts", f"""
     SELECT trade_date, ts_code, {_RANKED.format(c='volume_ratio')} - {_RANKED.format(c='mom20')} - {_RANKED.format(c='vola20')} AS signal FROM composite_parts""")
 
 
-def composite(r):
-    f = r.select("trade_date", "ts_code", series.pct_change("close", 20).alias("mom20"),
-                 F.coalesce(ratio(stats.std("close", 20), "close"), F.lit(0.0)).alias("vola20"),
-                 F.coalesce(ratio("vol", stats.mean("vol", 20)), F.lit(0.0)).alias("volume_ratio"))
-    return portfolio.composite_signal(f, ["volume_ratio"], ["mom20", "vola20"])
+def composite_factors(r):
+    return r.select("trade_date", "ts_code", series.pct_change("close", 20).alias("mom20"),
+                    F.coalesce(ratio(stats.std("close", 20), "close"), F.lit(0.0)).alias("vola20"),
+                    F.coalesce(ratio("vol", stats.mean("vol", 20)), F.lit(0.0)).alias("volume_ratio"))
+
+
+def composite(factors):
+    return portfolio.composite_signal(factors, ["volume_ratio"], ["mom20", "vola20"])
 
 
 @query("composite_signal", KEY + " signal:6", uses="composite", sql="SELECT * FROM composite")
 def composite_signal(spark, folder):
-    return composite(bars(spark, folder))
+    return composite(composite_factors(bars(spark, folder)))
 
 
 _FLAGSHIP_TABLES = {  # the weights-to-curve chain again, on the composite signal
@@ -267,7 +270,8 @@ TABLES.update(_FLAGSHIP_TABLES)
 @query("flagship_backtest", METRIC_COLS, uses="f_curve", sql=metrics_sql("f_curve"))
 def flagship_backtest(spark, folder):
     r = returns(spark, folder)
-    signal = composite(r).withColumn("signal", F.round("signal", 9))
+    rebalances = portfolio.rebalance_dates(panel.dates(r))
+    signal = composite(portfolio.at_rebalances(composite_factors(r), rebalances)).withColumn("signal", F.round("signal", 9))
     return portfolio.metrics(portfolio.backtest(r, signal, N))
 
 

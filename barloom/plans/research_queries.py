@@ -58,7 +58,7 @@ def _neutral_sql(group: str, x: str, cols: str) -> str:
 
 @query("neutralize_industry", KEY + " resid:6", uses="bars", sql=_neutral_sql("industry", "0.0", "k - 1"))
 def neutralize_industry(spark, folder):
-    return factor.neutralize(bars(spark, folder), "gap", "resid", industry="industry")
+    return factor.neutralize(bars(spark, folder, industry=True), "gap", "resid", industry="industry")
 
 
 @query("neutralize_size", KEY + " resid:6", uses="bars", sql=_neutral_sql("''", "ln(amount)", "1"))
@@ -68,7 +68,7 @@ def neutralize_size(spark, folder):
 
 @query("neutralize_both", KEY + " resid:6", uses="bars", sql=_neutral_sql("industry", "ln(amount)", "k"))
 def neutralize_both(spark, folder):
-    b = bars(spark, folder).drop("industry")
+    b = bars(spark, folder)
     caps = b.select("trade_date", "ts_code", F.col("amount").alias("market_cap"))
     return factor.neutralize_aligned(b, "gap", "resid", security_dim(spark, folder), caps)
 
@@ -80,7 +80,7 @@ def neutralize_both(spark, folder):
 SELECT trade_date, ts_code, CASE WHEN n >= 3 AND n >= (SELECT count(DISTINCT industry) FROM bars b WHERE b.trade_date = s.trade_date)
        THEN gap - m ELSE gap END AS resid FROM s""")
 def neutralize_cross_section(spark, folder):
-    return factor.neutralize(bars(spark, folder), "gap", "resid", industry="industry", intercept=True)
+    return factor.neutralize(bars(spark, folder, industry=True), "gap", "resid", industry="industry", intercept=True)
 
 
 # -- selection ------------------------------------------------------------------------------------
@@ -316,13 +316,13 @@ def market_beta(spark, folder):
     SELECT trade_date, industry, sum(weight) AS weight FROM holdings WHERE industry <> 'ASIA' GROUP BY 1, 2""")
 def agg_sector_weights(spark, folder):
     known = security_dim(spark, folder).where("industry <> 'ASIA'")
-    return holdings(spark, folder).drop("industry").join(known, "ts_code").groupBy("trade_date", "industry").agg(F.sum("weight").alias("weight"))
+    return holdings(spark, folder).join(known, "ts_code").groupBy("trade_date", "industry").agg(F.sum("weight").alias("weight"))
 
 
-def holdings(spark, folder):
+def holdings(spark, folder, industry=False):
     """A portfolio per date: every security weighted by its traded amount. Totals per date come from a
     partial aggregation, not from a window over the date."""
-    held = section.with_stats(returns(spark, folder), ["trade_date"], _total=F.sum("amount"))
+    held = section.with_stats(returns(spark, folder, industry), ["trade_date"], _total=F.sum("amount"))
     return held.withColumn("weight", F.col("amount") / F.col("_total")).drop("_total")
 
 
@@ -332,7 +332,7 @@ def holdings(spark, folder):
 def agg_hhi(spark, folder):
     from barloom.operators.risk import sector_hhi
     known = security_dim(spark, folder).where("industry <> 'ASIA'")
-    return sector_hhi(holdings(spark, folder).drop("industry").join(known, "ts_code", "left"))
+    return sector_hhi(holdings(spark, folder).join(known, "ts_code", "left"))
 
 
 @query("agg_describe", "factor mean:6 std:6", uses="factors", sql=" UNION ALL ".join(

@@ -157,7 +157,7 @@ def topn_positions(spark, folder):
     SELECT trade_date, ts_code, sector_weight, sector_weight > 0.3 AS capped, CASE WHEN sector_weight > 0.3 THEN weight * 0.3 / sector_weight ELSE weight END AS new_weight
     FROM holdings JOIN sectors USING (trade_date, industry)""")
 def risk_sector_cap(spark, folder):
-    return risk.sector_cap(holdings(spark, folder))
+    return risk.sector_cap(holdings(spark, folder, industry=True))
 
 
 _TOP3 = """t3 AS (SELECT trade_date, sum(sector_weight) AS top3 FROM (
@@ -168,14 +168,14 @@ _TOP3 = """t3 AS (SELECT trade_date, sum(sector_weight) AS top3 FROM (
 --
 SELECT * FROM t3""")
 def top3_sectors(spark, folder):
-    return risk.top3_sectors(holdings(spark, folder))
+    return risk.top3_sectors(holdings(spark, folder, industry=True))
 
 
 @query("risk_top3_sector", KEY + " top3:6 new_weight:6", uses="holdings sectors", sql=f"""{_TOP3}
 --
 SELECT trade_date, ts_code, top3, CASE WHEN top3 > 0.6 THEN weight * 0.6 / top3 ELSE weight END AS new_weight FROM holdings JOIN t3 USING (trade_date)""")
 def risk_top3_sector(spark, folder):
-    return risk.top3_cap(holdings(spark, folder))
+    return risk.top3_cap(holdings(spark, folder, industry=True))
 
 
 @query("risk_normalize", KEY + " new_weight:6", uses="holdings", sql=f"""
@@ -221,9 +221,9 @@ _EVENTS = f"""{_STREAK}, {_TRAIL}, {_TOP3},
 
 @query("risk_events", KEY + " event_type value:6 action", uses="pnl holdings curve sectors", sql=_EVENTS + "SELECT * FROM ev")
 def risk_events(spark, folder):
-    return risk.all_events(holdings(spark, folder), curve_of(spark, folder), TIGHT)
+    return risk.all_events(holdings(spark, folder, industry=True), curve_of(spark, folder), TIGHT)
 
 
 @query("agg_event_counts", "event_type n:i", uses="pnl holdings curve sectors", sql=_EVENTS + "SELECT event_type, count(*) AS n FROM ev GROUP BY 1")
 def agg_event_counts(spark, folder):
-    return risk.event_counts(risk.all_events(holdings(spark, folder), curve_of(spark, folder), TIGHT))
+    return risk.event_counts(risk.all_events(holdings(spark, folder, industry=True), curve_of(spark, folder), TIGHT))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "barloom", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -49,3 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path for one written table under the shared folder."""
     return os.path.join(shared_dir(spark), "barloom", f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and read it back: for results that several plans use.
+    Unlike a cache it survives the loss of executors."""
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

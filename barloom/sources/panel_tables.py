@@ -47,8 +47,8 @@ def security_dim(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per (ts_code, trade_date).
+def bars(spark: SparkSession, folder: str, industry: bool = False) -> DataFrame:
+    """One row per (ts_code, trade_date); the industry is joined only where it is asked for.
 
     The raw rows collapse to bars before any join or window: partial aggregation on the map side
     turns a security or date with a third of all rows into at most one row per day and task, so the
@@ -76,12 +76,12 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
             F.sum(F.col("_c") * F.col("_q")).alias("amount"), F.count(F.lit(1)).alias("n_rows"),
         )
         .withColumn("ts_code", F.concat(F.lit("S"), F.col("l_suppkey")))
+        .withColumn("gap", F.when(F.col("vol") >= 12, F.col("close")))
         .drop("l_suppkey")
     )
-    return daily.join(security_dim(spark, folder), "ts_code").withColumn(
-        "gap", F.when(F.col("vol") >= 12, F.col("close")))
+    return daily.join(security_dim(spark, folder), "ts_code") if industry else daily
 
 
-def returns(spark: SparkSession, folder: str) -> DataFrame:
+def returns(spark: SparkSession, folder: str, industry: bool = False) -> DataFrame:
     """Bars with ``ret``, the change against the security's previous bar."""
-    return bars(spark, folder).withColumn("ret", pct_change("close"))
+    return bars(spark, folder, industry).withColumn("ret", pct_change("close"))
