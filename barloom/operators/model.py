@@ -80,9 +80,9 @@ def chrono_split(df: DataFrame, share: float = 0.8, tie: str = "ts_code") -> Dat
     Running counts per date place every row but those of the one date the cut falls into; only these
     are numbered.
     """
-    days = numbered_dates(df).select("trade_date", (F.col("rows_upto") - F.col("n_rows")).alias("_before"), "rows_upto")
-    cut = df.agg(F.floor(F.count(F.lit(1)) * share)).scalar()
-    rows = df.join(days, "trade_date").withColumn("_cut", cut)
+    cut = F.floor(F.max("rows_upto").over(Window.partitionBy(F.lit(0))) * share)
+    days = numbered_dates(df).select("trade_date", (F.col("rows_upto") - F.col("n_rows")).alias("_before"), "rows_upto", cut.alias("_cut"))
+    rows = df.join(days, "trade_date")
     split_day = (F.col("_before") < F.col("_cut")) & (F.col("rows_upto") > F.col("_cut"))
     whole = rows.where(~split_day).withColumn("part", F.when(F.col("rows_upto") <= F.col("_cut"), F.lit("train")).otherwise(F.lit("eval")))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("trade_date").orderBy(tie))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.core import or_zero, ratio
 from barloom.functions.section import rank_sum
 from barloom.operators.panel import TRADING_DAYS
+from barloom.session import materialize
 
 # Trading cost rates and limits.
 COMMISSION, STAMP, SLIPPAGE = 0.0003, 0.0005, 0.001
@@ -127,9 +128,14 @@ def _running(by: Sequence[str]):
 
 
 def backtest(returns: DataFrame, signal: DataFrame, n: int, freq: str = "M", by: Sequence[str] = ()) -> DataFrame:
-    """Weights, daily returns, turnover and NAV of a signal in one plan."""
+    """Weights, daily returns, turnover and NAV of a signal.
+
+    The weights, n rows per rebalance, are written once: the returns and the turnover both need them,
+    and behind them stands the whole signal. ``returns`` is read more than once as well; hand over a
+    stored table when computing it is expensive.
+    """
     rebalances = rebalance_dates(returns.select("trade_date").distinct(), freq)
-    weights = topn_weights(signal, rebalances, n, by)
+    weights = materialize(topn_weights(signal, rebalances, n, by), "weights")
     return nav(portfolio_returns(returns, weights, rebalances, by), turnover(weights, rebalances, by), by)
 
 
@@ -184,16 +190,14 @@ def benchmark_compare(curve: DataFrame, bars: DataFrame, code: str | None = None
         price = bars.groupBy("trade_date").agg(F.avg("close").alias("price"))
     bench = price.withColumn("bench", ratio("price", F.lag("price").over(order)) - 1).dropna(subset=["bench"])
     r, b = F.col("ret"), F.col("bench")
-    years = F.count(b) / float(TRADING_DAYS)
-    yearly = F.pow(F.product(1 + b), 1 / years) - 1
-    n = curve.agg(F.count("ret")).scalar()
-    mine = curve.agg(F.max_by("nav", "trade_date") / F.min_by("nav", "trade_date")).scalar()
-    std = F.stddev_samp(r - b)
-    return curve.join(bench, "trade_date").agg(
-        F.count(b).alias("days"), yearly.alias("benchmark_return"),
-        F.when(std > EPS, ratio(F.avg(r - b), std) * TRADING_DAYS ** 0.5).otherwise(0.0).alias("information_ratio"),
-    ).where(F.col("days") >= MIN_BENCHMARK_DAYS).withColumn(
-        "excess_return", F.pow(mine, F.lit(float(TRADING_DAYS)) / n) - 1 - F.col("benchmark_return"))
+    both = F.when(b.isNotNull(), r) - b
+    std = F.stddev_samp(both)
+    mine = F.max_by("nav", "trade_date") / F.min_by("nav", "trade_date")
+    return curve.join(bench, "trade_date", "left").agg(
+        F.count(both).alias("days"), (F.pow(F.product(1 + b), F.lit(float(TRADING_DAYS)) / F.count(b)) - 1).alias("benchmark_return"),
+        F.when(std > EPS, ratio(F.avg(both), std) * TRADING_DAYS ** 0.5).otherwise(0.0).alias("information_ratio"),
+        (F.pow(mine, F.lit(float(TRADING_DAYS)) / F.count(r)) - 1).alias("_annual"),
+    ).where(F.col("days") >= MIN_BENCHMARK_DAYS).withColumn("excess_return", F.col("_annual") - F.col("benchmark_return")).drop("_annual")
 
 
 def equal_weight_signal(panel: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from barloom.operators import panel, portfolio
 from barloom.plans.base import query
 from barloom.plans.function_queries import rolled, strict
 from barloom.plans.tables import TABLES
-from barloom.sources.panel_tables import bars, returns, table
+from barloom.sources.panel_tables import bars, returns, stored_returns
 
 KEY = "trade_date:d ts_code"
 ORDERED = "PARTITION BY ts_code ORDER BY trade_date"
@@ -53,13 +53,13 @@ def momentum(r):
 
 def parts(spark, folder):
     """Returns, rebalance dates and weights of the monthly momentum portfolio."""
-    r = returns(spark, folder)
+    r = stored_returns(spark, folder)
     rb = portfolio.rebalance_dates(panel.dates(r))
     return r, rb, portfolio.topn_weights(momentum(r), rb, N)
 
 
-def curve_of(spark, folder):
-    r = returns(spark, folder)
+def curve_of(spark, folder, r=None):
+    r = r if r is not None else stored_returns(spark, folder)
     return portfolio.backtest(r, momentum(r), N)
 
 
@@ -109,7 +109,7 @@ def topn_per_date(spark, folder):
         FROM signals s JOIN rebal r ON s.trade_date = r.rebalance_date
         WHERE signal IS NOT NULL AND (ts_code, trade_date) NOT IN (SELECT (ts_code, trade_date) FROM bars WHERE vol > 45)) WHERE rn <= {N}""")
 def topn_weights(spark, folder):
-    r = returns(spark, folder)
+    r = stored_returns(spark, folder)
     banned = r.where("vol > 45").select("trade_date", "ts_code")
     return portfolio.topn_weights(momentum(r), portfolio.rebalance_dates(panel.dates(r)), N, blacklist=banned)
 
@@ -174,7 +174,8 @@ SELECT *, (SELECT pow(arg_max(nav, trade_date) / arg_min(nav, trade_date), 252.0
     SELECT count(*) AS days, pow(product(1 + bench), 252.0 / count(*)) - 1 AS benchmark_return,
            avg(ret - bench) / stddev_samp(ret - bench) * sqrt(252) AS information_ratio FROM curve JOIN b USING (trade_date) WHERE bench IS NOT NULL)""")
 def benchmark_compare(spark, folder):
-    return portfolio.benchmark_compare(curve_of(spark, folder), bars(spark, folder))
+    r = stored_returns(spark, folder)
+    return portfolio.benchmark_compare(curve_of(spark, folder, r), r)
 
 
 @query("equal_weight_baseline", "rebalance_date:d ts_code weight:6", uses="rebal", sql=f"""
@@ -213,7 +214,7 @@ def three_signals(r):
 
 @query("compare_strategies", "strategy " + METRIC_COLS, uses="signals rebal active rets", sql=_MANY + metrics_sql("c", "strategy"))
 def compare_strategies(spark, folder):
-    r = returns(spark, folder)
+    r = stored_returns(spark, folder)
     return portfolio.compare_strategies(r, three_signals(r), N)
 
 
@@ -221,7 +222,7 @@ def compare_strategies(spark, folder):
     SELECT row_number() OVER (ORDER BY round(sharpe, 2) DESC, strategy) AS place, strategy, sharpe FROM ({metrics_sql("c", "strategy")})""")
 def strategy_ranking(spark, folder):
     from pyspark.sql import Window
-    r = returns(spark, folder)
+    r = stored_returns(spark, folder)
     table_ = portfolio.compare_strategies(r, three_signals(r), N)
     order = Window.partitionBy(F.lit(0)).orderBy(F.round("sharpe", 2).desc(), "strategy")
     return table_.withColumn("place", F.row_number().over(order))
@@ -269,7 +270,7 @@ TABLES.update(_FLAGSHIP_TABLES)
 
 @query("flagship_backtest", METRIC_COLS, uses="f_curve", sql=metrics_sql("f_curve"))
 def flagship_backtest(spark, folder):
-    r = returns(spark, folder)
+    r = stored_returns(spark, folder)
     rebalances = portfolio.rebalance_dates(panel.dates(r))
     signal = composite(portfolio.at_rebalances(composite_factors(r), rebalances)).withColumn("signal", F.round("signal", 9))
     return portfolio.metrics(portfolio.backtest(r, signal, N))
@@ -294,19 +295,19 @@ _PERIODS = f"""p AS (SELECT *, CAST(floor((day_no - 61) / 5) AS INTEGER) AS peri
 
 @query("holding_period_returns", "period:i pick_date:d turnover:6 period_ret:6", uses="signals days", sql=_PERIODS + "SELECT * FROM hp")
 def holding_period_returns(spark, folder):
-    r = returns(spark, folder)
+    r = stored_returns(spark, folder)
     return portfolio.holding_period_returns(r, momentum(r), N)
 
 
 @query("holding_period_annual", "n_periods:i total_return:6 annual_return:6", uses="signals days", sql=_PERIODS + """
     SELECT count(*) AS n_periods, product(1 + period_ret) - 1 AS total_return, pow(product(1 + period_ret), 252.0 / (count(*) * 5)) - 1 AS annual_return FROM hp""")
 def holding_period_annual(spark, folder):
-    r = returns(spark, folder)
+    r = stored_returns(spark, folder)
     return portfolio.annualized_periods(portfolio.holding_period_returns(r, momentum(r), N))
 
 
 @query("set_symdiff_turnover", "period:i turnover:6", uses="signals days", sql=_PERIODS + "SELECT * FROM turn")
 def set_symdiff_turnover(spark, folder):
-    r = returns(spark, folder)
+    r = stored_returns(spark, folder)
     firsts = portfolio.holding_periods(panel.dates(r)).select("period", F.col("pick_date").alias("trade_date")).distinct()
     return portfolio.set_turnover(portfolio.top_n(momentum(r).join(firsts, "trade_date"), "signal", N, ["period"]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.series import pct_change
+from barloom.session import materialize
 
 KEYS = ["trade_date", "ts_code"]
 
@@ -85,3 +86,9 @@ def bars(spark: SparkSession, folder: str, industry: bool = False) -> DataFrame:
 def returns(spark: SparkSession, folder: str, industry: bool = False) -> DataFrame:
     """Bars with ``ret``, the change against the security's previous bar."""
     return bars(spark, folder, industry).withColumn("ret", pct_change("close"))
+
+
+def stored_returns(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once to the shared folder: for plans that read it several times, which would
+    otherwise scan and aggregate the raw rows each time."""
+    return materialize(returns(spark, folder).select("trade_date", "ts_code", "close", "vol", "amount", "ret"), "returns")
