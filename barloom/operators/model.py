@@ -94,9 +94,8 @@ def purged_cv_splits(df: DataFrame, n_splits: int = 3, horizon: int = 5) -> Data
     """(split, train_before, val_from, val_until): training stops ``horizon`` dates ahead of the
     validation block [val_from, val_until)."""
     days = calendar(df)
-    n = df.agg(F.count_distinct("trade_date")).scalar()
-    size = F.floor(n / (n_splits + 1))
-    plan = days.limit(1).select(F.explode(F.sequence(F.lit(1), F.lit(n_splits))).alias("split")).withColumns({"_size": size, "_n": n})
+    plan = days.agg(F.count(F.lit(1)).alias("_n")).select(
+        "_n", F.floor(F.col("_n") / (n_splits + 1)).alias("_size"), F.explode(F.sequence(F.lit(1), F.lit(n_splits))).alias("split"))
     at = F.col("split") * F.col("_size")
     plan = plan.withColumns({"_from": at, "_before": F.when(at > horizon, at - horizon).otherwise(at),
                              "_until": F.least((F.col("split") + 1) * F.col("_size"), F.col("_n") - 1)})

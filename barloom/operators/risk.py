@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from barloom.functions.core import SERIES, Axis, or_zero, ratio
 from barloom.functions.section import with_stats
 from barloom.operators.portfolio import top_n
-from barloom.session import materialize
 
 # Standard-normal quantiles and densities at 5 % and 1 %.
 Z95, Z99 = -1.6448536269514729, -2.3263478740408408
@@ -287,9 +286,8 @@ def blacklist(triggers: DataFrame, limits: RiskLimits = LIMITS, on: Axis = SERIE
 
 
 def all_events(h: DataFrame, curve: DataFrame, limits: RiskLimits = LIMITS) -> DataFrame:
-    """Events of every rule, one below the other. The holdings are written once, because every rule
-    reads them."""
-    h = materialize(h.select("trade_date", "ts_code", "industry", "weight", "ret"), "holdings")
+    """Events of every rule, one below the other. Every rule reads the holdings: build them from a
+    stored table."""
     pnl = portfolio_pnl(h)
     sectors = sector_weights(h)
     parts = [

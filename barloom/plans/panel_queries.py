@@ -190,8 +190,7 @@ def load_if_missing(spark, folder):
 
 @query("dq_columns", "ok:b absent", uses="bars", sql="SELECT count(*) > 0 AS ok, '' AS absent FROM bars")
 def dq_columns(spark, folder):
-    b = bars(spark, folder)
-    return quality.columns_check(b, b)
+    return quality.columns_check(bars(spark, folder))
 
 
 @query("dq_missing", "missing_ratio:6 n:i ok:b", uses="bars", sql="""

@@ -320,9 +320,13 @@ def agg_sector_weights(spark, folder):
 
 
 def holdings(spark, folder, industry=False):
+    return weighted(returns(spark, folder, industry))
+
+
+def weighted(r):
     """A portfolio per date: every security weighted by its traded amount. Totals per date come from a
     partial aggregation, not from a window over the date."""
-    held = section.with_stats(returns(spark, folder, industry), ["trade_date"], _total=F.sum("amount"))
+    held = section.with_stats(r, ["trade_date"], _total=F.sum("amount"))
     return held.withColumn("weight", F.col("amount") / F.col("_total")).drop("_total")
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from barloom.operators import portfolio, risk
 from barloom.plans.base import query
 from barloom.plans.portfolio_queries import curve_of
-from barloom.plans.research_queries import factor_frame, holdings
+from barloom.plans.research_queries import factor_frame, holdings, weighted
 from barloom.plans.tables import TABLES
-from barloom.sources.panel_tables import returns
+from barloom.sources.panel_tables import returns, stored_returns
 
 KEY = "trade_date:d ts_code"
 ORDERED = "PARTITION BY ts_code ORDER BY trade_date"
@@ -219,11 +219,16 @@ _EVENTS = f"""{_STREAK}, {_TRAIL}, {_TOP3},
 """
 
 
+def events(spark, folder):
+    r = stored_returns(spark, folder, industry=True)
+    return risk.all_events(weighted(r), curve_of(spark, folder, r), TIGHT)
+
+
 @query("risk_events", KEY + " event_type value:6 action", uses="pnl holdings curve sectors", sql=_EVENTS + "SELECT * FROM ev")
 def risk_events(spark, folder):
-    return risk.all_events(holdings(spark, folder, industry=True), curve_of(spark, folder), TIGHT)
+    return events(spark, folder)
 
 
 @query("agg_event_counts", "event_type n:i", uses="pnl holdings curve sectors", sql=_EVENTS + "SELECT event_type, count(*) AS n FROM ev GROUP BY 1")
 def agg_event_counts(spark, folder):
-    return risk.event_counts(risk.all_events(holdings(spark, folder, industry=True), curve_of(spark, folder), TIGHT))
+    return risk.event_counts(events(spark, folder))

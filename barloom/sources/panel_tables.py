@@ -88,7 +88,8 @@ def returns(spark: SparkSession, folder: str, industry: bool = False) -> DataFra
     return bars(spark, folder, industry).withColumn("ret", pct_change("close"))
 
 
-def stored_returns(spark: SparkSession, folder: str) -> DataFrame:
+def stored_returns(spark: SparkSession, folder: str, industry: bool = False) -> DataFrame:
     """The same, written once to the shared folder: for plans that read it several times, which would
     otherwise scan and aggregate the raw rows each time."""
-    return materialize(returns(spark, folder).select("trade_date", "ts_code", "close", "vol", "amount", "ret"), "returns")
+    cols = ["trade_date", "ts_code", "close", "vol", "amount", "ret", *(["industry"] if industry else [])]
+    return materialize(returns(spark, folder, industry).select(cols), "returns")
