@@ -1,17 +1,23 @@
-"""Name -> builder table of the factor functions, open to user functions.
+"""Name -> builder tables of the factor functions, open to user functions.
+
+Most functions are one column expression (``call``). Two-step windows, recursions and cross-sections
+work on a table. ``add`` evaluates a function of either kind and adds its result as a column.
 
 A user function is any Python callable that returns a ``Column``; row logic that columns cannot
-express goes in as a ``pandas_udf``. Functions whose result is not a single column expression are
-listed with the operator that computes them.
+express goes in as a ``pandas_udf``.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+
+from barloom.operators.recursive import KINDS, Recursive, with_recursive
 
 from . import indicators, scalar, section, series, stats
+from .core import SERIES, Axis
 
 
 class UnknownFunction(KeyError):
@@ -23,7 +29,7 @@ class FunctionLibrary:
 
     def __init__(self) -> None:
         self._columns: dict[str, Callable[..., Column]] = dict(COLUMN_FUNCTIONS)
-        self._tables: dict[str, object] = dict(TABLE_FUNCTIONS)
+        self._tables: dict[str, Callable[..., DataFrame]] = dict(TABLE_FUNCTIONS)
 
     def register(self, name: str, func: Callable[..., Column]) -> None:
         self._columns[name.upper()] = func
@@ -36,11 +42,51 @@ class FunctionLibrary:
 
     def call(self, name: str, *args, **kwargs) -> Column:
         """Build the column of a function."""
-        try:
-            return self._columns[name.upper()](*args, **kwargs)
-        except KeyError:
-            hint = " (a table operator)" if name.upper() in self._tables else ""
-            raise UnknownFunction(f"no column function {name}{hint}") from None
+        if name.upper() not in self._columns:
+            hint = ": use add(), it works on a table" if name.upper() in self._tables else ""
+            raise UnknownFunction(f"no column function {name}{hint}")
+        return self._columns[name.upper()](*args, **kwargs)
+
+    def add(self, df: DataFrame, out: str, name: str, *args, on: Axis = SERIES) -> DataFrame:
+        """The table with the function's result in column ``out``."""
+        if name.upper() in self._tables:
+            return self._tables[name.upper()](df, out, *args, on=on)
+        func = self._columns.get(name.upper())
+        if func is None:
+            raise UnknownFunction(f"no function {name}")
+        along = {"on": on} if "on" in inspect.signature(func).parameters else {}
+        return df.withColumn(out, func(*args, **along))
+
+
+def _atr(df: DataFrame, out: str, high: str, low: str, close: str, w: int = 14, on: Axis = SERIES) -> DataFrame:
+    spans = df.withColumn("_tr", indicators.true_range(high, low, close, on))
+    return spans.withColumn(out, indicators.atr_of("_tr", w, on)).drop("_tr")
+
+
+def _natr(df: DataFrame, out: str, high: str, low: str, close: str, w: int = 14, on: Axis = SERIES) -> DataFrame:
+    spans = df.withColumn("_tr", indicators.true_range(high, low, close, on))
+    return spans.withColumn(out, indicators.natr_of("_tr", close, w, on)).drop("_tr")
+
+
+def _obv(df: DataFrame, out: str, close: str, volume: str, on: Axis = SERIES) -> DataFrame:
+    steps = df.withColumn("_step", indicators.obv_step(close, volume, on))
+    return steps.withColumn(out, indicators.obv_of("_step", on)).drop("_step")
+
+
+def _recursion(kind: str) -> Callable[..., DataFrame]:
+    names = list(inspect.signature(KINDS[kind]).parameters)[1:]
+
+    def add(df: DataFrame, out: str, *args, on: Axis = SERIES) -> DataFrame:
+        return with_recursive(df, [Recursive(kind, out, dict(zip(names, args)))], on)
+
+    return add
+
+
+def _section(func: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    def add(df: DataFrame, out: str, value: str, *args, on: Axis = SERIES) -> DataFrame:
+        return func(df, value, out, *args, by=[on.order])
+
+    return add
 
 
 COLUMN_FUNCTIONS: dict[str, Callable[..., Column]] = {
@@ -59,12 +105,9 @@ COLUMN_FUNCTIONS: dict[str, Callable[..., Column]] = {
     "LEVERAGE": scalar.leverage, "DEBT_RATIO": scalar.debt_ratio, "GROWTH": scalar.growth, "ROIC": scalar.roic,
 }
 
-# Two-step windows, recursions and cross-sections work on a table, not inside one expression.
-TABLE_FUNCTIONS = {
-    "ATR": indicators.atr_of, "NATR": indicators.natr_of, "OBV": indicators.obv_of,
-    "EMA": "barloom.operators.recursive", "MACD": "barloom.operators.recursive",
-    "RSI": "barloom.operators.recursive", "KDJ": "barloom.operators.recursive",
-    "SAR": "barloom.operators.recursive",
-    "CS_RANK": section.ordinal_rank, "CS_ZSCORE": section.zscore, "CS_SCALE": section.scale,
-    "CS_MEDIAN": section.demedian,
+TABLE_FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
+    "ATR": _atr, "NATR": _natr, "OBV": _obv,
+    **{kind: _recursion(kind) for kind in KINDS},
+    "CS_RANK": _section(section.ordinal_rank), "CS_ZSCORE": _section(section.zscore),
+    "CS_SCALE": _section(section.scale), "CS_MEDIAN": _section(section.demedian),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["trade_date", "ts_code"]
-# Fixed value: length of the reasoning text kept in a decision record.
+# The wording of the record texts below, and the length of the reasoning kept in one.
 REASON_CHARS = 200
 
 

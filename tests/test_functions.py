@@ -165,3 +165,20 @@ def test_library(spark):
         lib.call("nope", "x")
     with pytest.raises(UnknownFunction):
         lib.call("EMA", "x")
+    with pytest.raises(UnknownFunction):
+        lib.add(spark.range(1), "o", "nope")
+
+
+ARGS = {"PERCENTILE": ("close", 50.0), "CORR": ("close", "vol", 2), "COVARIANCE": ("close", "vol", 2), "BETA": ("close", "vol", 2),
+        "WHEN": ("close", "vol"), "LEVERAGE": ("close", "vol"), "DEBT_RATIO": ("close", "vol"), "ROIC": ("close", "vol"),
+        "KDJ": ("high", "low", "close"), "SAR": ("high", "low"), "ATR": ("high", "low", "close", 2), "NATR": ("high", "low", "close", 2),
+        "OBV": ("close", "vol"), "RSI": ("close", 2), "MA": ("close", 2), "BOLL": ("close", 2), "WMA": ("close", 2)}
+
+
+def test_every_function_by_name(panel):
+    lib = FunctionLibrary()
+    df = panel({c: {"high": [11, 12, 14, 13, 15, 16], "low": [9, 10, 11, 11, 12, 13], "close": [10, 11, 13, 12, 14, 15],
+                    "vol": [5, 7, 6, 9, 8, 4]} for c in "AB"})
+    for name in lib.names():
+        last = lib.add(df, "out", name, *ARGS.get(name, ("close",))).where("ts_code = 'B' and trade_date = '2024-01-06'").collect()
+        assert len(last) == 1 and (last[0]["out"] is not None or name == "KEEP"), name
