@@ -41,7 +41,7 @@ ORDER_BARS = """order_bars AS (SELECT 'C' || o_custkey AS ts_code, CAST(o_orderd
 @query("scan_bars_range", KEY + " close:6 vol:2", uses="bars",
        sql=f"SELECT trade_date, ts_code, close, vol FROM bars WHERE trade_date BETWEEN '{START}' AND '{END}'")
 def scan_bars_range(spark, folder):
-    return bars_io.scan_range(bars(spark, folder), START, END)
+    return bars(spark, folder, dates=(START, END))
 
 
 @query("normalize_bars", "trade_date ts_code open:4 close:4 vol:2", sql="""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +50,12 @@ def security_dim(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, folder: str, industry: bool = False) -> DataFrame:
+def bars(spark: SparkSession, folder: str, industry: bool = False, dates: tuple[str, str] | None = None) -> DataFrame:
     """One row per (ts_code, trade_date); the industry is joined only where it is asked for.
 
+    A date range (both ends included) is put on the raw time column, where the Parquet reader can
+    skip row groups by it; on the derived date it could not.
+
     The raw rows collapse to bars before any join or window: partial aggregation on the map side
     turns a security or date with a third of all rows into at most one row per day and task, so the
     exchanges behind it carry bars only. A security then has at most one row per trading day.
@@ -63,8 +68,12 @@ def bars(spark: SparkSession, folder: str, industry: bool = False) -> DataFrame:
     start = 100 + F.sqrt(ext * (1 - F.col("l_discount"))) / 20
     part_bits = F.lit(2 ** 20)
     seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * part_bits + F.col("l_partkey") % part_bits
+    raw = table(spark, folder, "lineitem")
+    if dates is not None:
+        start_at, end_at = (F.to_timestamp_ntz(F.lit(d)) for d in (dates[0], str(date.fromisoformat(dates[1]) + timedelta(days=1))))
+        raw = raw.where((F.col("l_shipdate") >= start_at) & (F.col("l_shipdate") < end_at))
     daily = (
-        table(spark, folder, "lineitem")
+        raw
         .select(
             "l_suppkey", F.to_date("l_shipdate").alias("trade_date"),
             start.alias("_o"), shut.alias("_c"), seq.alias("_seq"), F.col("l_quantity").alias("_q"),
