@@ -27,7 +27,7 @@ MAX_REPEAT_PERCENT = 50
 MEASURES = {
     "symbol_rate": (150, False),  # symbols per 1000 words
     "dup_line_rate": (300, False),  # repeated lines per 1000 words
-    "repeat_rate": (250, False),  # words in repeated 3-word windows per 1000 words
+    "repeat_rate": (350, False),  # words in repeated 3-word windows per 1000 words
     "word_length": (40, True),  # tenths of a character
 }
 FENCE_SPREADS = 6  # distance of a fence from its quartile in interquartile ranges

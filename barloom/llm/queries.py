@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import quality
+from barloom.llm import licenses, quality
 from barloom.llm.text import table
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op7_license_scan, op10_quality_rules)}
+ORACLES = {"op7_license_scan": licenses.oracle_sql()}
