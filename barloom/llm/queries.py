@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import licenses, quality, repeats
+from barloom.llm import licenses, neardup, quality, repeats
 from barloom.llm.text import table
 
 
@@ -12,6 +12,10 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digests(table(spark, folder, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.cluster(table(spark, folder, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -20,5 +24,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op7_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_minhash_near_dedup, op7_license_scan, op10_quality_rules)}
 ORACLES = {"op7_license_scan": licenses.oracle_sql()}

@@ -67,3 +67,48 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
         span *= 2
     rest = width - span
     return np.minimum(v[: len(v) - rest], v[rest:]) if rest else v
+
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+PIECE = 1 << 20
+_WORDS = Rolling(31, PIECE)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word of all rows, in order; A-Z count as a-z. Works in pieces of about ``PIECE`` bytes, cut between words."""
+    rows, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, U)], 0
+    limits = np.zeros(len(data) + 1, dtype=bool)
+    limits[offsets] = True
+    while at < len(data):
+        stop = min(at + PIECE, len(data))
+        while stop < len(data):  # back to a gap between words, or on to the next one
+            near = np.flatnonzero(_BLANK[data[at:stop]] | limits[at:stop])
+            if len(near) and near[-1] > 0:
+                stop = at + int(near[-1])
+                break
+            stop = min(stop + PIECE, len(data))
+        x = data[at:stop]
+        full = ~_BLANK[x]
+        edge = limits[at:stop]
+        begin = np.flatnonzero(full & np.r_[True, ~full[:-1] | edge[1:]])
+        end = np.flatnonzero(full & np.r_[~full[1:] | edge[1:], True]) + 1
+        roll = _WORDS if len(x) <= PIECE else Rolling(31, len(x))
+        hashes.append(roll.hashes(roll.sums(_LOWER[x]), begin, end))
+        rows.append(np.searchsorted(offsets, begin + at, side="right") - 1)
+        at = stop
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams of one text; a shorter text is one n-gram."""
+    k = min(size, len(words))
+    if not k:
+        return words
+    n = len(words) - k + 1
+    out = np.full(n, U(k))
+    for i in range(k):
+        out = mix(out * U(0x9E3779B97F4A7C15) + words[i:i + n])
+    return np.unique(out)
