@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import licenses, neardup, quality, repeats
+from barloom.llm import licenses, neardup, packing, quality, repeats
 from barloom.llm.text import table
 
 
@@ -20,9 +21,13 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_minhash_near_dedup, op7_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_minhash_near_dedup, op7_license_scan, op9_packing, op10_quality_rules)}
 ORACLES = {"op7_license_scan": licenses.oracle_sql()}
