@@ -34,7 +34,7 @@ CACHED_WORDS = 300_000
 SALT_ROWS = 20_000  # pieces ranked in one group
 _SLICE = 1 << 20  # characters tokenised at once
 #: White space of the tokenizer's pattern; str.split() knows four more characters.
-_GAP = re.compile("[\t-\r \x85\xa0  -     　]+")
+_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _OTHER_GAPS = re.compile("[\x1c-\x1f]")
 
 
