@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import forest, licenses, neardup, packing, quality, repeats
+from barloom.llm import forest, lattice, licenses, neardup, packing, quality, repeats
 from barloom.llm.text import table
 
 
@@ -13,6 +13,10 @@ def op1_ann_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.neighbours(table(spark, folder, "embeddings"))
 
 
+def op2_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.score(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digests(table(spark, folder, "documents"))
 
@@ -33,5 +37,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_forest, op4_suffix_dedup, op5_minhash_near_dedup, op7_license_scan, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_lattice_score, op4_suffix_dedup, op5_minhash_near_dedup, op7_license_scan, op9_packing, op10_quality_rules)}
 ORACLES = {"op7_license_scan": licenses.oracle_sql()}
