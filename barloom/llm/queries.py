@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import forest, lattice, licenses, neardup, packing, quality, repeats
+from barloom.llm import forest, lattice, licenses, lines, neardup, packing, quality, repeats, toxicity
 from barloom.llm.text import table
 
 
@@ -17,6 +17,10 @@ def op2_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.score(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digests(table(spark, folder, "documents"))
 
@@ -29,6 +33,10 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op8_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.digests(table(spark, folder, "documents"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,5 +45,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_lattice_score, op4_suffix_dedup, op5_minhash_near_dedup, op7_license_scan, op9_packing, op10_quality_rules)}
-ORACLES = {"op7_license_scan": licenses.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_lattice_score, op3_toxicity, op4_suffix_dedup, op5_minhash_near_dedup, op7_license_scan, op8_line_templates, op9_packing, op10_quality_rules)}
+ORACLES = {"op7_license_scan": licenses.oracle_sql(), "op8_line_templates": lines.oracle_sql()}
