@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import forest, lattice, licenses, lines, neardup, packing, quality, repeats, toxicity
+from barloom.llm import forest, lattice, licenses, lines, neardup, packing, pieces, quality, repeats, toxicity
 from barloom.llm.text import table
 
 
@@ -29,6 +29,10 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.cluster(table(spark, folder, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -45,5 +49,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_lattice_score, op3_toxicity, op4_suffix_dedup, op5_minhash_near_dedup, op7_license_scan, op8_line_templates, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_lattice_score, op3_toxicity, op4_suffix_dedup, op5_minhash_near_dedup, op6_sentencepiece, op7_license_scan, op8_line_templates, op9_packing, op10_quality_rules)}
 ORACLES = {"op7_license_scan": licenses.oracle_sql(), "op8_line_templates": lines.oracle_sql()}
