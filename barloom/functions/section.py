@@ -4,8 +4,8 @@ A date may hold a large part of all rows, so no function here gathers a date in
 
 * means, deviations and extremes come from a ``groupBy`` with map-side partial sums, joined back;
   the joined side has one row per date, and AQE broadcasts it when its measured size allows;
-* ranks cut each date's values into slices that are ranked apart and shifted by the row counts of the
-  slices below. A slice is a function of the value alone (its binary order of magnitude and the
+* ranks work on a date's distinct values with their counts, cut into slices that are ranked apart and shifted by
+  the counts of the slices below. A slice is a function of the value alone (its binary order of magnitude and the
   leading part of its mantissa), so it needs no pass for cut points and is the same wherever it is
   computed. The answer is exact whatever the distribution; the slices only spread the work.
 """
@@ -15,11 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import or_zero, ratio
+from .core import finite, or_zero, ratio
 
 PER_OCTAVE = 64
-_NULL_SLICE = 2 ** 40
-_NULL_SPREAD = 64
+TIE_PREFIX = 6
 
 
 def with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
@@ -40,31 +39,43 @@ def slice_of(v: Column, per_octave: int = PER_OCTAVE) -> Column:
     return F.when(v == 0, F.lit(0)).otherwise((F.signum(v) * number).cast("long"))
 
 
+def value_ranks(df: DataFrame, by: list[str], per_octave: int = PER_OCTAVE) -> DataFrame:
+    """(by…, _v, n_less, n_upto) of the distinct values of a column ``_v``.
+
+    Copies of a value collapse map-side first; slices then hold distinct values only, so neither equal values nor a
+    date with most of the rows gather in one task.
+    """
+    counts = df.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cut = counts.withColumn("_k", slice_of(F.col("_v"), per_octave))
+    n = F.col("_n")
+    below = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut.groupBy(*by, "_k").agg(F.sum("_c").alias("_n")).select(*by, "_k", below.alias("_below"))
+    inside = Window.partitionBy(*by, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_below") + F.sum("_c").over(inside)
+    return cut.join(offsets, [*by, "_k"]).select(*by, "_v", (upto - F.col("_c")).alias("n_less"), upto.alias("n_upto"))
+
+
 def with_ranks(df: DataFrame, by: list[str], value: str, tie: str | None = None, per_octave: int = PER_OCTAVE) -> DataFrame:
     """Add ``n_less``, ``n_upto`` (values not above), ``n_total`` (values) and ``n_rows`` of the group.
 
-    With ``tie`` also ``place``, the ordinal position with ties in that order and NULLs last. The join
-    with the slice offsets and the window inside the slices use the same keys: one exchange.
+    NaN and the infinities count as NULL. With ``tie`` also ``place``, the ordinal position with ties in that order
+    and NULLs last; rows of one value are numbered in slices by the first characters of the tie key.
     """
-    last = F.lit(_NULL_SLICE)
-    if tie is None:  # NULLs need no order among themselves, so they spread
-        last = last + F.pmod(F.xxhash64(*df.columns), F.lit(_NULL_SPREAD))
-    cut = df.withColumn("_k", F.coalesce(slice_of(F.col(value), per_octave), last))
-    group = Window.partitionBy(*by)
-    n = F.col("_n")
-    offsets = cut.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n")).select(
-        *by, "_k",
-        F.coalesce(F.sum(n).over(group.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"),
-        or_zero(F.sum(F.when(F.col("_k") < _NULL_SLICE, n)).over(group)).alias("n_total"), F.sum(n).over(group).alias("n_rows"))
-    inside = Window.partitionBy(*by, "_k")
-    known = F.col(value).isNotNull()
-    ranked = cut.join(offsets, [*by, "_k"])
-    below = F.col("_below")
-    out = {"n_less": F.when(known, below + F.rank().over(inside.orderBy(value)) - 1),
-           "n_upto": F.when(known, below + F.count(F.lit(1)).over(inside.orderBy(value)))}
+    base = df.withColumn("_v", finite(F.col(value).cast("double")))
+    totals = base.groupBy(*by).agg(F.count("_v").alias("n_total"), F.count(F.lit(1)).alias("n_rows"))
+    ranked = base.join(value_ranks(base, by, per_octave), [*by, "_v"], "left").join(totals, by)
     if tie is not None:
-        out["place"] = below + F.row_number().over(inside.orderBy(value, tie))
-    return ranked.withColumns(out).drop("_k", "_below")
+        cut = ranked.withColumn("_t", F.substring(F.col(tie).cast("string"), 1, TIE_PREFIX))
+        group = Window.partitionBy(*by, "_v").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+        ties = cut.groupBy(*by, "_v", "_t").agg(F.count(F.lit(1)).alias("_n")).select(
+            *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_v").alias("_tv"), F.col("_t").alias("_tt"), F.coalesce(F.sum("_n").over(group), F.lit(0)).alias("_before"))
+        same = F.col("_v").eqNullSafe(F.col("_tv")) & F.col("_t").eqNullSafe(F.col("_tt"))
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        own = F.row_number().over(Window.partitionBy(*by, "_v", "_t").orderBy(tie))
+        place = F.coalesce("n_less", "n_total") + F.col("_before") + own
+        ranked = cut.join(ties, same).withColumn("place", place).drop("_t", "_tv", "_tt", "_before", *[f"_by_{c}" for c in by])
+    return ranked.drop("_v")
 
 
 _RANK_COLUMNS = ("n_less", "n_upto", "n_total", "n_rows")
@@ -101,11 +112,12 @@ def scale(df: DataFrame, value: str, out: str, a: float = 1.0, b: float = 0.0, b
 
 def group_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str, per_octave: int = PER_OCTAVE) -> DataFrame:
     """Linearly interpolated quantile per group, read off the ranks instead of a per-group list."""
+    base = df.select(*by, finite(F.col(value).cast("double")).alias("_v"))
+    totals = base.groupBy(*by).agg(F.count("_v").alias("n_total"))
     at = (F.col("n_total").cast("double") - 1) * q
-    lo, v, frac = F.floor(at), F.col(value), at - F.floor(at)
+    lo, v, frac = F.floor(at), F.col("_v"), at - F.floor(at)
     covers = lambda i: (F.col("n_less") <= i) & (i < F.col("n_upto"))
-    ranked = with_ranks(df.select(*by, value).where(v.isNotNull()), by, value, per_octave=per_octave)
-    found = ranked.groupBy(*by).agg(
+    found = value_ranks(base, by, per_octave).join(totals, by).groupBy(*by).agg(
         F.max(F.when(covers(lo), v)).alias("_l"), F.max(F.when(covers(lo + 1), v)).alias("_h"), F.max(frac).alias("_f"))
     value_at = F.col("_l") + F.when(F.col("_f") > 0, F.col("_f") * (F.col("_h") - F.col("_l"))).otherwise(0.0)
     return found.select(*by, value_at.alias(out))

@@ -171,8 +171,8 @@ def apply_mask(factor: DataFrame, mask: DataFrame, names: list[str]) -> DataFram
 
 
 def market_state(panel: DataFrame, factors: list[str]) -> DataFrame:
-    """Per date: mean and spread of returns, relative day range, means of the first seven factors."""
-    means = [F.coalesce(F.avg(f), F.lit(0.0)).alias(f"mean_{f}") for f in factors[:7]]
+    """Per date: mean and spread of returns, relative day range, means of the factors."""
+    means = [F.coalesce(F.avg(f), F.lit(0.0)).alias(f"mean_{f}") for f in factors]
     span = ratio(F.avg("high") - F.avg("low"), F.avg("close"))
     return panel.groupBy("trade_date").agg(
         F.avg("ret").alias("market_ret"), F.stddev_samp("ret").alias("market_vol"), span.alias("market_range"), *means)

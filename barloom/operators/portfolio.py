@@ -139,8 +139,8 @@ def backtest(returns: DataFrame, signal: DataFrame, n: int, freq: str = "M", by:
     return nav(portfolio_returns(returns, weights, rebalances, by), turnover(weights, rebalances, by), by)
 
 
-def metrics(curve: DataFrame, by: Sequence[str] = (), init_cash: float = INIT_CASH) -> DataFrame:
-    """One row of performance figures per portfolio; portfolios with fewer than 5 days are left out.
+def metrics(curve: DataFrame, by: Sequence[str] = (), init_cash: float = INIT_CASH, min_days: int = MIN_DAYS) -> DataFrame:
+    """One row of performance figures per portfolio. With fewer than ``min_days`` days they are NULL and ``status`` is too_few_rows.
 
     Sharpe, win rate and VaR use the daily returns before cost.
     """
@@ -163,11 +163,18 @@ def metrics(curve: DataFrame, by: Sequence[str] = (), init_cash: float = INIT_CA
         F.avg("turnover").alias("avg_turnover"),
         F.sum(F.col("_prev") * F.col("turnover") * init_cash * ROUND_TRIP).alias("total_cost"),
         (F.count_if(r > 0) / n).alias("daily_win_rate"),
-        ratio(F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r < 0, r)))).alias("profit_loss_ratio"))
+        # without a loss its size counts as 1, without a gain that as 0
+        ratio(F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)), F.coalesce(F.abs(F.avg(F.when(r < 0, r))), F.lit(1.0))).alias("profit_loss_ratio"))
     deep = F.abs("max_drawdown") > EPS
-    return out.where(F.col("trading_days") >= MIN_DAYS).withColumns({
+    out = out.withColumns({
         "calmar": F.when(deep, ratio(F.col("annual_return"), F.abs("max_drawdown"))).otherwise(0.0),
         "cost_ratio": F.col("total_cost") / init_cash})
+    return _with_status(out, [*by, "trading_days"], F.col("trading_days") < min_days)
+
+
+def _with_status(df: DataFrame, keys: list[str], few: Column) -> DataFrame:
+    """Figures NULL where there are too few rows, and a ``status`` that says so."""
+    return df.select(*keys, *(F.when(~few, F.col(c)).alias(c) for c in df.columns if c not in keys), F.when(few, "too_few_rows").otherwise("ok").alias("status"))
 
 
 def total_cost(curve: DataFrame, by: Sequence[str] = (), init_cash: float = INIT_CASH) -> DataFrame:
@@ -177,8 +184,9 @@ def total_cost(curve: DataFrame, by: Sequence[str] = (), init_cash: float = INIT
     return rows.groupBy(*by).agg(F.sum(F.col("_prev") * F.col("turnover") * init_cash * ROUND_TRIP).alias("total_cost"))
 
 
-def benchmark_compare(curve: DataFrame, bars: DataFrame, code: str | None = None) -> DataFrame:
-    """Benchmark and excess yearly return and the information ratio of the daily excess.
+def benchmark_compare(curve: DataFrame, bars: DataFrame, code: str | None = None, min_days: int = MIN_BENCHMARK_DAYS) -> DataFrame:
+    """Benchmark and excess yearly return and the information ratio of the daily excess; NULL, with a
+    ``status``, under ``min_days`` common days.
 
     The benchmark is one security's price, or the mean price over all securities; a security's price
     carries over days without a bar, as on the rectangular grid.
@@ -193,11 +201,12 @@ def benchmark_compare(curve: DataFrame, bars: DataFrame, code: str | None = None
     both = F.when(b.isNotNull(), r) - b
     std = F.stddev_samp(both)
     mine = F.max_by("nav", "trade_date") / F.min_by("nav", "trade_date")
-    return curve.join(bench, "trade_date", "left").agg(
+    out = curve.join(bench, "trade_date", "left").agg(
         F.count(both).alias("days"), (F.pow(F.product(1 + b), F.lit(float(TRADING_DAYS)) / F.count(b)) - 1).alias("benchmark_return"),
         F.when(std > EPS, ratio(F.avg(both), std) * TRADING_DAYS ** 0.5).otherwise(0.0).alias("information_ratio"),
         (F.pow(mine, F.lit(float(TRADING_DAYS)) / F.count(r)) - 1).alias("_annual"),
-    ).where(F.col("days") >= MIN_BENCHMARK_DAYS).withColumn("excess_return", F.col("_annual") - F.col("benchmark_return")).drop("_annual")
+    ).withColumn("excess_return", F.col("_annual") - F.col("benchmark_return")).drop("_annual")
+    return _with_status(out, ["days"], F.col("days") < min_days)
 
 
 def equal_weight_signal(panel: DataFrame) -> DataFrame:

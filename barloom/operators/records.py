@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: most neighbours one search returns.
-MAX_NEIGHBOURS = 100
-
 
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance of two arrays, summed in double precision."""
@@ -19,11 +16,11 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, vector: str = "embedd
     """The k stored vectors nearest to one query vector, ties by key. Each task keeps k rows; no shuffle
     of the vectors. ``query`` is an array literal or a scalar subquery."""
     scored = vectors.withColumn("_query", query).withColumn("distance", squared_distance(F.col(vector), F.col("_query"))).drop("_query")
-    return scored.orderBy("distance", key).limit(min(k, MAX_NEIGHBOURS))
+    return scored.orderBy("distance", key).limit(k)
 
 
-def by_stock(records: DataFrame, code: str, limit: int = 10) -> DataFrame:
-    """Newest records of one security."""
+def by_stock(records: DataFrame, code: str, limit: int) -> DataFrame:
+    """The ``limit`` newest records of one security."""
     return records.where(F.col("metadata")["stock_code"] == code).orderBy(F.col("metadata")["timestamp"].desc(), "id").limit(limit)
 
 

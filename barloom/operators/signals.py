@@ -17,7 +17,6 @@ from barloom.operators.risk import PDF95, Z95, stress, var_parametric
 BULL, BEAR = 0.1, -0.1
 MAX_CONFIDENCE = 0.85
 PRICE_FLOOR = 0.01
-NEWS_LIMIT = 10
 YEAR = TRADING_DAYS ** 0.5
 
 OUTPUT_SCHEMA = "signal string, confidence double, reasoning string, key_metrics map<string,double>, risk_flags array<string>"
@@ -65,8 +64,8 @@ def signal_technical(bundle: DataFrame, on: Axis = SERIES) -> DataFrame:
         (rsi < 30, 0.2), (rsi > 70, -0.2), (short > long, 0.1), (short.isNotNull() & long.isNotNull() & ~(short > long), -0.1)))
 
 
-def sentiment_features(panel: DataFrame, on: Axis = SERIES) -> DataFrame:
-    """Volatility, value at risk, price-limit balance and trend per security; none below 20 returns."""
+def sentiment_features(panel: DataFrame, on: Axis = SERIES, min_rows: int = 20) -> DataFrame:
+    """Volatility, value at risk, price-limit balance and trend per security; NULL, with status too_few_rows, under ``min_rows`` returns."""
     price = F.when(F.col("close") < PRICE_FLOOR, F.lit(PRICE_FLOOR)).otherwise(F.col("close"))
     newest = on.members.orderBy(F.col(on.order).desc())
     rows = panel.select(on.key, on.order, price.alias("_p")).withColumns({
@@ -85,7 +84,9 @@ def sentiment_features(panel: DataFrame, on: Axis = SERIES) -> DataFrame:
         F.round(F.avg(year) - F.stddev_samp(year) * PDF95 / 0.05, 6).alias("cvar_95"),
         ((up - down) / 20).alias("limit_ratio_20d"),
         F.when(n >= 60, F.avg(recent(10)) / F.greatest(F.stddev_pop(recent(60)), floor)).otherwise(0.0).alias("trend_strength"))
-    return out.where("_n >= 20").drop("_n")
+    few = F.col("_n") < min_rows
+    figures = [c for c in out.columns if c not in (on.key, "_n")]
+    return out.select(on.key, *(F.when(~few, F.col(c)).alias(c) for c in figures), F.when(few, "too_few_rows").otherwise("ok").alias("status"))
 
 
 def signal_sentiment(features: DataFrame) -> DataFrame:
@@ -111,8 +112,8 @@ def risk_review(df: DataFrame, var_95: str = "var_95") -> DataFrame:
 
 
 def news_counts(items: DataFrame, key: str) -> DataFrame:
-    """(key, news_count, signal, confidence): neutral, with the number of items up to ten."""
-    return items.groupBy(key).agg(F.least(F.count(F.lit(1)), F.lit(NEWS_LIMIT)).alias("news_count")).withColumns(
+    """(key, news_count, signal, confidence): neutral, with the number of items."""
+    return items.groupBy(key).agg(F.count(F.lit(1)).alias("news_count")).withColumns(
         {"signal": F.lit("neutral"), "confidence": F.lit(0.5)})
 
 
@@ -147,11 +148,14 @@ def snapshot_vector(bundle: DataFrame, names: list[str], last: int = 5, on: Axis
     return vector.select(on.key, F.flatten(F.array(*parts)).cast("array<float>").alias("features"))
 
 
-def stock_risk_metrics(returns: DataFrame, on: Axis = SERIES) -> DataFrame:
-    """(key, var_95, cvar_95, stress_max_dd) per security with at least 20 returns."""
-    enough = returns.groupBy(on.key).agg(F.stddev_samp("ret").alias("vol"), F.count("ret").alias("_n")).where("_n >= 20")
-    worst = stress(enough).groupBy(on.key).agg(F.min("max_drawdown").alias("stress_max_dd"))
-    return var_parametric(returns, [on.key]).select(on.key, "var_95", "cvar_95").join(worst, on.key)
+def stock_risk_metrics(returns: DataFrame, on: Axis = SERIES, min_rows: int = 20) -> DataFrame:
+    """(key, var_95, cvar_95, stress_max_dd, status) per security; figures are NULL and status too_few_rows
+    under ``min_rows`` returns."""
+    sizes = returns.groupBy(on.key).agg(F.stddev_samp("ret").alias("vol"), F.count("ret").alias("_n"))
+    worst = stress(sizes.where(F.col("_n") >= min_rows)).groupBy(on.key).agg(F.min("max_drawdown").alias("stress_max_dd"))
+    few = F.col("_n") < min_rows
+    return var_parametric(returns, [on.key]).join(sizes, on.key).join(worst, on.key, "left").select(
+        on.key, *(F.when(~few, F.col(c)).alias(c) for c in ("var_95", "cvar_95", "stress_max_dd")), F.when(few, "too_few_rows").otherwise("ok").alias("status"))
 
 
 def snapshot_risk(snapshot: DataFrame) -> DataFrame:

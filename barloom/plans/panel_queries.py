@@ -157,7 +157,7 @@ def trade_calendar(spark, folder):
     WITH r AS (SELECT 'S' || l_suppkey AS code, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS stamp, * FROM lineitem)
     SELECT code || '_technical_' || stamp AS id, 'agent_decisions' AS collection,
            '股票:' || code || ' Agent:technical 信号:' || l_returnflag || ' 置信度:' || l_linenumber || ' 分析:'
-           || substr(repeat(l_linestatus || '-' || l_returnflag || ' ', 60), 1, 200) AS document,
+           || repeat(l_linestatus || '-' || l_returnflag || ' ', 60) AS document,
            code AS stock_code, CAST(NULL AS VARCHAR) AS prediction FROM r
     UNION ALL
     SELECT 'reflection_' || code || '_' || stamp, 'reflections',

@@ -64,24 +64,27 @@ def curve_of(spark, folder, r=None):
 
 
 METRIC_COLS = ("trading_days:i final_nav:6 cum_return:6 annual_return:6 annual_volatility:6 sharpe:6 max_drawdown:6 var_95:6 cvar_95:6 "
-               "avg_turnover:6 total_cost:2 daily_win_rate:6 profit_loss_ratio:6 calmar:6 cost_ratio:8")
+               "avg_turnover:6 total_cost:2 daily_win_rate:6 profit_loss_ratio:6 calmar:6 cost_ratio:8 status")
 
 
 def metrics_sql(source: str, by: str = "") -> str:
     """SQL of the performance figures over (by, trade_date, ret, turnover, nav)."""
     part = f"PARTITION BY {by}" if by else ""
     keys, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    few = ", ".join(f"CASE WHEN trading_days >= 5 THEN {c} END AS {c}" for c in (w.split(":")[0] for w in METRIC_COLS.split()) if c not in ("trading_days", "status"))
     return f"""
-    SELECT *, CASE WHEN abs(max_drawdown) > 1e-10 THEN annual_return / abs(max_drawdown) ELSE 0 END AS calmar, total_cost / 1000000 AS cost_ratio FROM (
+    SELECT * REPLACE ({few}) FROM (
+    SELECT *, CASE WHEN abs(max_drawdown) > 1e-10 THEN annual_return / abs(max_drawdown) ELSE 0 END AS calmar, total_cost / 1000000 AS cost_ratio,
+           CASE WHEN trading_days < 5 THEN 'too_few_rows' ELSE 'ok' END AS status FROM (
         SELECT {keys}count(*) AS trading_days, arg_max(nav, trade_date) AS final_nav,
                arg_max(nav, trade_date) / arg_min(nav, trade_date) - 1 AS cum_return,
                pow(arg_max(nav, trade_date) / arg_min(nav, trade_date), 252.0 / count(*)) - 1 AS annual_return,
                stddev_samp(ret) * sqrt(252) AS annual_volatility, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe,
                min(nav / peak - 1) AS max_drawdown, any_value(q) AS var_95, avg(ret) FILTER (ret <= q) AS cvar_95, avg(turnover) AS avg_turnover,
                sum(prev * turnover * 1000000 * 0.0031) AS total_cost, count(*) FILTER (ret > 0) / count(*) AS daily_win_rate,
-               avg(ret) FILTER (ret > 0) / abs(avg(ret) FILTER (ret < 0)) AS profit_loss_ratio
+               coalesce(avg(ret) FILTER (ret > 0), 0) / coalesce(abs(avg(ret) FILTER (ret < 0)), 1) AS profit_loss_ratio
         FROM (SELECT *, max(nav) OVER ({part} ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS peak, quantile_cont(ret, 0.05) OVER ({part}) AS q,
-                     coalesce(lag(nav) OVER ({part} ORDER BY trade_date), 1) AS prev FROM {source}) {group}) WHERE trading_days >= 5"""
+                     coalesce(lag(nav) OVER ({part} ORDER BY trade_date), 1) AS prev FROM {source}) {group}))"""
 
 
 @query("rebalance_dates", "freq rebalance_date:d", uses="days", sql="""
@@ -167,10 +170,10 @@ def total_cost(spark, folder):
     return portfolio.total_cost(curve_of(spark, folder))
 
 
-@query("benchmark_compare", "days:i benchmark_return:6 excess_return:6 information_ratio:6", uses="curve", sql="""
+@query("benchmark_compare", "days:i benchmark_return:6 excess_return:6 information_ratio:6 status", uses="curve", sql="""
     b AS (SELECT trade_date, price / lag(price) OVER (ORDER BY trade_date) - 1 AS bench FROM (SELECT trade_date, avg(close) AS price FROM bars GROUP BY 1))
 --
-SELECT *, (SELECT pow(arg_max(nav, trade_date) / arg_min(nav, trade_date), 252.0 / count(*)) - 1 FROM curve) - benchmark_return AS excess_return FROM (
+SELECT days, 'ok' AS status, benchmark_return, information_ratio, (SELECT pow(arg_max(nav, trade_date) / arg_min(nav, trade_date), 252.0 / count(*)) - 1 FROM curve) - benchmark_return AS excess_return FROM (
     SELECT count(*) AS days, pow(product(1 + bench), 252.0 / count(*)) - 1 AS benchmark_return,
            avg(ret - bench) / stddev_samp(ret - bench) * sqrt(252) AS information_ratio FROM curve JOIN b USING (trade_date) WHERE bench IS NOT NULL)""")
 def benchmark_compare(spark, folder):

@@ -46,12 +46,25 @@ def var_parametric(spark, folder):
         risk.var_parametric(r, ["ts_code"], tail_sign=1.0).withColumn("tail", F.lit("added")))
 
 
-@query("var_monte_carlo", "method " + VAR_COLS)
+_DRAWS = """mc AS (SELECT m + s * sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS ret
+           FROM (SELECT (CAST('0x' || substr(h, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u, (CAST('0x' || substr(h, 17, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS v
+                 FROM (SELECT md5('42-' || range) AS h FROM range(100000))), (SELECT avg(pnl) AS m, stddev_samp(pnl) AS s FROM pnl)),
+    mq AS (SELECT quantile_cont(ret, 0.05) AS q5, quantile_cont(ret, 0.01) AS q1 FROM mc)"""
+_MONTE_CARLO = """SELECT 'monte_carlo' AS method, q5 AS var_95, q1 AS var_99, avg(ret) FILTER (ret <= q5) AS cvar_95, avg(ret) FILTER (ret <= q1) AS cvar_99
+    FROM mc, mq GROUP BY q5, q1"""
+
+
+@query("var_monte_carlo", "method " + VAR_COLS, uses="pnl", sql=f"{_DRAWS}\n--\n{_MONTE_CARLO}")
 def var_monte_carlo(spark, folder):
     return risk.var_monte_carlo(spark, risk.portfolio_pnl(holdings(spark, folder)).withColumnRenamed("pnl", "ret"))
 
 
-@query("var_all", "method " + VAR_COLS)
+@query("var_all", "method " + VAR_COLS, uses="pnl", sql=f"""{_DRAWS},
+    hq AS (SELECT quantile_cont(pnl, 0.05) AS q5, quantile_cont(pnl, 0.01) AS q1 FROM pnl)
+--
+{_MONTE_CARLO} UNION ALL
+    SELECT 'historical', q5, q1, avg(pnl) FILTER (pnl <= q5), avg(pnl) FILTER (pnl <= q1) FROM pnl, hq GROUP BY q5, q1 UNION ALL
+    SELECT 'parametric', * FROM ({_PARAM.format(key="", sign="-", src="(SELECT pnl AS ret FROM pnl)", group="")})""")
 def var_all(spark, folder):
     return risk.var_all(spark, risk.portfolio_pnl(holdings(spark, folder)).withColumnRenamed("pnl", "ret"))
 

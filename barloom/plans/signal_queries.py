@@ -69,7 +69,8 @@ def signal_technical(spark, folder):
 
 
 TABLES["sentiment"] = ("bars", f"""
-    SELECT * FROM (
+    SELECT ts_code, CASE WHEN n >= 20 THEN vol_20d_annual END AS vol_20d_annual, CASE WHEN n >= 20 THEN vol_60d_annual END AS vol_60d_annual, CASE WHEN n >= 20 THEN vol_percentile END AS vol_percentile, CASE WHEN n >= 20 THEN var_95 END AS var_95, CASE WHEN n >= 20 THEN cvar_95 END AS cvar_95, CASE WHEN n >= 20 THEN limit_ratio_20d END AS limit_ratio_20d, CASE WHEN n >= 20 THEN trend_strength END AS trend_strength,
+           CASE WHEN n < 20 THEN 'too_few_rows' ELSE 'ok' END AS status FROM (
         SELECT ts_code, count(r) AS n, stddev_pop(r) FILTER (back <= 20) * sqrt(252) AS vol_20d_annual,
                CASE WHEN count(r) >= 60 THEN stddev_pop(r) FILTER (back <= 60) * sqrt(252) END AS vol_60d_annual,
                stddev_pop(r) FILTER (back <= 20) / stddev_pop(r) AS vol_percentile,
@@ -78,8 +79,8 @@ TABLES["sentiment"] = ("bars", f"""
                (count(*) FILTER (back <= 20 AND r > 0.09) - count(*) FILTER (back <= 20 AND r < -0.09)) / 20 AS limit_ratio_20d,
                CASE WHEN count(r) >= 60 THEN avg(r) FILTER (back <= 10) / stddev_pop(r) FILTER (back <= 60) ELSE 0 END AS trend_strength
         FROM (SELECT ts_code, ln(close / lag(close) OVER ({ORDERED})) AS r, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) AS back FROM bars)
-        GROUP BY 1) WHERE n >= 20""")
-_SENTIMENT_COLS = "ts_code vol_20d_annual:6 vol_60d_annual:6 vol_percentile:6 var_95:6 cvar_95:6 limit_ratio_20d:6 trend_strength:6"
+        GROUP BY 1)""")
+_SENTIMENT_COLS = "ts_code vol_20d_annual:6 vol_60d_annual:6 vol_percentile:6 var_95:6 cvar_95:6 limit_ratio_20d:6 trend_strength:6 status"
 
 
 @query("sentiment_features", _SENTIMENT_COLS, uses="sentiment", sql="SELECT * FROM sentiment")
@@ -117,7 +118,7 @@ def signal_risk_review(spark, folder):
 
 
 @query("news_counts", "user_id:i news_count:i signal confidence:2", sql="""
-    SELECT user_id, least(count(*), 10) AS news_count, 'neutral' AS signal, 0.5 AS confidence FROM events GROUP BY 1""")
+    SELECT user_id, count(*) AS news_count, 'neutral' AS signal, 0.5 AS confidence FROM events GROUP BY 1""")
 def news_counts(spark, folder):
     return signals.news_counts(table(spark, folder, "events"), "user_id")
 
@@ -150,9 +151,10 @@ def snapshot_vector(spark, folder):
     return v.withColumns({"n": F.size("features"), "checksum": total, "first": F.col("features")[0]})
 
 
-@query("stock_risk_metrics", "ts_code var_95:6 cvar_95:6 stress_max_dd:4", uses="rets", sql=_STRESS + """
-    SELECT o.ts_code, any_value(m + s * -1.6448536269514729) AS var_95, any_value(m - s * 0.10313564037537128 / 0.05) AS cvar_95, min(max_drawdown) AS stress_max_dd
-    FROM outcome o JOIN (SELECT ts_code, avg(ret) AS m, stddev_samp(ret) AS s, count(ret) AS n FROM rets GROUP BY 1) p USING (ts_code) WHERE n >= 20 GROUP BY 1""")
+@query("stock_risk_metrics", "ts_code var_95:6 cvar_95:6 stress_max_dd:4 status", uses="rets", sql=_STRESS + """
+    SELECT ts_code, CASE WHEN n >= 20 THEN m + s * -1.6448536269514729 END AS var_95, CASE WHEN n >= 20 THEN m - s * 0.10313564037537128 / 0.05 END AS cvar_95,
+           CASE WHEN n >= 20 THEN worst END AS stress_max_dd, CASE WHEN n < 20 THEN 'too_few_rows' ELSE 'ok' END AS status
+    FROM (SELECT ts_code, avg(ret) AS m, stddev_samp(ret) AS s, count(ret) AS n FROM rets GROUP BY 1) LEFT JOIN (SELECT ts_code, min(max_drawdown) AS worst FROM outcome GROUP BY 1) USING (ts_code)""")
 def stock_risk_metrics(spark, folder):
     return signals.stock_risk_metrics(returns(spark, folder).select("ts_code", "ret"))
 
@@ -192,7 +194,7 @@ def decisions(spark, folder):
     FROM (SELECT *, strftime(l_shipdate, '%Y-%m-%d') || '-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ts FROM lineitem WHERE l_suppkey = 3)
     ORDER BY ts DESC LIMIT 10""")
 def records_by_stock(spark, folder):
-    return records.by_stock(decisions(spark, folder), "S3")
+    return records.by_stock(decisions(spark, folder), "S3", 10)
 
 
 @query("collection_stats", "collection n:i", sql="""

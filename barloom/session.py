@@ -34,11 +34,13 @@ def build_session(app: str = "barloom", master: str | None = None, partitions: i
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, for checkpoints and written tables.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local runs) a temporary folder takes its place.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and Spark runs
+    in one process (tests, local runs) a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

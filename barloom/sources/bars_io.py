@@ -15,8 +15,8 @@ def scan_range(df: DataFrame, start, end, date: str = "trade_date") -> DataFrame
 
 
 def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """All bar files under a path, unreadable ones skipped, within a date range."""
-    df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    """All bar files under a path within a date range. An unreadable file fails the read, as a result without it would be incomplete."""
+    df = spark.read.parquet(path)
     return df if start is None else scan_range(df, start, end)
 
 

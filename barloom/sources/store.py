@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 KEYS = ["trade_date", "ts_code"]
 # The wording of the record texts below, and the length of the reasoning kept in one.
-REASON_CHARS = 200
 
 
 def _fs(spark: SparkSession, path: str):
@@ -92,8 +91,7 @@ def _meta(**fields: Column) -> Column:
 def decision_record(code: Column, agent: Column, signal: Column, confidence: Column, reasoning: Column, at: Column) -> list[Column]:
     """Record columns of one decision."""
     text = F.concat(F.lit("股票:"), code, F.lit(" Agent:"), agent, F.lit(" 信号:"), F.coalesce(signal, F.lit("?")),
-                    F.lit(" 置信度:"), F.coalesce(confidence.cast("string"), F.lit("0")), F.lit(" 分析:"),
-                    F.substring(F.coalesce(reasoning, F.lit("")), 1, REASON_CHARS))
+                    F.lit(" 置信度:"), F.coalesce(confidence.cast("string"), F.lit("0")), F.lit(" 分析:"), F.coalesce(reasoning, F.lit("")))
     return [F.concat_ws("_", code, agent, at).alias("id"), F.lit("agent_decisions").alias("collection"),
             text.alias("document"), _meta(stock_code=code, agent_name=agent, timestamp=at).alias("metadata"),
             F.lit(None).cast("array<float>").alias("embedding")]

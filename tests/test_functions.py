@@ -182,3 +182,16 @@ def test_every_function_by_name(panel):
     for name in lib.names():
         last = lib.add(df, "out", name, *ARGS.get(name, ("close",))).where("ts_code = 'B' and trade_date = '2024-01-06'").collect()
         assert len(last) == 1 and (last[0]["out"] is not None or name == "KEEP"), name
+
+
+def test_ranks_with_nan_inf_ties_and_one_big_date(spark):
+    rows = [("d1", f"S{i:04d}", 5.0) for i in range(900)] + [("d1", "X1", float("nan")), ("d1", "X2", float("inf")), ("d1", "X3", None), ("d1", "X4", -1.0), ("d1", "X5", 7.0)]
+    rows += [("d2", "A", None), ("d2", "B", None), ("d3", "A", 2.0)]
+    df = spark.createDataFrame(rows, "trade_date string, ts_code string, x double")
+    pct = {(r["trade_date"], r["ts_code"]): r["r"] for r in section.pct_rank(df, "x", "r").collect()}
+    assert pct["d1", "X4"] == 1 / 902 and pct["d1", "X5"] == 1.0 and pct["d1", "S0003"] == (1 + 901 + 1) / 2 / 902
+    assert pct["d1", "X1"] is pct["d1", "X2"] is pct["d1", "X3"] is pct["d2", "A"] is None and pct["d3", "A"] == 1.0
+    place = {(r["trade_date"], r["ts_code"]): round(r["r"] * 905) for r in section.ordinal_rank(df.where("trade_date = 'd1'"), "x", "r").collect()}
+    assert [place["d1", c] for c in ("X4", "S0000", "S0899", "X5", "X1", "X2", "X3")] == [1, 2, 901, 902, 903, 904, 905]
+    mid = {r["trade_date"]: r["m"] for r in section.group_quantile(df, ["trade_date"], "x", 0.5, "m").collect()}
+    assert mid == {"d1": 5.0, "d3": 2.0}
