@@ -159,3 +159,31 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     measured = materialize(with_measures(docs), "quality")
     fences = materialize(thresholds(measured), "fences")
     return judge(measured, fences).where("_kept").select(*docs.columns)
+
+
+def oracle_sql() -> str:
+    """The verdicts in SQL: the same buckets and fences from window sums."""
+    shift = "greatest(length(bin({v})) - 5, 0)"
+    rates = {"symbol_rate": "n_symbols * 1000", "dup_line_rate": "n_dup_lines * 1000", "repeat_rate": "n_repeat_words * 1000", "word_length": "word_chars * 10"}
+    per = ", ".join(f"CAST({x} // greatest(n_words, 1) AS BIGINT) AS {m}" for m, x in rates.items())
+    cases = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v, {least} AS least FROM r WHERE NOT base_failed" for m, (least, _) in MEASURES.items())
+    bad = " OR ".join(
+        f"coalesce((SELECT r.{m} > f.q3 + far{f' OR r.{m} < f.q1 - far' if two else ''} FROM f WHERE f.measure = '{m}' "
+        "AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source), false)" for m, (_, two) in MEASURES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+t AS (SELECT rid, i, (ws[i], ws[i + 1], ws[i + 2]) AS tri FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+u AS (SELECT rid, count(DISTINCT p) AS n FROM (
+        SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, tri) AS c FROM t) WHERE c > 1) GROUP BY rid),
+c AS (SELECT w.rid, doc_id, lang, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(u.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN u USING (rid)),
+r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {per} FROM c),
+x AS (SELECT lang, source, measure, least, {shift.format(v="v")} * 16 + (v >> {shift.format(v="v")}) AS b, count(*) AS n FROM ({cases}) GROUP BY ALL),
+y AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS whole,
+             CASE WHEN b < 32 THEN b ELSE ((b % 16 + 17) << CAST(b // 16 - 1 AS INT)) - 1 END AS top FROM x),
+q AS (SELECT lang, source, measure, least, min(top) FILTER (upto >= whole * 0.25) AS q1, min(top) FILTER (upto >= whole * 0.75) AS q3 FROM y GROUP BY ALL),
+f AS (SELECT *, greatest({FENCE_SPREADS} * (q3 - q1), least) AS far FROM q)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {bad}) AS kept FROM r"""
