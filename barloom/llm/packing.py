@@ -30,41 +30,102 @@ from barloom.session import materialize
 WINDOW = 2048
 UNIT = 8
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 SALT_ROWS = 20_000  # pieces ranked in one group
 _SLICE = 1 << 20  # characters tokenised at once
 #: White space of the tokenizer's pattern; str.split() knows four more characters.
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _OTHER_GAPS = re.compile("[\x1c-\x1f]")
+#: Composed Latin letters, then signs that no rule of the tokenizer joins to letters.
+_PARTS = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-;=?@\\[-`{}~]*)")
+
+
+class _Known(dict):
+    """A bounded cache; what it has no room for is looked up in ``fresh``, the words of the texts at hand."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+    def add(self, new: dict[str, bytes]) -> None:
+        """Words seen first are mostly the frequent ones: a full cache keeps them."""
+        self.fresh = new
+        if len(self) + len(new) <= CACHED_WORDS:
+            self.update(new)
 
 
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, word by word."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, word by word.
+
+    A word that is Latin letters and then other characters is put together from the ids of both parts. New letter parts go to the
+    tokenizer many at once in one text; the tokens that end a word show where to cut.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
+        # parts are independent only if the tokenizer marks ends of words, drops white space and parts letters from signs
+        self.parted = self.ends.any() and self._ids("Words, more!") == sum(map(self._ids, ["words", ",", "more", "!"]), [])
+        self.words, self.parts = _Known(), _Known()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _letters(self, parts: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(parts), 20_000):
+            some = parts[at:at + 20_000]
+            lines = [" ".join(some[k:k + 100]) for k in range(0, len(some), 100)]
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            cut = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            raw, begin = ids.tobytes(), 0
+            if len(cut) != len(some):
+                raise ValueError("the tokenizer splits words of letters")
+            for word, stop in zip(some, cut.tolist()):
+                out[word] = raw[begin:stop]
+                begin = stop
+        return out
+
+    def _whole(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(words), 20_000):
+            some = words[at:at + 20_000]
+            out |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False))}
+        return out
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        split = [(w, _PARTS.fullmatch(w) if self.parted else None) for w in words]
+        new = self._whole([w for w, m in split if m is None])
+        split = [(w, m[1].lower(), m[2]) for w, m in split if m]
+        letters = self._letters([p for p in {p for _, p, _ in split} if p not in self.parts])
+        signs = self._whole([p for p in {p for _, _, p in split} if p not in self.parts])
+        self.parts.add(letters | signs)
+        for w, a, b in split:
+            new[w] = self.parts[a] + self.parts[b]
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_GAP.split(t) if _OTHER_GAPS.search(t) else t.split() for t in texts]
-        self._learn(set().union(*split))
-        get = self.known.__getitem__
+        self.words.add(self._learn([w for w in set().union(*split) if w not in self.words]))
+        get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+_LOADED: dict[str, WordIds] = {}  # one per Python worker, kept over its tasks
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
+
+
 def _cuts(text: str) -> Iterator[str]:
     """The text in slices of about ``_SLICE`` characters, cut at white space."""
     at = 0
@@ -81,7 +142,7 @@ def find_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows and the tail of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             out = []
