@@ -55,9 +55,9 @@ def incremental_merge(old: DataFrame, new: DataFrame, seq: str) -> DataFrame:
 
 
 def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by year; rows of one year and security land together, split by size, not by key count."""
+    """Parquet by year; a year's rows land together, large years split by size."""
     years = df.withColumn("year", F.year("trade_date"))
-    years.repartition("year", "ts_code").write.mode(mode).partitionBy("year").parquet(path)
+    years.hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(path)
 
 
 def load_if_missing(requested: DataFrame, stored: DataFrame, source: DataFrame) -> DataFrame:

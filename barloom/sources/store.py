@@ -59,7 +59,8 @@ class FactorStore:
         """Store the named columns; an existing factor is replaced."""
         long = factors.select(*KEYS, F.explode(F.array(*(
             F.struct(F.lit(n).alias("factor"), F.col(n).cast("double").alias("value")) for n in names))).alias("_c"))
-        (long.select(*KEYS, "_c.factor", "_c.value").write.mode("overwrite")
+        # rebalanced first: else every task would write a small file for every factor
+        (long.select(*KEYS, "_c.factor", "_c.value").hint("rebalance", "factor").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("factor").parquet(self.root))
 
     def read(self, names: list[str]) -> DataFrame:
