@@ -120,7 +120,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tupl
     return post, theta, share
 
 
-def fit_linear(votes: np.ndarray, target: np.ndarray, l2: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
+def fit_linear(votes: np.ndarray, target: np.ndarray, l2: float = 1e-4, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic model of soft labels, by Newton's method."""
     x = np.column_stack([votes, np.ones(len(votes))]).astype(float)
     w = np.zeros(x.shape[1])
