@@ -224,3 +224,20 @@ def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     """The documents without those that are near copies of one with a smaller doc_id; of repeated rows one stays."""
     kept = cluster(docs, size, percent).where("kept").select("doc_id").distinct()
     return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def oracle_sql(size: int = 3, percent: int = 85) -> str:
+    """The clusters from all pairs of documents that share a shingle."""
+    gram = " || ' ' || ".join(f"ws[i + {k}]" for k in range(size))
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(ws) - {size - 2}), lambda i: {gram})) END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+      HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a AS d, b AS e FROM l UNION SELECT r.d, l.b FROM r JOIN l ON r.e = l.a),
+c AS (SELECT d AS doc_id, min(e) AS e FROM r GROUP BY d)
+SELECT doc_id, len(g) AS n_shingles, least(doc_id, coalesce(e, doc_id)) AS component_id, doc_id <= coalesce(e, doc_id) AS kept FROM s LEFT JOIN c USING (doc_id)"""

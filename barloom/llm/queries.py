@@ -50,4 +50,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_lattice_score, op3_toxicity, op4_suffix_dedup, op5_minhash_near_dedup, op6_sentencepiece, op7_license_scan, op8_line_templates, op9_packing, op10_quality_rules)}
-ORACLES = {"op7_license_scan": licenses.oracle_sql(), "op8_line_templates": lines.oracle_sql(), "op10_quality_rules": quality.oracle_sql()}
+ORACLES = {
+    "op4_suffix_dedup": repeats.oracle_sql(),
+    "op5_minhash_near_dedup": neardup.oracle_sql(),
+    "op7_license_scan": licenses.oracle_sql(),
+    "op8_line_templates": lines.oracle_sql(),
+    "op10_quality_rules": quality.oracle_sql(),
+}

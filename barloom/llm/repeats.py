@@ -235,3 +235,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     text = F.when(F.col("_first").isNull(), F.col("text")).otherwise(cut("text", "_first", "_last"))
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+def oracle_sql(length: int = LENGTH) -> str:
+    """The digests from all windows of all texts, written as hexadecimal digits."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+k AS (SELECT rid, s, md5(substr(h, 2 * s + 1, {2 * length})) AS m
+      FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - {length - 1})) AS s FROM d WHERE length(h) >= {2 * length})),
+g AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY m) AS c FROM k) WHERE c > 1),
+n AS (SELECT rid, s, CASE WHEN lag(s) OVER (PARTITION BY rid ORDER BY s) >= s - {length} THEN 0 ELSE 1 END AS fresh FROM g),
+sp AS (SELECT rid, min(s) AS f, max(s) + {length} AS e FROM (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS i FROM n) GROUP BY rid, i),
+p AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY f), 0) AS start, f AS stop FROM sp
+      UNION ALL SELECT d.rid, coalesce(max(e), 0), length(any_value(h)) // 2 FROM d LEFT JOIN sp USING (rid) GROUP BY d.rid),
+t AS (SELECT rid, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start) AS kept FROM p JOIN d USING (rid) GROUP BY rid),
+c AS (SELECT rid, sum(e - f) AS gone, count(*) AS spans FROM sp GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (rid) LEFT JOIN c USING (rid)"""
