@@ -8,10 +8,12 @@ with as many coordinates as the wanted similarity allows (``band_rows``), propos
 similarity misses all bands with a probability below 1e-6.
 
 Sets that are equal form one class and one node. Inside a bucket (nodes that share a band) no list of all pairs is
-made. First every node is compared with the bucket's hub, the node whose buckets are largest; then, while a bucket
-holds several components, its next ``PIVOTS`` nodes are compared with the members of other components and
-retired. A pair inside a component needs no comparison, so what is lost is nothing: each pair of a bucket is either
-compared on the full sets or already connected. Buckets with the same members count once.
+made. First every node meets the bucket's hub, the node whose buckets are largest; then, while a bucket
+holds several components, its next pivots (``PIVOTS``, twice as many each time) meet the members of other components and
+retire. A pair inside a component needs no comparison, so nothing is lost: each pair of a bucket either meets or is
+already connected. Pairs whose sketches differ in so many coordinates that the wanted similarity is five standard
+deviations away are left out in the join itself; all others are compared on the full sets. Buckets with the same members count
+once, and a pair meets only in the first bucket that it shares.
 
 Defined cases: null, blank or empty text has no shingles and is linked with nothing (its own component); fewer words than
 a shingle has are one shingle; repeated rows share a class; rows of one doc_id with different texts are one node with several
@@ -29,12 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.graph import components
+from barloom.llm.graph import components, stored
 from barloom.llm.rolling import U, mix, shingles, utf8, word_hashes
 from barloom.session import materialize
 
 BANDS = 70
-PIVOTS = 4
+PIVOTS = 64
+DEVIATIONS = 5
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 ELEMENTS = 1 << 20  # shingles sketched at once
 
@@ -87,6 +90,19 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def bits(values: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate, as rows of signed 64-bit words."""
+    pair = np.stack([values & U(1), values >> U(1) & U(1)], axis=2).reshape(len(values), -1)
+    packed = np.packbits(pair.astype(np.uint8), axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.int64)
+
+
+def most_differences(t: int, percent: int) -> int:
+    """Differing coordinates, as far as two bits show them, beyond which two sets are not that similar."""
+    p = (1 - percent / 100) * 3 / 4
+    return math.ceil(t * p + DEVIATIONS * math.sqrt(t * p * (1 - p)))
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
     data, offsets = utf8(batch.column("text"))
     row, h = word_hashes(data, offsets)
@@ -106,27 +122,28 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_sketches(docs: DataFrame, size: int, rows: int) -> DataFrame:
-    """(doc_id, n, s1, s2, bands): set size, 128-bit identity of the set, band keys (null without shingles)."""
+    """(doc_id, n, s1, s2, bands, bits): set size, 128-bit identity of the set, band keys and sketch bits (of no use without shingles)."""
+    words = -(-rows * BANDS // 32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = _sets(b, size)
             n = np.array([len(s) for s in sets])
-            keys = np.zeros((len(sets), BANDS), dtype=U)
+            keys, marks = np.zeros((len(sets), BANDS), dtype=U), np.zeros((len(sets), words), dtype=np.int64)
             some = np.flatnonzero(n)
             at = 0
             while at < len(some):
                 stop = max(at + 1, int(np.searchsorted(np.cumsum(n[some[at:]]), ELEMENTS, side="right")) + at)
                 part = some[at:stop]
-                keys[part] = band_keys(sketch([sets[k] for k in part], rows * BANDS), rows)
+                values = sketch([sets[k] for k in part], rows * BANDS)
+                keys[part], marks[part] = band_keys(values, rows), bits(values)
                 at = stop
             with np.errstate(over="ignore"):
                 ids = [np.array([mix(s * U(m) + U(m)).sum(dtype=U) for s in sets], dtype=U).view(np.int64) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-            flat = pa.array(keys.reshape(-1).view(np.int64))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, ids), bands], names=["doc_id", "n", "s1", "s2", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))) for x in (keys, marks)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, ids), *lists], names=["doc_id", "n", "s1", "s2", "bands", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>, bits array<long>")
 
 
 def find_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -152,55 +169,53 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs with 100 * |A and B| >= percent * |A or B| on full sets; sizes are compared before the sets move."""
-    fits = pairs.where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent).select("a", "b")
+    """The (a, b) pairs with 100 * |A and B| >= percent * |A or B| on full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
-    return fits.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
-
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
 
-def _pairs(pivots: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct pairs of a pivot and another member of its bucket outside the pivot's component, with sizes."""
-    joined = members.join(pivots, "bucket").where("node <> pivot and component <> pc")
-    a, b = F.least("node", "pivot"), F.greatest("node", "pivot")
 
-    def side(of: Column) -> Column:
-        return F.when(F.col("node") == of, F.col("n")).otherwise(F.col("pn"))
+def _pairs(pivots: DataFrame, members: DataFrame, percent: int, t: int) -> DataFrame:
+    """Distinct pairs of a pivot and another member of its bucket outside the pivot's component that can be similar enough, with sizes."""
+    def differing(i: int) -> Column:
+        x = F.get("bits", F.lit(i)).bitwiseXOR(F.get("pbits", F.lit(i)))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
-    return joined.select(a.alias("a"), b.alias("b"), side(a).alias("na"), side(b).alias("nb")).distinct()
+    differ = sum((differing(i) for i in range(-(-t // 32))), F.lit(0))
+    fits = (F.col("n") * 100 >= F.col("pn") * percent) & (F.col("pn") * 100 >= F.col("n") * percent)
+    first = F.col("bucket") == F.array_min(F.array_intersect("own", "pown")) if "own" in members.columns else F.lit(True)
+    joined = members.join(pivots.withColumnRenamed("bucket", "_bucket"),
+                          (F.col("bucket") == F.col("_bucket")) & (F.col("node") != F.col("pivot")) & (F.col("component") != F.col("pc")) & fits & (differ <= most_differences(t, percent)) & first)
+    return joined.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, component) of the nodes that have a link. ``nodes`` has node, n and bands; ``given`` holds links known beforehand."""
+    """(node, component) of the nodes that have a link. ``nodes`` has node, n, bands and bits; ``given`` holds links known beforehand."""
     buckets = _buckets(nodes)
     rank = buckets.groupBy("node").agg(F.sum(F.log2("c")).alias("rank"))
-    info = nodes.groupBy("node").agg(F.max("n").alias("n")).join(rank, "node")
-    members = materialize(buckets.select("bucket", "node").join(info, "node").withColumn("component", F.col("node")), "members")
+    info = nodes.select("node", "n", "bits").join(rank, "node")
+    members = stored(buckets.select("bucket", "node").join(info, "node").withColumn("component", F.col("node")), "members")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node")
     sets = materialize(find_sets(texts, size), "sets")
 
-    found, tested, pivots = given, [], 1
+    own = buckets.groupBy("node").agg(F.collect_list("bucket").alias("own"))  # at most one per band
+    found, pivots = given, 1
     while True:
         order = Window.partitionBy("bucket").orderBy(F.desc("rank"), "node")
-        hubs = materialize(members.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= pivots)
-                           .select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc")), "hubs")
-        pairs = materialize(_pairs(hubs, members), "pairs")
-        fresh = pairs
-        for t in tested:
-            fresh = fresh.join(t, ["a", "b"], "left_anti")
-        found = materialize(found.unionByName(_confirmed(fresh, sets, percent)), "links")
-        labels = materialize(components(found), "labels")
+        hubs = stored(members.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= pivots)
+                      .select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("component").alias("pc"), *[F.col(c).alias("pown") for c in members.columns if c == "own"]), "hubs")
+        fresh = _confirmed(_pairs(hubs, members, percent, BANDS * band_rows(percent)), sets, percent)
+        found = stored(found.unionByName(fresh), "links")
+        labels = stored(components(found), "labels")
         # a hub has met every other component of its bucket and retires; buckets whose other members still differ go on
-        rest = (members.drop("component").join(hubs.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-                .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        rest = materialize(rest, "rest")
+        rest = stored(members.drop("component").join(hubs.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+                      .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
         mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("bucket")
-        members = materialize(rest.join(mixed, "bucket"), "members")
+        members = stored(rest.drop("own").join(mixed, "bucket").join(own, "node"), "members")
         if members.isEmpty():
             return labels
-        tested.append(pairs.select("a", "b"))
-        pivots = PIVOTS
+        pivots = max(PIVOTS, 2 * pivots)
 
 
 def cluster(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
@@ -208,7 +223,7 @@ def cluster(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     sk = materialize(find_sketches(docs, size, band_rows(percent)), "sketches")
     known = sk.where("n > 0 and doc_id is not null")
     classes = materialize(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = materialize(known.join(classes, ["s1", "s2"]).where("doc_id = node").dropDuplicates(["s1", "s2"]).select("node", "n", "bands"), "nodes")
+    nodes = materialize(known.join(classes, ["s1", "s2"]).where("doc_id = node").dropDuplicates(["s1", "s2"]).select("node", "n", "bands", "bits"), "nodes")
     own = materialize(known.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).groupBy("doc_id").agg(
         F.min("node").alias("node"), F.collect_set("node").alias("_all")), "own")
     # one doc_id with several texts joins the classes of all of them

@@ -69,6 +69,27 @@ def test_sketch_fills_and_estimates():
     assert (neardup.sketch([a[:1]], 700) == pair[2]).all()  # alone as in company
 
 
+def test_bits_leave_no_similar_pair_out():
+    rnd = np.random.default_rng(2)
+    a = mix(rnd.integers(0, 1 << 60, 4000, dtype=np.uint64))
+    for n in (6, 20, 300):
+        sets = [x for k in range(12) for x in (a[k * 300:k * 300 + n], a[k * 300 + int(n * 0.05):k * 300 + n + int(n * 0.05)])]
+        b = neardup.bits(neardup.sketch(sets, 700)).view(np.uint64)
+
+        def differ(i, j):
+            x = b[i] ^ b[j]
+            return int(np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum())
+
+        assert max(differ(i, i + 1) for i in range(0, 24, 2)) <= neardup.most_differences(700, 85) < 130
+        assert differ(0, 2) > 400
+
+
+def test_a_node_may_appear_with_two_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    df = spark.createDataFrame([(4, one, 0, 0), (4, two, 0, 0), (2, one, 0, 0), (3, two + " c", 0, 0), (9, "z", 0, 0)], SCHEMA)
+    assert {(r.doc_id, r.component_id) for r in neardup.cluster(df).collect()} == {(4, 2), (2, 2), (3, 2), (9, 9)}
+
+
 def test_components_of_a_path_and_stars(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 9)] + [(300, 250), (300, 260)]
