@@ -185,7 +185,8 @@ class Lattice:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c, total): counts in training documents and in all; the end token is the word END."""
-    return (docs.select("held_out", F.explode(F.array_append(words(ascii_lower(F.col("text"))), END)).alias("word"))
+    # the outer form of explode: for the inner one Spark adds a filter on the size and splits every text twice
+    return (docs.select("held_out", F.explode_outer(F.array_append(words(ascii_lower(F.col("text"))), END)).alias("word"))
             .groupBy("word").agg(F.count(F.when(~F.col("held_out"), 1)).alias("c"), F.count(F.lit(1)).alias("total")))
 
 
@@ -248,7 +249,7 @@ def score(docs: DataFrame, path: str, held_out_remainder: int = 2, folds: int =
     frequent = valued.where(F.col("total") >= least).drop("total")
     rare = valued.where(F.col("total") < least).drop("total")
     tokens = marked.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "held_out",
-                           F.explode(F.array_append(words(ascii_lower(F.col("text"))), END)).alias("word"))
+                           F.explode_outer(F.array_append(words(ascii_lower(F.col("text"))), END)).alias("word"))
     sums = [F.count(F.lit(1)).alias("n_tokens"), F.count(F.when(F.col("known"), 1)).alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"),
             F.count(F.when(F.col("word") == END, 1)).alias("rows")]
     by = ["key", "doc_id", "held_out"]

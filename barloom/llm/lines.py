@@ -42,9 +42,10 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     """(h, leaf, n, ctx, line) of every line that is not blank."""
     lines = docs.select(F.filter(_masked_lines(F.col("text")), lambda x: x != "").alias("_l"))
     around = F.arrays_zip(
-        F.col("_l").alias("line"), F.concat(F.array(F.lit("")), F.slice("_l", F.lit(1), F.size("_l") - 1)).alias("before"),
+        F.col("_l").alias("line"), F.concat(F.array(F.lit("")), F.slice("_l", F.lit(1), F.greatest(F.size("_l") - 1, F.lit(0)))).alias("before"),
         F.concat(F.slice("_l", F.lit(2), F.size("_l")), F.array(F.lit(""))).alias("after"))
-    rows = lines.where(F.size("_l") > 0).select(F.explode(around).alias("x")).select("x.line", F.xxhash64("x.before", "x.after").alias("ctx"))
+    # the outer form: for the inner one Spark adds a filter on the size, and with it builds every array twice
+    rows = lines.select(F.explode_outer(around).alias("x")).where("x.line <> ''").select("x.line", F.xxhash64("x.before", "x.after").alias("ctx"))
     n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     return rows.select(_hash(F.col("line")).alias("h"), F.xxhash64(n, F.substring_index("line", " ", LEAD)).alias("leaf"), n.alias("n"), "ctx", "line")
 
@@ -67,7 +68,7 @@ def recurring_lines(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
 def _with_dropped(docs: DataFrame, contexts: int) -> DataFrame:
     """The documents with ``_drop``, the hashes of their lines that go (null if none)."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    own = keyed.select("_key", F.explode(F.array_distinct(F.transform(_masked_lines(F.col("text")), lambda x: _hash(x)))).alias("h"))
+    own = keyed.select("_key", F.explode_outer(F.array_distinct(F.transform(_masked_lines(F.col("text")), lambda x: _hash(x)))).alias("h"))
     gone = own.join(recurring_lines(docs, contexts), "h").groupBy("_key").agg(F.collect_set("h").alias("_drop"))
     return keyed.join(gone, "_key", "left")
 
