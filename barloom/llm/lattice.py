@@ -34,6 +34,8 @@ FREQUENT = 100_000
 ROUNDS = 2
 SMOOTHING = 0.01  # added to every piece's expected count
 LONG = 200  # words above this length are walked one by one
+TOGETHER = 100_000  # words that go through the lattice at once, so that each length makes a long block
+EDGES = 2_000_000  # lattice edges of one block
 _BASE = 0x9E3779B97F4A7C15
 _SLOTS = 22
 
@@ -109,8 +111,9 @@ class Lattice:
             if n > LONG:
                 yield from ((rows[k:k + 1], None) for k in range(len(rows)))
                 continue
-            for at in range(0, len(rows), 4096):
-                part = rows[at:at + 4096]
+            width = max(1, EDGES // (int(n) * min(int(n), self.longest)))
+            for at in range(0, len(rows), width):
+                part = rows[at:at + width]
                 raw = "".join(texts[k] for k in part).encode("utf-32-le", "surrogatepass")
                 yield part, np.frombuffer(raw, dtype=np.uint32).reshape(len(part), n).astype(np.int64)
 
@@ -183,6 +186,19 @@ class Lattice:
             np.add.at(out, list(ids), weight * math.exp(min(0.0, a[i] + lp + b[j] - a[-1])))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches joined to ones of about ``TOGETHER`` rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= TOGETHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c, total): counts in training documents and in all; the end token is the word END."""
     # the outer form of explode: for the inner one Spark adds a filter on the size and splits every text twice
@@ -203,7 +219,7 @@ def fit(counts: DataFrame, vocab: list[tuple[str, float]], rounds: int = ROUNDS)
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*shared.value)
             total = np.zeros(len(lattice.logp))
-            for b in batches:
+            for b in _gathered(batches):
                 total += lattice.expected_counts(b.column("word").to_pylist(), np.array(b.column("c"), dtype=float))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
@@ -230,7 +246,7 @@ def score(docs: DataFrame, path: str, held_out_remainder: int = 2, folds: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
-        for b in batches:
+        for b in _gathered(batches):
             w = b.column("word").to_pylist()
             lp = lattice.log_probability(w)
             lp[[k for k, x in enumerate(w) if x == END]] = lattice.logp[-1]
@@ -253,8 +269,13 @@ def score(docs: DataFrame, path: str, held_out_remainder: int = 2, folds: int =
     sums = [F.count(F.lit(1)).alias("n_tokens"), F.count(F.when(F.col("known"), 1)).alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"),
             F.count(F.when(F.col("word") == END, 1)).alias("rows")]
     by = ["key", "doc_id", "held_out"]
-    near = tokens.join(F.broadcast(frequent), "word").groupBy(*by).agg(*sums)
-    far = tokens.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(rare, "word").groupBy(*by).agg(*sums)
+    # one pass over the tokens: frequent words are summed at once, of each other word its number per document stays
+    first = tokens.join(F.broadcast(frequent), "word", "left").withColumn("rare", F.when(F.col("model").isNull(), F.col("word")))
+    first = materialize(first.groupBy(*by, "rare").agg(*sums), "frequent")
+    known = F.col("known").cast("long") * F.col("n_tokens")
+    far = first.where("rare is not null").join(rare.withColumnRenamed("word", "rare"), "rare").select(
+        *by, "n_tokens", known.alias("n_known"), (F.col("base") * F.col("n_tokens")).alias("base_score"), (F.col("model") * F.col("n_tokens")).alias("score"), F.when(F.col("rare") == END, F.col("n_tokens")).otherwise(0).alias("rows"))
+    near = first.where("rare is null").select(*by, "n_tokens", "n_known", "base_score", "score", "rows")
     out = near.unionByName(far).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "rows")])
     # repeated rows were summed together: share out and list them again
     share = out.select(*by[1:], *[F.expr(f"{c} div rows").alias(c) for c in ("n_tokens", "n_known")], *[(F.col(c) / F.col("rows")).alias(c) for c in ("base_score", "score")],
