@@ -245,7 +245,7 @@ def encode(docs: DataFrame, vocab: list[tuple[str, float]], text: str = "text",
                 t = column[r].as_py()
                 todo.append(t or "")
                 size += len(todo[-1])
-                if size > 2 * _SLICE or r == b.num_rows - 1:
+                if size > 8 * _SLICE or r == b.num_rows - 1:
                     out += ids_of([marked(t) for t in todo])
                     todo, size = [], 0
             flat = pa.array(np.frombuffer(b"".join(out), dtype="<i4"))
