@@ -9,8 +9,8 @@ similarity misses all bands with a probability below 1e-6.
 
 Sets that are equal form one class and one node. Inside a bucket (nodes that share a band) no list of all pairs is
 made. First every node meets the bucket's hub, the node whose buckets are largest; then, while a bucket
-holds several components, its next pivots (``PIVOTS``, twice as many each time) meet the members of other components and
-retire. A pair inside a component needs no comparison, so nothing is lost: each pair of a bucket either meets or is
+holds several components, its next pivots (``PIVOTS``, twice as many each time; those of the smallest components first, so that
+the largest need not be gone through) meet the members of other components and retire. A pair inside a component needs no comparison, so nothing is lost: each pair of a bucket either meets or is
 already connected. Pairs whose sketches differ in so many coordinates that the wanted similarity is five standard
 deviations away are left out in the join itself; all others are compared on the full sets. Buckets with the same members count
 once, and a pair meets only in the first bucket that it shares.
@@ -195,24 +195,25 @@ def links(docs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, percen
     buckets = _buckets(nodes)
     rank = buckets.groupBy("node").agg(F.sum(F.log2("c")).alias("rank"))
     info = nodes.select("node", "n", "bits").join(rank, "node")
-    members = stored(buckets.select("bucket", "node").join(info, "node").withColumn("component", F.col("node")), "members")
+    members = stored(buckets.select("bucket", "node").join(info, "node").withColumn("component", F.col("node")).withColumn("peers", F.lit(1).cast("long")), "members")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node")
     sets = materialize(find_sets(texts, size), "sets")
 
     own = buckets.groupBy("node").agg(F.collect_list("bucket").alias("own"))  # at most one per band
     found, pivots = given, 1
     while True:
-        order = Window.partitionBy("bucket").orderBy(F.desc("rank"), "node")
+        order = Window.partitionBy("bucket").orderBy("peers", F.desc("rank"), "node")
         hubs = stored(members.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= pivots)
                       .select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("component").alias("pc"), *[F.col(c).alias("pown") for c in members.columns if c == "own"]), "hubs")
         fresh = _confirmed(_pairs(hubs, members, percent, BANDS * band_rows(percent)), sets, percent)
-        found = stored(found.unionByName(fresh), "links")
-        labels = stored(components(found), "labels")
+        labels = stored(components(found.unionByName(fresh)), "labels")
+        found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # says as much as all links so far
         # a hub has met every other component of its bucket and retires; buckets whose other members still differ go on
-        rest = stored(members.drop("component").join(hubs.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+        rest = stored(members.drop("component", "peers").join(hubs.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
                       .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("bucket")
-        members = stored(rest.drop("own").join(mixed, "bucket").join(own, "node"), "members")
+        peers = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("peers"))
+        mixed = peers.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
+        members = stored(rest.drop("own").join(stored(peers.join(mixed, "bucket"), "peers"), ["bucket", "component"]).join(own, "node"), "members")
         if members.isEmpty():
             return labels
         pivots = max(PIVOTS, 2 * pivots)
