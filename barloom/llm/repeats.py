@@ -14,7 +14,8 @@ consecutive windows mostly share theirs: a *run* is a maximal row of windows wit
 4. The rest is refined window by window.
 
 Each round is a partial aggregation on (bucket, identifier) and a join back, so a bucket with a third of all
-rows is combined map-side and split by AQE in the join. Identifiers are 64-bit hashes inside 64-bit
+rows is combined map-side and split by AQE in the join. For that both sides of a join must come from a shuffle of the join itself,
+hence the aggregates are stored first. Identifiers are 64-bit hashes inside 64-bit
 buckets. Python only computes hashes of whole Arrow batches, in chunks of bounded size.
 
 Defined cases: null text is empty, has no bytes and the hash of no bytes; texts under ``length`` bytes are kept whole;
@@ -147,28 +148,28 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """Where repeated windows start, as (key, start, n) rows of n consecutive windows. ``rows`` has key and text."""
     rows = rows.select("key", "text")
     runs = find_runs(rows, length)
-    buckets = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("bucket")
+    buckets = materialize(runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("bucket"), "anchors")
     shared = materialize(runs.join(buckets, "bucket"), "runs")
 
     classes = materialize(shared.groupBy("bucket", "whole").agg(
         F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("key", "start", "n", "o")]), "classes")
     whole = shared.join(classes.where("c > 1").select("bucket", "whole"), ["bucket", "whole"]).select("key", "start", "n")
 
-    open_buckets = classes.where("c = 1").select("bucket").distinct()
+    open_buckets = materialize(classes.where("c = 1").select("bucket").distinct(), "open")
     members = classes.join(open_buckets, "bucket", "left_semi")
     per_text = members.groupBy("key").agg(F.collect_list(F.struct("start", "n", "o", "bucket")).alias("runs"))
     # a text that stands twice gives its blocks twice, which is right: they do repeat
     blocks = materialize(find_blocks(rows.join(per_text, "key"), length), "blocks")
 
     by = ["bucket", "j", "core"]
-    cores = blocks.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_c"), F.count("hull").alias("_h"), F.min("hull").alias("_a"), F.max("hull").alias("_b")).where("_c > 1")
+    cores = materialize(blocks.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_c"), F.count("hull").alias("_h"), F.min("hull").alias("_a"), F.max("hull").alias("_b")).where("_c > 1"), "cores")
     alive = materialize(blocks.join(cores, by), "alive")
     settled = (F.col("_c") == F.col("_h")) & (F.col("_a") == F.col("_b"))
     full = alive.where(settled).select("key", "start", F.size("windows").cast("short").alias("n"))
     single = alive.where(~settled).select("key", "start", "bucket", "o", F.posexplode("windows").alias("_i", "window")).select(
         "key", (F.col("start") + F.col("_i")).alias("start"), "bucket", (F.col("o") - F.col("_i")).alias("o"), "window")
-    twice = single.groupBy("bucket", "o", "window").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    twice = materialize(single.groupBy("bucket", "o", "window").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c"), "windows")
     ones = single.join(twice, ["bucket", "o", "window"]).select("key", "start", F.lit(1).cast("short").alias("n"))
     return whole.unionByName(full).unionByName(ones)
 
