@@ -155,7 +155,7 @@ def find_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 else:
                     todo.append((doc, text))
                     size += len(text)
-                if size > 8 * _SLICE or k == len(rows) - 1:
+                if size > 4 * _SLICE or k == len(rows) - 1:
                     for (d, _), ids in zip(todo, words.encode([t for _, t in todo]) if todo else []):
                         out += _pieces(d, ids + end, window)
                     todo, size = [], 0
