@@ -15,9 +15,7 @@ from barloom.sources.panel_tables import bars
 
 KEY = "trade_date:d ts_code"
 FEATURES = ["mom5", "vola20", "volume_ratio", "day_span"]
-# Two folds of small trees: the walk-forward plan is a parameter, every fold uses all of its rows.
-TWO_FOLDS = WalkForward(min_train_days=252, step_days=1200)
-SMALL_TREES = {"rounds": 3, "depth": 3}
+TILED = WalkForward(tile=True)
 
 TABLES["day_rows"] = ("bars", """
     SELECT *, sum(n) OVER (ORDER BY trade_date) AS upto, row_number() OVER (ORDER BY trade_date) - 1 AS day_no
@@ -67,14 +65,14 @@ def head_tail_dates(spark, folder):
     return tail.unionByName(half)
 
 
-@query("gbt_walk_forward", KEY + " fold:i prediction:8")
+@query("gbt_walk_forward", KEY + " fold:i prediction:8 status")
 def gbt_walk_forward(spark, folder):
-    return model.walk_forward(factor_frame(spark, folder), FEATURES, "fwd_ret", TWO_FOLDS, **SMALL_TREES)[0]
+    return model.walk_forward(factor_frame(spark, folder), FEATURES, "fwd_ret", TILED)[0]
 
 
 @query("feature_importance", "feature gain:6")
 def feature_importance(spark, folder):
-    return model.mean_importance(model.walk_forward(factor_frame(spark, folder), FEATURES, "fwd_ret", TWO_FOLDS, **SMALL_TREES)[1])
+    return model.mean_importance(model.walk_forward(factor_frame(spark, folder), FEATURES, "fwd_ret", TILED)[1])
 
 
 @query("importance_mean", "feature gain:6", uses="factors", sql="""
@@ -91,7 +89,7 @@ def importance_mean(spark, folder):
 @query("score_factors", KEY + " predict_score:8")
 def score_factors(spark, folder):
     f = factor_frame(spark, folder)
-    fitted = model.train_trees(f, FEATURES, "fwd_ret", **SMALL_TREES)
+    fitted = model.train_trees(f, FEATURES, "fwd_ret")
     path = scratch_table(spark, "scores")
     model.score_factors(fitted, f, FEATURES).write.parquet(path)
     return spark.read.parquet(path)

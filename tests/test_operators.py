@@ -279,6 +279,40 @@ def test_splits(spark):
     assert model.date_ratio_split(df).where("part = 'test'").count() == 16
 
 
+def test_walk_forward_predicts_every_row_once(spark):
+    days = [day(i + 2 * (i // 5)) for i in range(60)]  # weeks of five days
+    data = [(d, c, math.sin(i * 1.7 + k), math.sin(i * 1.7 + k) / 50) for i, d in enumerate(days) for k, c in enumerate("ABCD")]
+    df = spark.createDataFrame(data, "trade_date date, ts_code string, x double, y double")
+    plan = model.WalkForward(20, 10, 2, 5, tile=True)
+    folds = {f["fold"]: f for f in model.fold_table(df, plan).collect()}
+    out, gains = model.walk_forward(df, ["x"], "y", plan, rounds=4, depth=2)
+    got = out.groupBy("fold", "status").agg(F.count(F.lit(1)).alias("n"), F.count("prediction").alias("p"), F.count_distinct("trade_date", "ts_code").alias("k")).collect()
+    want = sum(4 for d in days if d > folds[0]["val_after"])
+    assert sum(r["n"] for r in got) == sum(f["n_val"] for f in folds.values()) == want == out.select("trade_date", "ts_code").distinct().count()
+    by_fold = {r["fold"]: r for r in got}
+    for k, f in folds.items():
+        r, small = by_fold[k], f["n_train"] < 100
+        assert (r["n"], r["k"]) == (f["n_val"], f["n_val"]) and r["p"] == (0 if small else r["n"])
+        assert r["status"] == ("few training rows" if small else "ok")
+    assert by_fold[0]["status"] == "few training rows" and by_fold[1]["status"] == "ok"
+    assert {r["fold"]: r["gain"] for r in gains.collect()} == {k: None if f["n_train"] < 100 else 1.0 for k, f in folds.items()}
+
+
+def test_boosting_goes_on_while_the_held_rows_improve(spark):
+    data = [(day(i), c, float((i * 7 + k) % 10), ((i * 7 + k) % 10) / 100) for i in range(50) for k, c in enumerate("ABCD")]
+    df = spark.createDataFrame(data, "trade_date date, ts_code string, x double, y double")
+    assert model.train_trees(df, ["x"], "y", rounds=12).getNumTrees > 3
+
+
+def test_small_splits_keep_a_status(spark):
+    data = [(split, n, day(i), c, float(i + k), float(i + k)) for split, n, m in ((1, 50, 30), (2, 200, 30), (3, 200, 5)) for i in range(m) for k, c in enumerate("ABC")]
+    df = spark.createDataFrame(data, "split int, n_train int, trade_date date, ts_code string, prediction double, fwd_ret double")
+    got = {r["split"]: r for r in model.cv_split_scores(df, "fwd_ret").collect()}
+    assert {k: (r["status"], r["n_val"], r["rmse"]) for k, r in got.items()} == {
+        1: ("few training rows", 90, None), 2: ("ok", 90, 0.0), 3: ("few validation rows", 15, None)}
+    assert model.cv_objective(df, "fwd_ret").first()["n_splits"] == 1
+
+
 def test_blend_and_retrain(spark):
     a = spark.createDataFrame([(1, "A", 1.0), (1, "B", 2.0)], "trade_date int, ts_code string, prediction double")
     b = spark.createDataFrame([(1, "A", 2.0), (1, "C", 5.0)], "trade_date int, ts_code string, prediction double")
