@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import forest, lattice, licenses, lines, neardup, packing, pieces, quality, repeats, toxicity
+from barloom.llm import credentials, forest, lattice, licenses, lines, neardup, packing, pieces, quality, repeats, toxicity
 from barloom.llm.text import table
 
 
@@ -49,7 +49,12 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_lattice_score, op3_toxicity, op4_suffix_dedup, op5_minhash_near_dedup, op6_sentencepiece, op7_license_scan, op8_line_templates, op9_packing, op10_quality_rules)}
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.digests(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann_forest, op2_lattice_score, op3_toxicity, op4_suffix_dedup, op5_minhash_near_dedup, op6_sentencepiece, op7_license_scan,
+                                   op8_line_templates, op9_packing, op10_quality_rules, op11_secret_scan)}
 ORACLES = {
     "op4_suffix_dedup": repeats.oracle_sql(),
     "op5_minhash_near_dedup": neardup.oracle_sql(),
