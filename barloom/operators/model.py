@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.core import or_zero, pearson, ratio
+from barloom.operators import boosting
 from barloom.operators.evaluate import daily_ic
 from barloom.operators.factor import overall_rank
 from barloom.operators.panel import calendar
@@ -22,7 +22,7 @@ IC_MONITOR, IC_RETRAIN = -0.3, -0.05
 RECENT_DATES, RECENT_ROWS = 30, 100
 RETRAIN_INTERVAL_DAYS, MODEL_MAX_AGE_DAYS = 7, 30
 BLEND_WEIGHTS = (0.7, 0.3)
-FITS_AT_ONCE = 4  # folds that the driver fits side by side
+_ROW_KEY = ["trade_date", "ts_code"]
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -141,55 +141,34 @@ def recent_dates(df: DataFrame, n: int = RECENT_DATES) -> DataFrame:
 # -- boosted trees --------------------------------------------------------------------------------
 
 
-def _assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+def train_trees(train: DataFrame, features: list[str], label: str, fit_rows: int = boosting.FIT_ROWS, **tree_args) -> boosting.Trees:
+    """One model of all rows, or of an even sample of about ``fit_rows``; the last fifth by date picks the best round."""
+    usable = train.dropna(subset=[*features, label])
+    rows = boosting.sampled(usable, [(0, F.lit(True), usable.count())], _ROW_KEY, fit_rows)
+    return boosting.fit(rows, features, label, _ROW_KEY, **tree_args)
 
-    usable = df.dropna(subset=[*features, label])
-    return VectorAssembler(inputCols=features, outputCol="features").transform(usable)
 
-
-def train_trees(train: DataFrame, features: list[str], label: str, rounds: int = 200, rate: float = 0.05, depth: int = 5):
-    """Boosted regression trees with early stopping on the last fifth of the training rows.
-
-    Rounds end with the first that does not lower the error there. The tolerance is 0: Spark's default of 0.01 is
-    absolute for errors under 0.01, and with the small variance of returns it would end after one round.
-    """
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = chrono_split(_assembled(train, features, label)).withColumn("is_eval", F.col("part") == "eval")
-    return GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth,
-                        validationIndicatorCol="is_eval", validationTol=0.0, seed=42).fit(rows)
-
-
-def walk_forward(df: DataFrame, features: list[str], label: str, plan: WalkForward = WalkForward(), **tree_args) -> tuple[DataFrame, DataFrame]:
+def walk_forward(df: DataFrame, features: list[str], label: str, plan: WalkForward = WalkForward(), fit_rows: int = boosting.FIT_ROWS,
+                 **tree_args) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions and feature importances of one model per fold.
 
-    The driver loops over folds, which are few, a handful side by side; training and scoring are distributed. The
-    usable rows are written once to the shared folder, so that a fold reads a Parquet table with its date range
-    pushed down instead of computing all factors again. A fold with too little data keeps its rows with a NULL
-    prediction, its importances are NULL, and ``status`` says which part was too small.
+    All folds are fitted by one job, a fold a task, on at most about ``fit_rows`` rows each; all rows are scored. The usable rows are
+    written once to the shared folder, so that neither job computes the factors again. A fold with too little data keeps its rows with a NULL
+    prediction, its importances are NULL, and ``status`` says which part was too small. Without any fold both tables are empty.
     """
     spark = df.sparkSession
     usable = materialize(df.dropna(subset=[*features, label]), "training")
     status = F.when(F.col("n_train") < MIN_TRAIN, "few training rows").when(F.col("n_val") < MIN_VALIDATE, "few validation rows").otherwise("ok")
-    folds = fold_table(usable, plan).withColumn("status", status).orderBy("fold").collect()
-    if not folds:
-        raise ValueError("the calendar is too short for one fold")
-
-    def fit(f):
-        if f["status"] == "ok":
-            return train_trees(usable.where(F.col("trade_date") <= F.lit(f["train_end"])), features, label, **tree_args)
-
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        models = list(pool.map(fit, folds))
-    predictions, gains = None, []
-    for f, model in zip(folds, models):
-        val = usable.where((F.col("trade_date") > F.lit(f["val_after"])) & (F.col("trade_date") <= F.lit(f["val_until"])))
-        scored = val.withColumn("prediction", F.lit(None).cast("double")) if model is None else model.transform(_assembled(val, features, label))
-        scored = scored.select("trade_date", "ts_code", F.lit(f["fold"]).alias("fold"), label, "prediction", F.lit(f["status"]).alias("status"))
-        predictions = scored if predictions is None else predictions.unionByName(scored)
-        values = [None] * len(features) if model is None else [float(g) for g in model.featureImportances.toArray()]
-        gains += [(f["fold"], n, g, f["status"]) for n, g in zip(features, values)]
+    folds = fold_table(usable, plan).withColumn("status", status).orderBy("fold").collect()  # one row per fold
+    fitted = [(f["fold"], F.col("trade_date") <= F.lit(f["train_end"]), f["n_train"]) for f in folds if f["status"] == "ok"]
+    trees = boosting.Trees(features, {}, 0)
+    if fitted:
+        trees = boosting.fit(boosting.sampled(usable, fitted, _ROW_KEY, fit_rows), features, label, _ROW_KEY, **tree_args)
+    states = spark.createDataFrame([tuple(f) for f in folds], "fold int, train_end date, val_after date, val_until date, n_train long, n_val long, status string")
+    predictions = validation_rows(usable, states).join(states.select("fold", "status"), "fold").select(
+        "trade_date", "ts_code", "fold", label, trees.predict(usable, F.col("fold")).alias("prediction"), "status")
+    shares = trees.importances()
+    gains = [(f["fold"], n, g, f["status"]) for f in folds for n, g in zip(features, shares.get(f["fold"], [None] * len(features)))]
     return predictions, spark.createDataFrame(gains, "fold int, feature string, gain double, status string")
 
 
@@ -217,12 +196,10 @@ def blend(first: DataFrame, second: DataFrame, weights: tuple[float, float] = BL
     return both.withColumn("prediction", ratio(or_zero(F.col("_a")) * wa + or_zero(F.col("_b")) * wb, wa + wb)).drop("_a", "_b")
 
 
-def score_factors(model, df: DataFrame, features: list[str]) -> DataFrame:
+def score_factors(trees: boosting.Trees, df: DataFrame, features: list[str]) -> DataFrame:
     """(ts_code, trade_date, predict_score); missing features count as 0."""
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.fillna(0.0, subset=features))
-    return model.transform(rows).select("ts_code", "trade_date", F.col("prediction").alias("predict_score"))
+    rows = df.fillna(0.0, subset=features)
+    return rows.select("ts_code", "trade_date", trees.predict(rows, F.lit(0)).alias("predict_score"))
 
 
 def cv_split_scores(scored: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:

@@ -75,6 +75,29 @@ def feature_importance(spark, folder):
     return model.mean_importance(model.walk_forward(factor_frame(spark, folder), FEATURES, "fwd_ret", TILED)[1])
 
 
+_USABLE = "mom5 IS NOT NULL AND vola20 IS NOT NULL AND volume_ratio IS NOT NULL AND day_span IS NOT NULL AND fwd_ret IS NOT NULL"
+
+
+@query("gbt_fold_rows", "fold:i status n_val:i n_predicted:i n_finite:i importance:6 positive:b", uses="factors", sql=f"""
+    ud AS (SELECT *, sum(n) OVER (ORDER BY trade_date) AS upto, row_number() OVER (ORDER BY trade_date) - 253 AS since, max(trade_date) OVER () AS last
+           FROM (SELECT trade_date, count(*) AS n FROM factors WHERE {_USABLE} GROUP BY 1)),
+    st AS (SELECT since // 60 AS fold, upto AS n_train, trade_date + 5 AS val_after, coalesce(lead(trade_date + 5) OVER (ORDER BY trade_date), last) AS val_until
+           FROM ud WHERE since >= 0 AND since % 60 = 0),
+    fo AS (SELECT fold, n_train, (SELECT coalesce(sum(n), 0) FROM ud WHERE trade_date > val_after AND trade_date <= val_until) AS n_val FROM st WHERE val_after < val_until)
+--
+SELECT fold, CASE WHEN n_train < 100 THEN 'few training rows' WHEN n_val < 10 THEN 'few validation rows' ELSE 'ok' END AS status, n_val,
+       CASE WHEN n_train >= 100 AND n_val >= 10 THEN n_val ELSE 0 END AS n_predicted, n_predicted AS n_finite,
+       CASE WHEN n_predicted > 0 THEN 1.0 END AS importance, CASE WHEN n_predicted > 0 THEN true END AS positive
+FROM fo WHERE n_val > 0""")
+def gbt_fold_rows(spark, folder):
+    """What holds of every fold whatever the trees: all rows predicted once and finite, importances that are not negative and add up to 1."""
+    predictions, gains = model.walk_forward(factor_frame(spark, folder), FEATURES, "fwd_ret", TILED)
+    rows = predictions.dropDuplicates(["trade_date", "ts_code"]).groupBy("fold", "status").agg(
+        F.count(F.lit(1)).alias("n_val"), F.count("prediction").alias("n_predicted"), F.count_if(F.abs("prediction") < 10).alias("n_finite"))
+    shares = gains.groupBy("fold").agg(F.sum("gain").alias("importance"), F.every(F.col("gain") >= 0).alias("positive"))
+    return rows.join(shares, "fold")
+
+
 @query("importance_mean", "feature gain:6", uses="factors", sql="""
     SELECT feature, avg(gain) AS gain FROM (
         SELECT year(trade_date) AS fold, 'mom5' AS feature, abs(corr(mom5, fwd_ret)) AS gain FROM factors GROUP BY 1
@@ -95,6 +118,13 @@ def score_factors(spark, folder):
     return spark.read.parquet(path)
 
 
+@query("score_rows", KEY + " scored:b near:b", uses="bars", sql="SELECT trade_date, ts_code, true AS scored, true AS near FROM bars")
+def score_rows(spark, folder):
+    """Every row of the table gets one score, also where features are missing, and scores are of the label's size."""
+    rows = score_factors(spark, folder)
+    return rows.select("trade_date", "ts_code", F.col("predict_score").isNotNull().alias("scored"), (F.abs("predict_score") < 1).alias("near"))
+
+
 def linear_scores(spark, folder):
     """Scores of a fixed formula, yearly folds: stands in for a fitted model where SQL must agree."""
     f = factor_frame(spark, folder)

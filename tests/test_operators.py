@@ -304,6 +304,49 @@ def test_boosting_goes_on_while_the_held_rows_improve(spark):
     assert model.train_trees(df, ["x"], "y", rounds=12).getNumTrees > 3
 
 
+def test_first_cut_equals_a_search_over_all_cuts():
+    import random
+
+    import numpy as np
+
+    from barloom.operators import boosting
+
+    r = random.Random(5)
+    x = np.array([[r.randint(0, 40) / 4 for _ in range(300)], [r.random() for _ in range(300)]])
+    y = np.array([(v > 3) * 2.0 + r.random() for v in x[0]])
+    edges = [boosting._edges(v) for v in x]
+    feature, cut, value, gain, leaf = boosting._tree(np.stack([np.searchsorted(e, v) for e, v in zip(edges, x)]), edges, y, 1, 0.5)
+
+    def loss(f, c):
+        low = x[f] <= c
+        return sum(((y[s] - y[s].mean()) ** 2).sum() for s in (low, ~low)) if min(low.sum(), (~low).sum()) >= boosting.MIN_LEAF else math.inf
+
+    assert (feature[0], cut[0]) == min(((f, c) for f in (0, 1) for c in edges[f]), key=lambda fc: loss(*fc))
+    low = x[feature[0]] <= cut[0]
+    assert np.allclose(value[leaf], np.where(low, y[low].mean(), y[~low].mean()) / 2)
+    assert math.isclose(gain.sum(), ((y - y.mean()) ** 2).sum() - loss(feature[0], cut[0]))
+
+
+def test_fit_sample_is_bounded_and_nulls_get_no_prediction(spark):
+    from barloom.operators import boosting
+
+    df = spark.createDataFrame([(day(i), c, float(i), float(i)) for i in range(500) for c in "ABCD"], "trade_date date, ts_code string, x double, y double")
+    key = ["trade_date", "ts_code"]
+    rows = boosting.sampled(df, [(0, F.lit(True), 2000), (1, F.col("x") < 100, 400)], key, 500)
+    sizes = {r["model"]: r["count"] for r in rows.groupBy("model").count().collect()}
+    assert 400 < sizes[0] < 600 and sizes[1] == 400
+    assert rows.where("model = 1").select(*key).exceptAll(df.where("x < 100").select(*key)).count() == 0
+    trees = boosting.fit(rows, ["x"], "y", key, rounds=3)
+    out = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 1.0), (None, 1.0), (0, None)], "m int, x double").select("m", "x", trees.predict(df, F.col("m")).alias("p")).collect()
+    assert [r["p"] is not None for r in out] == [True, True, False, False, False]
+
+
+def test_short_calendar_gives_empty_tables(spark):
+    df = spark.createDataFrame([(day(i), "A", 1.0, 1.0) for i in range(5)], "trade_date date, ts_code string, x double, y double")
+    predictions, gains = model.walk_forward(df, ["x"], "y")
+    assert predictions.count() == gains.count() == 0 and predictions.columns == ["trade_date", "ts_code", "fold", "y", "prediction", "status"]
+
+
 def test_small_splits_keep_a_status(spark):
     data = [(split, n, day(i), c, float(i + k), float(i + k)) for split, n, m in ((1, 50, 30), (2, 200, 30), (3, 200, 5)) for i in range(m) for k, c in enumerate("ABC")]
     df = spark.createDataFrame(data, "split int, n_train int, trade_date date, ts_code string, prediction double, fwd_ret double")
