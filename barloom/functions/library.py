@@ -74,7 +74,7 @@ def _obv(df: DataFrame, out: str, close: str, volume: str, on: Axis = SERIES) ->
 
 
 def _recursion(kind: str) -> Callable[..., DataFrame]:
-    names = list(inspect.signature(KINDS[kind]).parameters)[1:]
+    names = [n for n in inspect.signature(KINDS[kind]).parameters if n not in ("df", "pdf", "out", "on")]
 
     def add(df: DataFrame, out: str, *args, on: Axis = SERIES) -> DataFrame:
         return with_recursive(df, [Recursive(kind, out, dict(zip(names, args)))], on)

@@ -124,6 +124,50 @@ def test_ema_gap_decays(panel, column):
     assert column(out, F.col("ema")) == [1, 1, 2.333333]
 
 
+def test_recursions_equal_a_walk_over_long_series(spark):
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from barloom.operators import recursive
+
+    r = random.Random(4)
+    closes = {"L": [100 + r.gauss(0, 5) + i / 50 for i in range(9000)], "G": [None if r.random() < 0.4 or 300 < i < 900 else r.uniform(50, 60) for i in range(1500)],
+              "Z": [0.0] * 700 + [1.0] * 700, "N": [None, None, 3.0], "V": [None] * 4}
+    rows = [(c, i, None if v is None else float(v), None if v is None else v + r.random(), None if v is None else v - r.random()) for c, vs in closes.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "ts_code string, trade_date int, close double, high double, low double")
+    out = with_recursive(df, [Recursive("EMA", "ema", {"w": 12}), Recursive("EMA", "slow", {"w": 500}), Recursive("EMA", "one", {"w": 1}),
+                              Recursive("MACD", "macd"), Recursive("RSI", "rsi"), Recursive("KDJ", "k")])
+    assert out.columns == [*df.columns, "ema", "slow", "one", "macd", "rsi", "k"]
+    got = out.toPandas().sort_values(["ts_code", "trade_date"])
+
+    def average(x, a):
+        return x.ewm(alpha=1 - a, adjust=False).mean()
+
+    for code, g in got.groupby("ts_code"):
+        x, n = g["close"].astype(float).reset_index(drop=True), len(g)
+        np.testing.assert_allclose(g["ema"], average(x, 11 / 13), rtol=1e-9)
+        np.testing.assert_allclose(g["slow"], average(x, 499 / 501), rtol=1e-9)
+        np.testing.assert_allclose(g["one"], x.ffill())
+        np.testing.assert_allclose(g["macd"], average(average(x, 11 / 13) - average(x, 25 / 27), 0.8), atol=1e-9)
+        move = x.diff().fillna(0.0)
+        sides = []
+        for side in (move.clip(lower=0), (-move).clip(lower=0)):
+            e = [0.0] * min(n, 13) + ([side[:14].mean()] if n >= 14 else [])
+            for v in side[14:]:
+                e.append((e[-1] * 13 + v) / 14)
+            sides.append(np.array(e))
+        want = [100 - 100 / (1 + (u / d if d else 100)) for u, d in zip(*sides)] if n >= 14 else [np.nan] * n
+        np.testing.assert_allclose(g["rsi"], want, rtol=1e-8)
+        top, bottom = g["high"].astype(float).rolling(9).max(), g["low"].astype(float).rolling(9).min()
+        raw = np.where(top.isna(), 0.0, np.where(top == bottom, 50.0, (g["close"].astype(float) - bottom) / (top - bottom) * 100))
+        raw[0] = 50.0
+        np.testing.assert_allclose(g["k"], average(pd.Series(raw), 2 / 3), rtol=1e-9, atol=1e-12)
+    plan = with_recursive(df, [Recursive("MACD", "m"), Recursive("KDJ", "k")])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and recursive.block_rows(0.5) == 256
+
+
 def sections(spark, values):
     return spark.createDataFrame([(1, f"S{i:03d}", None if v is None else float(v)) for i, v in enumerate(values)],
                                  "trade_date int, ts_code string, x double")
