@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from barloom.functions.core import SERIES, Axis, no_nan, ratio
 
@@ -41,16 +42,26 @@ def block_rows(decay: float) -> int:
     return 4 ** max(0, int(math.log(max(most, 1.0), 4)))
 
 
+def _placed(df: DataFrame, decay: float, on: Axis) -> tuple[DataFrame, WindowSpec, str]:
+    """The rows with their number and block, the series' order stated as (block, order), and the block's name.
+
+    All windows of a scan then need the one sort by (series, block, order).
+    """
+    block = f"_b{block_rows(decay)}"
+    rows = df if "_row" in df.columns else df.withColumn("_row", F.row_number().over(on.ordered))
+    if block not in rows.columns:
+        rows = rows.withColumn(block, F.floor((F.col("_row") - 1) / block_rows(decay)))
+    return rows, Window.partitionBy(on.key).orderBy(block, on.order), block
+
+
 def affine_scan(df: DataFrame, out: str, scale: Column, shift: Column, decay: float, on: Axis = SERIES) -> DataFrame:
     """Add e(i) = scale(i) * e(i - 1) + shift(i), with e = 0 before the first row of a series.
 
     Scales lie in [0, 1]; ``decay`` is a lower bound of most of them and sets the length of the blocks. It may be missed by single rows
     (a gap, a restart with scale 0), not by most. Neither may be NULL.
     """
-    block, product, total, own = f"_b{block_rows(decay)}", f"_q_{out}", f"_s_{out}", f"_l_{out}"
-    rows = df if "_row" in df.columns else df.withColumn("_row", F.row_number().over(on.ordered))
-    if block not in rows.columns:
-        rows = rows.withColumn(block, F.floor((F.col("_row") - 1) / block_rows(decay)))
+    product, total, own = f"_q_{out}", f"_s_{out}", f"_l_{out}"
+    rows, _, block = _placed(df, decay, on)
     inside = Window.partitionBy(on.key, block).orderBy(on.order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(on.key).orderBy(block).rangeBetween(-1, -1)
     rows = rows.withColumn(product, F.sum(F.greatest(F.log(scale), F.lit(_FLOOR))).over(inside))
@@ -66,8 +77,8 @@ def _average(df: DataFrame, x: str, out: str, a: float, on: Axis) -> DataFrame:
     if a <= 0.0:
         return df.withColumn(out, F.last(no_nan(F.col(x)), ignorenulls=True).over(on.so_far))
     v = no_nan(F.col(x).cast("double"))
-    rows = df if "_row" in df.columns else df.withColumn("_row", F.row_number().over(on.ordered))
-    seen = F.max(F.when(v.isNotNull(), F.col("_row"))).over(on.ordered.rowsBetween(Window.unboundedPreceding, -1))
+    rows, ordered, _ = _placed(df, a, on)
+    seen = F.max(F.when(v.isNotNull(), F.col("_row"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_seen", seen).withColumn("_old", F.pow(F.lit(a), F.col("_row") - F.col("_seen")))
     whole = F.col("_old") + (1.0 - a)
     scale = F.when(v.isNull() | F.col("_seen").isNull(), 1.0).otherwise(F.col("_old") / whole)
@@ -91,26 +102,27 @@ def macd(df: DataFrame, out: str, on: Axis = SERIES, x: str = "close", fast: int
 def rsi(df: DataFrame, out: str, on: Axis = SERIES, x: str = "close", w: int = 14) -> DataFrame:
     """Relative strength; without losses the strength counts as 100. NULL for a shorter series."""
     v = no_nan(F.col(x).cast("double"))
-    rows = df if "_row" in df.columns else df.withColumn("_row", F.row_number().over(on.ordered))
-    rows = rows.withColumn("_move", F.coalesce(v - F.lag(v).over(on.ordered), F.lit(0.0)))
     place, smooth = F.col("_row"), 1.0 - 1.0 / w
+    rows, ordered, _ = _placed(df, smooth, on)
+    rows = rows.withColumn("_move", F.coalesce(v - F.lag(v).over(ordered), F.lit(0.0)))
     for name, move in (("_up", F.greatest("_move", F.lit(0.0))), ("_down", F.greatest(-F.col("_move"), F.lit(0.0)))):
-        seed = F.sum(move).over(on.last(w)) / w
+        seed = F.sum(move).over(ordered.rowsBetween(1 - w, 0)) / w
         shift = F.when(place < w, 0.0).when(place == w, seed).otherwise(move / w)
         rows = rows.withColumn("_shift", shift)
         # nothing lies before the seed, so the scale up to it is of no account
         rows = affine_scan(rows, name, F.when(place <= w, 1.0).otherwise(smooth), F.col("_shift"), smooth, on).drop("_shift")
     strength = F.coalesce(ratio("_up", "_down"), F.lit(100.0))
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(on.whole))
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return rows.withColumn(out, F.when(F.col("_n") >= w, 100.0 - 100.0 / (1.0 + strength))).drop("_move", "_up", "_down", "_n")
 
 
 def kdj(df: DataFrame, out: str, on: Axis = SERIES, high: str = "high", low: str = "low", close: str = "close", n: int = 9, m1: int = 3) -> DataFrame:
     """K line: raw stochastic value smoothed from a start of 50."""
     h, lo = no_nan(F.col(high).cast("double")), no_nan(F.col(low).cast("double"))
-    rows = df if "_row" in df.columns else df.withColumn("_row", F.row_number().over(on.ordered))
-    rows = rows.withColumns({"_top": F.max(h).over(on.last(n)), "_bottom": F.min(lo).over(on.last(n)),
-                             "_tops": F.count(h).over(on.last(n)), "_bottoms": F.count(lo).over(on.last(n))})
+    rows, ordered, _ = _placed(df, 1.0 - 1.0 / m1, on)
+    last = ordered.rowsBetween(1 - n, 0)
+    rows = rows.withColumns({"_top": F.max(h).over(last), "_bottom": F.min(lo).over(last),
+                             "_tops": F.count(h).over(last), "_bottoms": F.count(lo).over(last)})
     span = F.when(F.col("_bottoms") == n, F.col("_top") - F.col("_bottom"))
     raw = F.when(span != 0, (no_nan(F.col(close).cast("double")) - F.col("_bottom")) / span * 100.0).otherwise(50.0)
     raw = F.when(F.col("_row") == 1, 50.0).when(F.col("_tops") < n, 0.0).otherwise(raw)
