@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from barloom.functions.core import SERIES, Axis, or_zero, ratio
 from barloom.functions.section import with_stats
 from barloom.operators.portfolio import top_n
+from barloom.session import materialize
 
 # Standard-normal quantiles and densities at 5 % and 1 %.
 Z95, Z99 = -1.6448536269514729, -2.3263478740408408
@@ -277,6 +278,72 @@ def normalize(h: DataFrame, limits: RiskLimits = LIMITS) -> DataFrame:
     return position_limits(scaled, limits, "_scaled").drop("_sum", "_scaled")
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A step of the chain: its name among the events and what it does when it fires."""
+
+    name: str
+    action: str
+
+
+#: The chain's steps in order.
+CHAIN = (Rule("stop_loss_single", "liquidate"), Rule("daily_loss_limit", "reduce_all"), Rule("monthly_loss_limit", "liquidate_all"),
+         Rule("consecutive_losses", "reduce_all"), Rule("stop_loss_portfolio", "liquidate_all"), Rule("trailing_stop", "liquidate"),
+         Rule("position_limit", "reduce"), Rule("sector_limit", "reduce"), Rule("sector_concentration", "reduce_all"))
+#: What is left of a weight under an action that concerns all positions.
+LEFT = {"reduce_all": 0.5, "liquidate_all": 0.0}
+
+
+def day_rules(h: DataFrame, curve: DataFrame, limits: RiskLimits = LIMITS) -> DataFrame:
+    """One row per date: which of the four rules on the whole portfolio fire, and what they leave of every weight (``left``).
+
+    ``h`` has ``weight`` as given and ``cut``, the weight after the stops of single positions. The daily limit looks at what these
+    left over; month and losing streak follow the portfolio as it was given.
+    """
+    sums = h.groupBy("trade_date").agg(F.sum(F.col("weight") * or_zero(F.col("ret"))).alias("pnl"), F.sum(F.col("cut") * or_zero(F.col("ret"))).alias("_after"))
+    days = loss_streak(monthly_loss(sums, limits), limits).join(portfolio_stop(curve, limits).select("trade_date", F.col("liquidate").alias("_nav")), "trade_date", "left")
+    fired = {"daily_loss_limit": F.col("_after") <= limits.daily_loss_limit, "monthly_loss_limit": F.col("liquidate"),
+             "consecutive_losses": F.col("reduce"), "stop_loss_portfolio": F.coalesce("_nav", F.lit(False))}
+    left = F.lit(1.0)
+    for rule in CHAIN[1:5]:
+        left = left * F.when(fired[rule.name], F.lit(LEFT[rule.action])).otherwise(1.0)
+    return days.select("trade_date", *[c.alias(name) for name, c in fired.items()], left.alias("left"))
+
+
+def chain(h: DataFrame, curve: DataFrame, limits: RiskLimits = LIMITS) -> DataFrame:
+    """(trade_date, ts_code, weight, new_weight, fired): all rules one after the other, each on the weights that the one before left.
+
+    Open loop: every date starts from its given weights; what runs over the dates is the month's loss, the losing streak and each position's
+    peak. ``fired`` lists the rules that changed the position or, for rules on the whole portfolio, held on its date. ``h`` holds (trade_date,
+    ts_code, industry, weight, ret), ``curve`` (trade_date, nav).
+
+    Rules that need sums take them from partial aggregates joined back, so no date gathers; the rows are written out where a step reads
+    them twice, which keeps the plan from doubling at every step.
+    """
+    hit = (or_zero(F.col("ret")) <= limits.stop_loss_single) & (F.col("weight") > 0)
+    rows = h.select("trade_date", "ts_code", "industry", F.col("weight").cast("double").alias("weight"), "ret", hit.alias("stop_loss_single")).withColumn(
+        "cut", F.when(F.col("stop_loss_single"), 0.0).otherwise(F.col("weight")))
+    rows = rows.join(day_rules(rows, curve, limits), "trade_date").withColumnsRenamed({"weight": "given"}).withColumn("weight", F.col("cut") * F.col("left"))
+    rows = trailing_stop(rows, limits).withColumnsRenamed({"stopped": "trailing_stop", "weight": "_before"}).withColumn("weight", F.col("new_weight"))
+    rows = materialize(rows.drop("new_weight", "_before", "peak_weight", "cut", "left", "ret"), "risk-chain")
+
+    rows = position_limits(rows, limits)
+    rows = rows.withColumn("position_limit", F.col("new_weight") != F.col("weight")).drop("weight").withColumnRenamed("new_weight", "weight")
+    rows = materialize(rows, "risk-chain")
+
+    sectors = materialize(sector_weights(rows), "risk-sectors")
+    three = top_n(sectors, "sector_weight", 3, ["trade_date"], tie="industry").groupBy("trade_date").agg(F.sum("sector_weight").alias("top3"))
+    rows = rows.join(sectors, ["trade_date", "industry"], "left").join(three, "trade_date", "left").withColumns({
+        "sector_limit": F.coalesce(F.col("sector_weight") > limits.max_sector_position, F.lit(False)),
+        "sector_concentration": F.coalesce(F.col("top3") > limits.max_top3_sector, F.lit(False))})
+    scaled = F.when(F.col("sector_limit"), ratio(F.lit(limits.max_sector_position), "sector_weight")).otherwise(1.0) * F.when(
+        F.col("sector_concentration"), ratio(F.lit(limits.max_top3_sector), "top3")).otherwise(1.0)
+    rows = materialize(rows.withColumn("weight", F.col("weight") * scaled).drop("sector_weight", "top3"), "risk-chain")
+
+    names = [F.when(F.col(rule.name), F.lit(rule.name)) for rule in CHAIN]
+    return normalize(rows, limits).select("trade_date", "ts_code", F.col("given").alias("weight"), "new_weight", F.concat_ws(",", *names).alias("fired"))
+
+
 def factor_exposure(h: DataFrame, factors: list[str], limits: RiskLimits = LIMITS) -> DataFrame:
     """(trade_date, factor, exposure, breached): weighted factor sums, and their absolute total."""
     sums = h.groupBy("trade_date").agg(*(or_zero(F.sum(F.col("weight") * F.col(f))).alias(f) for f in factors))

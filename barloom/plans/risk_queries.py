@@ -242,6 +242,50 @@ def risk_events(spark, folder):
     return events(spark, folder)
 
 
+_CHAIN = f"""{_STREAK},
+    h0 AS (SELECT *, coalesce(ret, 0) <= -0.08 AND weight > 0 AS stop1, CASE WHEN coalesce(ret, 0) <= -0.08 AND weight > 0 THEN 0 ELSE weight END AS cut FROM holdings),
+    dd AS (SELECT trade_date, sum(weight * coalesce(ret, 0)) AS pnl, sum(cut * coalesce(ret, 0)) AS rest FROM h0 GROUP BY 1),
+    dr AS (SELECT dd.trade_date, rest <= -0.01 AS daily, sum(dd.pnl) OVER (PARTITION BY date_trunc('month', dd.trade_date) ORDER BY dd.trade_date) <= -0.005 AS monthly,
+                  streak > 0 AND streak % 3 = 0 AS streak, coalesce(c <= -0.02, false) AS navstop
+           FROM dd JOIN st USING (trade_date) LEFT JOIN (SELECT trade_date, nav / lag(nav) OVER (ORDER BY trade_date) - 1 AS c FROM curve) USING (trade_date)),
+    w4 AS (SELECT h0.*, dr.* EXCLUDE (trade_date), cut * CASE WHEN daily THEN 0.5 ELSE 1 END * CASE WHEN monthly THEN 0 ELSE 1 END * CASE WHEN streak THEN 0.5 ELSE 1 END
+                  * CASE WHEN navstop THEN 0 ELSE 1 END AS w4 FROM h0 JOIN dr USING (trade_date)),
+    w5 AS (SELECT *, w4 > 0 AND coalesce((w4 - peak) / nullif(peak, 0) <= -0.1, false) AS trail FROM (
+               SELECT *, max(w4) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS peak FROM w4)),
+    w6 AS (SELECT *, {_LIMITED.format(w='w5')} AS w6 FROM (SELECT *, CASE WHEN trail THEN 0 ELSE w4 END AS w5 FROM w5)),
+    se AS (SELECT trade_date, industry, sum(w6) AS sw, row_number() OVER (PARTITION BY trade_date ORDER BY sum(w6) DESC, industry) AS place
+           FROM w6 WHERE industry IS NOT NULL GROUP BY 1, 2),
+    th AS (SELECT trade_date, sum(sw) AS top3 FROM se WHERE place <= 3 GROUP BY 1),
+    w7 AS (SELECT w6.*, coalesce(sw > 0.3, false) AS sector, coalesce(top3 > 0.6, false) AS three,
+                  w6 * CASE WHEN coalesce(sw > 0.3, false) THEN 0.3 / sw ELSE 1 END * CASE WHEN coalesce(top3 > 0.6, false) THEN 0.6 / top3 ELSE 1 END AS w7
+           FROM w6 LEFT JOIN se USING (trade_date, industry) LEFT JOIN th USING (trade_date)),
+    w8 AS (SELECT *, CASE WHEN sum(w7) OVER (PARTITION BY trade_date) > 0 THEN w7 / sum(w7) OVER (PARTITION BY trade_date) ELSE w7 END AS s FROM w7),
+    ch AS (SELECT trade_date, ts_code, weight, {_LIMITED.format(w='s')} AS new_weight,
+                  concat_ws(',', CASE WHEN stop1 THEN 'stop_loss_single' END, CASE WHEN daily THEN 'daily_loss_limit' END, CASE WHEN monthly THEN 'monthly_loss_limit' END,
+                      CASE WHEN streak THEN 'consecutive_losses' END, CASE WHEN navstop THEN 'stop_loss_portfolio' END, CASE WHEN trail THEN 'trailing_stop' END,
+                      CASE WHEN w6 <> w5 THEN 'position_limit' END, CASE WHEN sector THEN 'sector_limit' END, CASE WHEN three THEN 'sector_concentration' END) AS fired FROM w8)
+--
+"""
+
+
+def chained(spark, folder):
+    r = stored_returns(spark, folder, industry=True)
+    return risk.chain(weighted(r), curve_of(spark, folder, r), TIGHT)
+
+
+@query("risk_chain", KEY + " weight:6 new_weight:6 fired", uses="pnl holdings curve", sql=_CHAIN + "SELECT * FROM ch")
+def risk_chain(spark, folder):
+    return chained(spark, folder)
+
+
+@query("risk_chain_days", "trade_date:d given:6 kept:6 n_held:i", uses="pnl holdings curve",
+       sql=_CHAIN + "SELECT trade_date, sum(weight) AS given, sum(new_weight) AS kept, count(*) FILTER (new_weight > 0) AS n_held FROM ch GROUP BY 1")
+def risk_chain_days(spark, folder):
+    """What the chain leaves of each date's portfolio; the rest is cash."""
+    return chained(spark, folder).groupBy("trade_date").agg(
+        F.sum("weight").alias("given"), F.sum("new_weight").alias("kept"), F.count_if(F.col("new_weight") > 0).alias("n_held"))
+
+
 @query("agg_event_counts", "event_type n:i", uses="pnl holdings curve sectors", sql=_EVENTS + "SELECT event_type, count(*) AS n FROM ev GROUP BY 1")
 def agg_event_counts(spark, folder):
     return risk.event_counts(events(spark, folder))

@@ -304,6 +304,26 @@ def test_boosting_goes_on_while_the_held_rows_improve(spark):
     assert model.train_trees(df, ["x"], "y", rounds=12).getNumTrees > 3
 
 
+def test_risk_chain_takes_each_rule_on_what_the_last_one_left(spark):
+    limits = risk.RiskLimits(max_positions=3, max_sector_position=0.5, max_top3_sector=0.9, max_single_position=0.4)
+    rows = [  # day 0: A stops out, the rest loses 0.02 of 0.7; day 1: a calm day on which B is far below its peak
+        (day(0), "A", "x", 0.3, -0.10), (day(0), "B", "x", 0.4, -0.02), (day(0), "C", "y", 0.2, 0.0), (day(0), "D", None, 0.1, None),
+        (day(1), "A", "x", 0.4, 0.01), (day(1), "B", "x", 0.1, 0.0), (day(1), "C", "y", 0.3, 0.0), (day(1), "D", None, 0.1, 0.0)]
+    h = spark.createDataFrame(rows, "trade_date date, ts_code string, industry string, weight double, ret double")
+    curve = spark.createDataFrame([(day(0), 1.0), (day(1), 0.99)], "trade_date date, nav double")
+    got = {(r["trade_date"], r["ts_code"]): (round(r["new_weight"], 6), r["fired"]) for r in risk.chain(h, curve, limits).collect()}
+    # what is left after the stop is 0.7, of which B and C weigh more than 0.5 after scaling, so all are clipped at 0.4
+    assert got == {
+        (day(0), "A"): (0.0, "stop_loss_single"), (day(0), "B"): (0.4, ""), (day(0), "C"): (round(2 / 7, 6), ""), (day(0), "D"): (round(1 / 7, 6), ""),
+        (day(1), "A"): (0.4, ""), (day(1), "B"): (0.0, "trailing_stop"), (day(1), "C"): (0.375, ""), (day(1), "D"): (0.125, "")}
+    # limits that make the whole portfolio shrink: daily loss halves, the sector is cut to its cap, then all to what three sectors may weigh
+    tight = risk.RiskLimits(daily_loss_limit=-0.001, max_sector_position=0.1, max_top3_sector=0.15, max_single_position=1.0)
+    one = {r["ts_code"]: (round(r["new_weight"], 6), r["fired"]) for r in risk.chain(h.where(F.col("trade_date") == day(0)), curve, tight).collect()}
+    # halves: B 0.2 (x: 0.2 -> 0.1), C 0.1, D 0.05; three sectors weigh 0.3 -> scaled by one half: 0.05, 0.05, 0.025
+    assert {k: v[0] for k, v in one.items()} == {"A": 0.0, "B": 0.4, "C": 0.4, "D": 0.2}
+    assert one["B"][1] == "daily_loss_limit,sector_limit,sector_concentration" and one["D"][1] == "daily_loss_limit,sector_concentration"
+
+
 def test_first_cut_equals_a_search_over_all_cuts():
     import random
 
