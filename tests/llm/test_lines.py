@@ -1,3 +1,6 @@
+import random
+import time
+
 from barloom.llm import lines
 
 SCHEMA = "doc_id long, text string, h string, line int"
@@ -39,7 +42,46 @@ def test_repeated_rows_and_empty_table(spark):
     assert lines.digests(docs.limit(0)).count() == 0
 
 
-def test_long_document(spark):
-    text = "\n".join(f"row number {i} of very many rows here" if i % 2 else f"single {chr(97 + i % 26)} {'y' * (i % 37)} {i // 37}" for i in range(20000))
-    row = lines.digests(frame(spark, [text])).first()
-    assert row.n_lines == 20000 and row.n_dropped >= 10000
+def test_footer_of_several_lines_goes_and_the_list_of_one_document_stays(spark):
+    rest = random.Random(2)
+    footer = ["We use cookies to make this site better", "Read more", "Terms and conditions apply", "Contact us today"]
+    body = [" ".join("".join(rest.choices("abcdefghij", k=6)) for _ in range(40)) for _ in range(30)]
+    numbers = "\n".join(f"{i}. buy item {i}" for i in range(20)) + "\n" + "\n".join(f"Dear {w} come to the party with us tonight please" for w in ["rome", "oslo", "bonn", "lima", "kyiv", "bern", "riga", "york", "nice", "graz", "linz", "faro"])
+    docs = frame(spark, ["\n".join([b, *footer]) for b in body] + [numbers])
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(docs).collect()}
+    assert got == {**dict(enumerate(body)), 30: numbers}
+
+
+def test_a_leaf_holds_several_templates(spark):
+    places = ["rome", "oslo", "bonn", "lima", "kyiv", "bern", "riga", "york", "nice", "graz", "linz"]
+    texts = [f"own words {chr(97 + i)} {w * 3} and more of them\nThis page was made in {w} by us with care\nThis page was sold at {w} on one sunny day" for i, w in enumerate(places)]
+    got = sorted(r.text for r in lines.drop_boilerplate(frame(spark, texts)).collect())
+    assert got == sorted(t.split("\n")[0] for t in texts)
+
+
+def test_near_copies_are_left_whole(spark):
+    rest = random.Random(3)
+    base = [" ".join("".join(rest.choices("abcdefghij", k=5)) for _ in range(12)) for _ in range(12)]
+    texts = []
+    for i in range(25):
+        own = list(base)
+        own[i % 12] += f" and{chr(97 + i)}"
+        texts.append("\n".join(own))
+    assert sorted(r.text for r in lines.drop_boilerplate(frame(spark, texts)).collect()) == sorted(texts)
+
+
+def test_long_documents_and_tokens(spark):
+    rows = "\n".join(f"row number {i} of very many rows here" if i % 2 else f"single {chr(97 + i % 26)} {'y' * (i % 37)} {i // 37}" for i in range(20000))
+    start = time.time()
+    texts = [rows, "a" * 1_000_000, "漢" * 300_000 + "1", "x" * 500_000 + " " * 500_000]
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(texts)) and time.time() - start < 30
+
+
+def test_clashing_columns_are_kept(spark):
+    names = ["t", "i", "h", "leaf", "n", "c", "row", "gone", "left", "line", "template", "_key", "_drop", "l", "k", "pos", "token"]
+    texts = [f"own {chr(97 + i)} words\nAll rights reserved worldwide" for i in range(12)]
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = lines.drop_boilerplate(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(i, t.split("\n")[0], *range(len(names))) for i, t in enumerate(texts)]
