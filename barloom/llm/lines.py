@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.text import BLANKS
+from barloom.llm.text import BLANKS, packed, unpacked
 from barloom.session import materialize
 
 LEAD = 3
@@ -81,7 +81,7 @@ def _kept(docs: DataFrame, documents: int) -> DataFrame:
     """(row, text): the given rows as structs and what is left of their texts."""
     lines = materialize(line_table(docs), "lines")
     gone = lines.join(recurring_lines(docs, lines, documents), "h").groupBy("t").agg(F.collect_set("i").alias("gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", F.xxhash64("text").alias("t")).join(gone, "t", "left")
+    rows = packed(docs, "text", F.xxhash64("text").alias("t")).join(gone, "t", "left")
     raw = F.split("text", "\n")
     # set difference of line numbers: linear in the lines
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), "gone"), lambda i: raw[i]), "\n")
@@ -92,7 +92,7 @@ def _kept(docs: DataFrame, documents: int) -> DataFrame:
 
 def drop_boilerplate(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """The documents without the lines of recurring templates."""
-    return _kept(docs, documents).select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return unpacked(_kept(docs, documents), docs.columns, text=F.col("text"))
 
 
 def digests(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:

@@ -8,7 +8,7 @@ partitioning. Everything is DataFrame code; the only row-wise loops are array fu
 
 Defined cases: null or blank text has no words and fails the base rule; null lang and null source are
 groups of their own; repeated rows are judged alike, each for itself; an empty table gives no rows;
-further columns are kept by ``filter_documents`` and ignored by ``verdicts``.
+further columns are kept by ``filter_documents``, whatever their names, and ignored by ``verdicts``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.text import BLANKS, bind, words
+from barloom.llm.text import BLANKS, bind, packed, unpacked, words
 from barloom.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -156,9 +156,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The kept documents with their own columns. The measures are computed once, in one written copy of the rows."""
-    measured = materialize(with_measures(docs), "quality")
+    measured = materialize(with_measures(packed(docs, "text", "lang", "source")).drop("text"), "quality")
     fences = materialize(thresholds(measured), "fences")
-    return judge(measured, fences).where("_kept").select(*docs.columns)
+    return unpacked(judge(measured, fences).where("_kept"), docs.columns)
 
 
 def oracle_sql() -> str:

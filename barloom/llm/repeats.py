@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.rolling import Rolling, mix, sliding_min, utf8
+from barloom.llm.text import packed, unpacked
 from barloom.session import materialize
 
 LENGTH = 200
@@ -218,9 +219,9 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeated strings taken out of ``text``. A character of several bytes goes only if all of them do; other columns stay."""
     rows = keyed(docs.select("doc_id", "text"))
-    found = spans(repeated_windows(rows, length), length).withColumnsRenamed({"key": "_key", "first": "_first", "last": "_last"})
-    own = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    joined = own.join(found, "_key", "left")
+    found = spans(repeated_windows(rows, length), length)
+    own = packed(docs, "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    joined = own.join(found, "key", "left")
 
     @F.pandas_udf("string")
     def cut(text, first, last):
@@ -234,8 +235,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return b"".join([*out, raw[at:]]).decode(errors="ignore")
         return text.combine(first, lambda t, f: (t, f)).combine(last, lambda tf, e: one(*tf, e))
 
-    text = F.when(F.col("_first").isNull(), F.col("text")).otherwise(cut("text", "_first", "_last"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("first").isNull(), F.col("text")).otherwise(cut("text", "first", "last"))
+    return unpacked(joined, docs.columns, text=text)
 
 
 def oracle_sql(length: int = LENGTH) -> str:

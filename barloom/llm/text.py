@@ -29,3 +29,13 @@ def words(c: Column) -> Column:
 def bind(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, also where a lambda inside refers to it many times."""
     return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def packed(docs: DataFrame, *wanted: str) -> DataFrame:
+    """``row``, the given rows as structs, beside the columns an operator works on: no working name meets one of the caller's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *wanted)
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The packed rows' own columns again, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])

@@ -59,3 +59,17 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert os.listdir(tmp_path) == ["documents.parquet"]
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES if s[0] != "packing"], ids=lambda s: s[0])
+def test_no_working_name_meets_a_column(spark, stage):
+    names = ["row", "t", "h", "i", "gone", "leaf", "line", "left", "key", "first", "last", "_key", "_first", "_last", "_drop", "_w", "_c", "_lines", "_m", "_l", "_s", "_kept", "node",
+             "kept", "component", "component_id", "n_shingles", "s1", "s2", "bands", "bits", "n", "bucket", "measure", "v", "q1", "q3", "high_symbol_rate", "low_word_length"]
+    rows = [(*r[:4], *(f"{n}{r[0]}" for n in names)) for r in corpus()]
+    plain = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame(rows, plain + "".join(f", `{n}` string" for n in names))
+    out, alone = stage[1](spark, docs, ""), stage[1](spark, docs.select("doc_id", "text", "lang", "source"), "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((r.doc_id, r.text) for r in alone.collect())
