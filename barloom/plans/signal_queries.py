@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import scalar, series
-from barloom.operators import catalog, panel, records, signals
+from barloom.operators import catalog, panel, portfolio, records, signals
 from barloom.plans.base import query
 from barloom.plans.function_queries import _NUMBERED, rolled, strict
 from barloom.plans.risk_queries import _STRESS
 from barloom.plans.tables import TABLES
+from barloom.session import materialize
 from barloom.sources import store
 from barloom.sources.panel_tables import bars, returns, table
 
@@ -314,6 +315,22 @@ def deps_closure(spark, folder):
     return catalog.closure(edges(spark, folder)).where("factor <> depends_on")
 
 
+@query("deps_of_nodes", "seed node way", uses="edges", sql="""
+    sd AS (SELECT 'O' || o_orderkey AS seed FROM orders WHERE o_orderpriority = '1-URGENT'),
+    dn AS (SELECT seed, depends_on AS node FROM sd JOIN edges ON factor = seed UNION SELECT seed, depends_on FROM dn JOIN edges ON factor = node),
+    su AS (SELECT 'N' || n_nationkey AS seed FROM nation WHERE n_regionkey = 1),
+    up AS (SELECT seed, factor AS node FROM su JOIN edges ON depends_on = seed UNION SELECT seed, factor FROM up JOIN edges ON depends_on = node)
+--
+SELECT seed, node, 'down' AS way FROM dn UNION ALL SELECT seed, node, 'up' FROM up""")
+def deps_of_nodes(spark, folder):
+    """What the urgent orders rest on, and what rests on the nations of one region."""
+    e = edges(spark, folder)
+    urgent = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("O"), F.col("o_orderkey")).alias("node"))
+    region = table(spark, folder, "nation").where("n_regionkey = 1").select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("node"))
+    down, up = catalog.reachable(e, urgent), catalog.reachable(e, region, up=True)
+    return down.withColumn("way", F.lit("down")).unionByName(up.withColumn("way", F.lit("up")))
+
+
 @query("deps_topo", "node level:i", uses="edges", sql="""
     nd AS (SELECT factor AS node FROM edges UNION SELECT depends_on FROM edges),
     up AS (SELECT node, 0 AS level FROM nd WHERE node NOT IN (SELECT factor FROM edges)
@@ -334,6 +351,39 @@ def deps_cycles(spark, folder):
     return catalog.cyclic_nodes(trade_edges(spark, folder))
 
 
+_BEST = """te AS (SELECT s_nationkey AS s, c_nationkey AS c, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+           JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
+    be AS (SELECT 'N' || s AS factor, 'N' || c AS depends_on FROM te QUALIFY row_number() OVER (PARTITION BY s ORDER BY n DESC, c) <= {k}),
+    reach AS (SELECT factor, depends_on FROM be UNION SELECT r.factor, e.depends_on FROM reach r JOIN be e ON e.factor = r.depends_on)"""
+
+
+def best_customers(spark, folder, k):
+    """Nations with the ``k`` other nations that they sell to most often: a sparse graph with few cycles."""
+    sold = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(
+        table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    pairs = sold.where("s_nationkey <> c_nationkey").groupBy("s_nationkey", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    best = portfolio.top_n(pairs, "n", k, ["s_nationkey"], tie="c_nationkey")
+    return best.select(F.concat(F.lit("N"), F.col("s_nationkey")).alias("factor"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("depends_on"))
+
+
+@query("deps_components", "node component", sql=f"""{_BEST.format(k=2)}
+--
+SELECT a.factor AS node, min(a.depends_on) AS component FROM reach a JOIN reach b ON a.factor = b.depends_on AND a.depends_on = b.factor GROUP BY 1""")
+def deps_components(spark, folder):
+    return catalog.cyclic_components(best_customers(spark, folder, 2))
+
+
+@query("deps_cycle_path", "place:i node", sql=f"""{_BEST.format(k=1)},
+    walk AS (SELECT 0 AS place, min(factor) AS node FROM reach WHERE factor = depends_on
+             UNION ALL SELECT place + 1, depends_on FROM walk JOIN be ON factor = node
+             WHERE place = 0 OR node <> (SELECT min(factor) FROM reach WHERE factor = depends_on))
+--
+SELECT place, node FROM walk""")
+def deps_cycle_path(spark, folder):
+    path = catalog.cycle_path(materialize(best_customers(spark, folder, 1), "edges"))
+    return spark.createDataFrame(list(enumerate(path)), "place int, node string")
+
+
 @query("deps_remove", "factor depends_on", uses="edges", sql="""
     SELECT factor, depends_on FROM edges WHERE factor <> 'N3' AND depends_on <> 'N3' AND factor NOT IN (SELECT 'O' || o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def deps_remove(spark, folder):

@@ -426,6 +426,36 @@ def test_dependency_graph(spark):
     assert catalog.remove_edges(diamond, edges(spark, ("d", "b"))).count() == 3
 
 
+def test_search_from_named_nodes(spark):
+    g = edges(spark, ("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("x", "y"), ("y", "x"))
+    assert rows(catalog.all_dependencies(g, "d"), "depends_on") == [("a",), ("b",), ("c",)] and rows(catalog.all_dependents(g, "a"), "factor") == [("b",), ("c",), ("d",)]
+    seeds = spark.createDataFrame([("b",), ("x",), ("a",), ("none",)], "node string")
+    assert rows(catalog.reachable(g, seeds), "seed", "node") == [("b", "a"), ("x", "x"), ("x", "y")]
+    assert rows(catalog.closure(g, seeds), "factor", "depends_on") == [("b", "a"), ("x", "x"), ("x", "y")]
+
+
+def test_cyclic_components_equal_mutual_reach(spark):
+    r = random.Random(9)
+    pairs = {(f"n{r.randint(0, 14):02d}", f"n{r.randint(0, 14):02d}") for _ in range(24)} | {("p", "q"), ("q", "p"), ("q", "r"), ("r", "s"), ("s", "r"), ("t", "t"), ("t", "u")}
+    reach = set(pairs)
+    while True:
+        more = reach | {(a, d) for a, b in reach for c, d in pairs if b == c}
+        if more == reach:
+            break
+        reach = more
+    want = sorted((a, min(b for x, b in reach if x == a and (b, a) in reach)) for a in {a for a, b in reach if a == b})
+    assert rows(catalog.cyclic_components(edges(spark, *pairs)), "node", "component") == want
+    assert catalog.cyclic_components(edges(spark, ("a", "b"), ("b", "c"))).count() == 0
+
+
+def test_cycle_path(spark):
+    g = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("d", "e"), ("e", "b"), ("z", "z"))
+    assert catalog.cycle_path(g) == ["b", "c", "d", "b"]
+    assert catalog.cycle_path(edges(spark, ("s", "s"), ("s", "t"))) == ["s", "s"] and catalog.cycle_path(edges(spark, ("a", "b"))) == []
+    with pytest.raises(ValueError, match="b -> c -> d -> b"):
+        catalog.topological_levels(g)
+
+
 def test_catalogue(spark):
     schema = "name string, display_name string, category string, expression string, description string, tags array<string>, owner string, created_at double"
     old = spark.createDataFrame([("A", "a", "x", "e", "d", ["T1"], "o", 1.0)], schema)
