@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import materialize
+
 from .core import finite, or_zero, ratio
 
 PER_OCTAVE = 64
@@ -39,14 +41,18 @@ def slice_of(v: Column, per_octave: int = PER_OCTAVE) -> Column:
     return F.when(v == 0, F.lit(0)).otherwise((F.signum(v) * number).cast("long"))
 
 
-def value_ranks(df: DataFrame, by: list[str], per_octave: int = PER_OCTAVE) -> DataFrame:
-    """(by…, _v, n_less, n_upto) of the distinct values of a column ``_v``.
+def value_counts(df: DataFrame, by: list[str], *more: str) -> DataFrame:
+    """(by…, _v, more…, _n): the distinct values of a column ``_v`` with their counts. Everything about ranks is derived from
+    this table; copies of a value collapse map-side."""
+    return df.groupBy(*by, "_v", *more).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def value_ranks(counts: DataFrame, by: list[str], per_octave: int = PER_OCTAVE) -> DataFrame:
+    """(by…, _v, n_less, n_upto) of the distinct values of a table of ``value_counts``.
 
-    Copies of a value collapse map-side first; slices then hold distinct values only, so neither equal values nor a
-    date with most of the rows gather in one task.
+    Slices hold distinct values only, so neither equal values nor a date with most of the rows gather in one task.
     """
-    counts = df.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cut = counts.withColumn("_k", slice_of(F.col("_v"), per_octave))
+    cut = counts.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.sum("_n").alias("_c")).withColumn("_k", slice_of(F.col("_v"), per_octave))
     n = F.col("_n")
     below = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = cut.groupBy(*by, "_k").agg(F.sum("_c").alias("_n")).select(*by, "_k", below.alias("_below"))
@@ -62,20 +68,26 @@ def with_ranks(df: DataFrame, by: list[str], value: str, tie: str | None = None,
     and NULLs last; rows of one value are numbered in slices by the first characters of the tie key.
     """
     base = df.withColumn("_v", finite(F.col(value).cast("double")))
-    totals = base.groupBy(*by).agg(F.count("_v").alias("n_total"), F.count(F.lit(1)).alias("n_rows"))
-    ranked = base.join(value_ranks(base, by, per_octave), [*by, "_v"], "left").join(totals, by)
+    keys = ["_v"]
     if tie is not None:
-        cut = ranked.withColumn("_t", F.substring(F.col(tie).cast("string"), 1, TIE_PREFIX))
-        group = Window.partitionBy(*by, "_v").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-        ties = cut.groupBy(*by, "_v", "_t").agg(F.count(F.lit(1)).alias("_n")).select(
-            *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_v").alias("_tv"), F.col("_t").alias("_tt"), F.coalesce(F.sum("_n").over(group), F.lit(0)).alias("_before"))
-        same = F.col("_v").eqNullSafe(F.col("_tv")) & F.col("_t").eqNullSafe(F.col("_tt"))
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-        own = F.row_number().over(Window.partitionBy(*by, "_v", "_t").orderBy(tie))
-        place = F.coalesce("n_less", "n_total") + F.col("_before") + own
-        ranked = cut.join(ties, same).withColumn("place", place).drop("_t", "_tv", "_tt", "_before", *[f"_by_{c}" for c in by])
-    return ranked.drop("_v")
+        base = base.withColumn("_t", F.substring(F.col(tie).cast("string"), 1, TIE_PREFIX))
+        keys.append("_t")
+    counts = value_counts(base, by, *keys[1:])
+    if tie is not None:  # read four times; without ties the join deals the rows by the same keys as the counts, and Spark reuses that exchange
+        counts = materialize(counts, "values")
+    totals = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_total"), F.sum("_n").alias("n_rows"))
+    ranks = value_ranks(counts, by, per_octave)
+    if tie is None:
+        return base.join(ranks, [*by, "_v"], "left").join(totals, by).drop("_v")
+    group = Window.partitionBy(*by, "_v").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    looked = counts.withColumn("_before", F.coalesce(F.sum("_n").over(group), F.lit(0))).drop("_n").join(ranks, [*by, "_v"], "left").join(totals, by)
+    looked = looked.withColumnsRenamed({c: f"_r{c}" for c in [*by, *keys]})
+    same = F.col("_v").eqNullSafe(F.col("_r_v")) & F.col("_t").eqNullSafe(F.col("_r_t"))
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_r{c}"))
+    own = F.row_number().over(Window.partitionBy(*by, "_v", "_t").orderBy(tie))
+    ranked = base.join(looked, same).withColumn("place", F.coalesce("n_less", "n_total") + F.col("_before") + own)
+    return ranked.drop("_v", "_t", "_before", *[f"_r{c}" for c in [*by, *keys]])
 
 
 _RANK_COLUMNS = ("n_less", "n_upto", "n_total", "n_rows")
@@ -112,12 +124,12 @@ def scale(df: DataFrame, value: str, out: str, a: float = 1.0, b: float = 0.0, b
 
 def group_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str, per_octave: int = PER_OCTAVE) -> DataFrame:
     """Linearly interpolated quantile per group, read off the ranks instead of a per-group list."""
-    base = df.select(*by, finite(F.col(value).cast("double")).alias("_v"))
-    totals = base.groupBy(*by).agg(F.count("_v").alias("n_total"))
+    counts = materialize(value_counts(df.select(*by, finite(F.col(value).cast("double")).alias("_v")), by), "values")
+    totals = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_total"))
     at = (F.col("n_total").cast("double") - 1) * q
     lo, v, frac = F.floor(at), F.col("_v"), at - F.floor(at)
     covers = lambda i: (F.col("n_less") <= i) & (i < F.col("n_upto"))
-    found = value_ranks(base, by, per_octave).join(totals, by).groupBy(*by).agg(
+    found = value_ranks(counts, by, per_octave).join(totals, by).groupBy(*by).agg(
         F.max(F.when(covers(lo), v)).alias("_l"), F.max(F.when(covers(lo + 1), v)).alias("_h"), F.max(frac).alias("_f"))
     value_at = F.col("_l") + F.when(F.col("_f") > 0, F.col("_f") * (F.col("_h") - F.col("_l"))).otherwise(0.0)
     return found.select(*by, value_at.alias(out))
