@@ -6,8 +6,9 @@ start from the vocabulary's scores and are re-estimated on the training document
 the table of distinct words with their counts. A document is its words and one end token.
 
 Only distinct words go through the lattice. Their values return to the documents in two ways: words above a count that at most
-``FREQUENT`` words reach are broadcast (their number is the bound), all other words are joined by a shuffle, and as they
-are rare no key is hot. Piece counts (one number per piece of the vocabulary) are all that the driver sees.
+``FREQUENT`` words reach are broadcast (at most so many entries of at most ``SHORT`` bytes, longer words as digests) and summed where
+the text is; all other words of a text, with their numbers, are joined by a shuffle, and as they are rare no key is hot. Beside that
+table the driver sees piece counts, one number per piece of the vocabulary.
 
 Defined cases: null text is empty and scores its end token; repeated rows are scored each for itself; a null doc_id counts as training;
 without training tokens V and N are 0 and pieces keep their initial weights; an empty table gives no rows; further columns are ignored.
@@ -16,7 +17,10 @@ without training tokens V and N are 0 and pieces keep their initial weights; an
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.quality import bucket, bucket_top
-from barloom.llm.rolling import U, mix, powers
-from barloom.llm.text import ascii_lower, words
+from barloom.llm.rolling import U, mix, powers, utf8
 from barloom.session import materialize
 
 START = "▁"
 END = "\n"  # no word can be this
-FREQUENT = 100_000
+FREQUENT = 200_000
+SHORT = 64  # bytes of a word that the broadcast table holds as it is
+HELD = 400_000  # distinct words that a task counts before it hands them on
 ROUNDS = 2
 SMOOTHING = 0.01  # added to every piece's expected count
 LONG = 200  # words above this length are walked one by one
@@ -199,11 +204,47 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _token_lists(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """The words of each text, A-Z lower-cased. ``bytes.split`` parts at just the bytes 0x20 and 0x09 to 0x0D."""
+    data, offsets = utf8(batch.column("text"))
+    for i in range(batch.num_rows):
+        yield data[offsets[i]:offsets[i + 1]].tobytes().lower().split()
+
+
+def _strings(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary()).cast(pa.string())
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c, total): counts in training documents and in all; the end token is the word END."""
-    # the outer form of explode: for the inner one Spark adds a filter on the size and splits every text twice
-    return (docs.select("held_out", F.explode_outer(F.array_append(words(ascii_lower(F.col("text"))), END)).alias("word"))
-            .groupBy("word").agg(F.count(F.when(~F.col("held_out"), 1)).alias("c"), F.count(F.lit(1)).alias("total")))
+    """(word, c, total): counts in training documents and in all; the end token is the word END.
+
+    A task counts up to ``HELD`` distinct words before it hands them on, so the shuffle carries counts, not tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, training = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            columns = [_strings(list(every)), pa.array([training[w] for w in every], pa.int64()), pa.array(list(every.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "c", "total"])
+
+        for b in batches:
+            for tokens, held in zip(_token_lists(b), b.column("held_out").to_pylist()):
+                tokens.append(END.encode())
+                every.update(tokens)
+                if not held:
+                    training.update(tokens)
+                if len(every) >= HELD:
+                    yield out()
+                    every, training = Counter(), Counter()
+        yield out()
+
+    return docs.select("held_out", "text").mapInArrow(run, "word string, c long, total long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+
+
+def _entry(word: bytes) -> bytes:
+    """The word as a key of the broadcast table: a long one by its digest, which bounds the table's size."""
+    return word if len(word) <= SHORT else b" " + blake2b(word, digest_size=16).digest()
 
 
 def fit(counts: DataFrame, vocab: list[tuple[str, float]], rounds: int = ROUNDS) -> np.ndarray:
@@ -262,22 +303,46 @@ def score(docs: DataFrame, path: str, held_out_remainder: int = 2, folds: int =
         if at > FREQUENT:
             least = r.top + 1
             break
-    frequent = valued.where(F.col("total") >= least).drop("total")
-    rare = valued.where(F.col("total") < least).drop("total")
-    tokens = marked.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "held_out",
-                           F.explode_outer(F.array_append(words(ascii_lower(F.col("text"))), END)).alias("word"))
-    sums = [F.count(F.lit(1)).alias("n_tokens"), F.count(F.when(F.col("known"), 1)).alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"),
-            F.count(F.when(F.col("word") == END, 1)).alias("rows")]
-    by = ["key", "doc_id", "held_out"]
-    # one pass over the tokens: frequent words are summed at once, of each other word its number per document stays
-    first = tokens.join(F.broadcast(frequent), "word", "left").withColumn("rare", F.when(F.col("model").isNull(), F.col("word")))
-    first = materialize(first.groupBy(*by, "rare").agg(*sums), "frequent")
-    known = F.col("known").cast("long") * F.col("n_tokens")
-    far = first.where("rare is not null").join(rare.withColumnRenamed("word", "rare"), "rare").select(
-        *by, "n_tokens", known.alias("n_known"), (F.col("base") * F.col("n_tokens")).alias("base_score"), (F.col("model") * F.col("n_tokens")).alias("score"), F.when(F.col("rare") == END, F.col("n_tokens")).otherwise(0).alias("rows"))
-    near = first.where("rare is null").select(*by, "n_tokens", "n_known", "base_score", "score", "rows")
-    out = near.unionByName(far).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "rows")])
-    # repeated rows were summed together: share out and list them again
-    share = out.select(*by[1:], *[F.expr(f"{c} div rows").alias(c) for c in ("n_tokens", "n_known")], *[(F.col(c) / F.col("rows")).alias(c) for c in ("base_score", "score")],
-                       F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("_one"))
-    return share.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(0, "word", pa.array([_entry(w) for w in b.column("word").cast(pa.binary()).to_pylist()], pa.binary()))
+
+    top = valued.where(F.col("total") >= least).drop("total").mapInArrow(entries, "word binary, known boolean, base double, model double").toArrow()  # at most FREQUENT rows
+    values = [np.array(top.column(c), dtype=float) for c in ("known", "base", "model")]
+    table = spark.sparkContext.broadcast((top.column("word").to_pylist(), values))
+    first = materialize(marked.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(
+        lambda batches: _sum_frequent(batches, *table.value), f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, "
+        "n_tokens long, n_known double, base_score double, score double, rare array<struct<word:string,n:long>>"), "frequent")
+    names = ["n_known", "base_score", "score"]
+    far = (first.select("row", F.inline("rare")).join(valued.where(F.col("total") < least), "word")
+           .groupBy("row").agg(*[F.sum(F.col("n") * F.col(c).cast("double")).alias(f"far_{t}") for c, t in zip(("known", "base", "model"), names)]))
+    both = first.drop("rare").join(far, "row", "left").withColumns({c: F.col(c) + F.coalesce(f"far_{c}", F.lit(0.0)) for c in names})
+    return both.select("doc_id", "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _sum_frequent(batches: Iterator[pa.RecordBatch], entries: list[bytes], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """For each text its tokens' number, the sums over words that the table holds, and its other words with their numbers."""
+    place = {w: i for i, w in enumerate(entries)}
+    end = place.get(END.encode(), -1)
+    for b in batches:
+        n, sums, words, times, ends = [], [], [], [], [0]
+        for tokens in _token_lists(b):
+            at = np.fromiter(chain(map(place.get, tokens, repeat(-1)), (end,)), np.int64, len(tokens) + 1)
+            tokens.append(END.encode())
+            others = Counter()
+            for k in np.flatnonzero(at < 0):
+                if len(tokens[k]) > SHORT:
+                    at[k] = place.get(_entry(tokens[k]), -1)
+                if at[k] < 0:
+                    others[tokens[k]] += 1
+            known = at[at >= 0]
+            n.append(len(tokens))
+            sums.append([v[known].sum() for v in values])
+            words.extend(others)
+            times.extend(others.values())
+            ends.append(len(words))
+        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([_strings(words), pa.array(times, pa.int64())], names=["word", "n"]))
+        sums = np.array(sums, dtype=float).reshape(-1, len(values))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n, pa.int64()), *map(pa.array, sums.T.copy()), rare],
+                                         names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
