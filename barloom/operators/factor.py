@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.core import or_zero, pairs, pearson, ratio
+from barloom.functions.core import finite, or_zero, pairs, pearson, ratio
 from barloom.functions.section import average_rank, with_ranks
 
 # Thresholds of the neutralisation and selection rules.
@@ -19,6 +19,7 @@ MAX_CORR = 0.70
 MAX_MEAN_CORR = 0.50
 EPS = 1e-10
 NO_INDUSTRY = "nan"
+FINE = 4096  # slices per octave where one group holds the whole table
 
 
 def neutralize(df: DataFrame, factor: str, out: str, industry: str | None = None, cap: str | None = None,
@@ -96,23 +97,26 @@ def filter_by_ic(df: DataFrame, factors: list[str], ret: str, min_abs_ic: float
 def corr_matrix(df: DataFrame, factors: list[str], method: str = "pearson") -> DataFrame:
     """(left, right, corr) for every pair of factors, over the rows that have both.
 
-    Pearson takes one pass for all pairs. Spearman ranks the complete rows of each pair anew.
+    Pearson takes one pass for all pairs. For Spearman the complete rows of all pairs become rows of one table, so that
+    two rankings (one for each side) serve all of them.
     """
     both = list(combinations(factors, 2))
     if method == "pearson":
         aggs = [pearson(a, b).alias(f"c{i}_corr") for i, (a, b) in enumerate(both)]
         return _rows(df.agg(*aggs), [({"left": a, "right": b}, f"c{i}") for i, (a, b) in enumerate(both)], ["corr"])
-    out = None
-    for a, b in both:
-        part = df.select(F.lit(1).alias("_all"), F.col(a), F.col(b)).dropna()
-        part = overall_rank(part, a, "_ra")
-        part = overall_rank(part, b, "_rb")
-        row = part.agg(pearson("_ra", "_rb").alias("corr")).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "corr")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def overall_rank(df: DataFrame, value: str, out: str, per_octave: int = 4096) -> DataFrame:
+    value = lambda f: finite(F.col(f).cast("double"))
+    cells = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), value(a).alias("_x"), value(b).alias("_y")) for a, b in both))
+    long = df.select(F.inline(cells)).where("_x is not null and _y is not null")
+    for side in ("_x", "_y"):
+        ranked = with_ranks(long, ["left", "right"], side, per_octave=FINE)
+        long = ranked.withColumn(f"{side}r", average_rank()).drop("n_less", "n_upto", "n_total", "n_rows")
+    found = long.groupBy("left", "right").agg(pearson("_xr", "_yr").alias("corr"))
+    pair = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in both]
+    names = df.sparkSession.range(1).select(F.inline(F.array(*pair)))  # a pair without complete rows has a NULL
+    return names.join(found, ["left", "right"], "left")
+
+
+def overall_rank(df: DataFrame, value: str, out: str, per_octave: int = FINE) -> DataFrame:
     """Average-tie rank over the whole table; needs a constant ``_all`` column. Finer slices than for a
     date, because there is only one group."""
     ranked = with_ranks(df, ["_all"], value, per_octave=per_octave)
@@ -125,21 +129,42 @@ def spreads(df: DataFrame, factors: list[str]) -> DataFrame:
     return _rows(df.agg(*aggs), [({"factor": f}, f"c{i}") for i, f in enumerate(factors)], ["std"])
 
 
+def _numbers(df: DataFrame, factors: list[str], ret: str | None = None) -> dict:
+    """All that a selection asks, by one job and one row: the spread of each factor, the correlation of each pair and, with
+    ``ret``, each factor's IC (also rounded) and number of pairs."""
+    aggs = [F.stddev_samp(f).alias(f"s{i}") for i, f in enumerate(factors)]
+    aggs += [pearson(factors[i], factors[j]).alias(f"r{i}_{j}") for i, j in combinations(range(len(factors)), 2)]
+    if ret is not None:
+        aggs += [a for i, f in enumerate(factors) for a in (pearson(f, ret).alias(f"ic{i}"), F.round(pearson(f, ret), 6).alias(f"near{i}"), pairs(f, ret).alias(f"n{i}"))]
+    row = df.agg(*aggs).first()
+    out = {"std": {f: row[f"s{i}"] or 0.0 for i, f in enumerate(factors)},
+           "corr": {frozenset((factors[i], factors[j])): row[f"r{i}_{j}"] for i, j in combinations(range(len(factors)), 2)}}
+    if ret is not None:
+        out["ic"] = {f: (row[f"ic{i}"], row[f"near{i}"], row[f"n{i}"]) for i, f in enumerate(factors)}
+    return out
+
+
+def _apart(names: list[str], corr: dict, scores: dict[str, float], max_corr: float) -> list[str]:
+    """By falling score, the names that are not too close to one that stayed."""
+    kept: list[str] = []
+    for name in sorted(names, key=lambda f: -abs(scores.get(f, 0.0))):
+        if not any(abs(corr[frozenset((name, k))] or 0.0) > max_corr for k in kept):
+            kept.append(name)
+    return kept
+
+
 def uncorrelated(df: DataFrame, factors: list[str], scores: dict[str, float] | None = None, max_corr: float = MAX_CORR,
                  method: str = "pearson") -> list[str]:
     """Names left after dropping near-copies: by falling score, a factor stays if it is not too close to
     one that stayed. The driver reads one number per factor and per pair of factors."""
-    std = {r["factor"]: r["std"] or 0.0 for r in spreads(df, factors).collect()}
-    names = [f for f in factors if std[f] > EPS]
-    if len(names) < 2:
-        return names
-    close = {frozenset((r["left"], r["right"])) for r in corr_matrix(df, names, method).collect()
-             if r["corr"] is not None and abs(r["corr"]) > max_corr}
-    kept: list[str] = []
-    for name in sorted(names, key=lambda f: -abs((scores or {}).get(f, 0.0))):
-        if not any(frozenset((name, k)) in close for k in kept):
-            kept.append(name)
-    return kept
+    if not factors:
+        return []
+    found = _numbers(df, factors)
+    names = [f for f in factors if found["std"][f] > EPS]
+    corr = found["corr"]
+    if method != "pearson" and len(names) > 1:
+        corr = {frozenset((r["left"], r["right"])): r["corr"] for r in corr_matrix(df, names, method).collect()}
+    return names if len(names) < 2 else _apart(names, corr, scores or {}, max_corr)
 
 
 def mean_corr(df: DataFrame, factors: list[str]) -> DataFrame:
@@ -159,7 +184,23 @@ def mean_corr_filter(df: DataFrame, factors: list[str], limit: float = MAX_MEAN_
 
 def select_factors(df: DataFrame, factors: list[str], ret: str, min_abs_ic: float = MIN_ABS_IC, max_corr: float = MAX_CORR,
                    mean_limit: float = MAX_MEAN_CORR) -> list[tuple[str, float]]:
-    """IC filter, then near-copies out, then the mean-correlation filter: (factor, ic) strongest first."""
-    scores = {r["factor"]: r["ic"] for r in filter_by_ic(df, factors, ret, min_abs_ic).collect()}
-    names = uncorrelated(df, list(scores), scores, max_corr)
-    return [(f, scores[f]) for f in mean_corr_filter(df, names, mean_limit)]
+    """IC filter, then near-copies out, then the mean-correlation filter: (factor, ic) strongest first.
+
+    One pass over the table answers all three steps.
+    """
+    if not factors:
+        return []
+    found = _numbers(df, factors, ret)
+    corr = found["corr"]
+    scores = {f: near for f, (ic, near, n) in found["ic"].items() if ic is not None and n >= MIN_PERIODS and abs(ic) >= min_abs_ic}
+    names = sorted(scores, key=lambda f: (-abs(scores[f]), f))
+    varied = [f for f in names if found["std"][f] > EPS]
+    names = varied if len(varied) < 2 else _apart(varied, corr, scores, max_corr)
+    if len(names) < 2:
+        return [(f, scores[f]) for f in names]
+    kept = []
+    for f in names:
+        others = [abs(c) for g in names if g != f and (c := corr[frozenset((f, g))]) is not None]
+        if others and sum(others) / len(others) <= mean_limit:
+            kept.append((f, scores[f]))
+    return kept

@@ -3,8 +3,10 @@
 import datetime as dt
 import math
 import random
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,41 @@ def test_selection(spark):
     assert spearman > 0.99
 
 
+def test_spearman_of_all_pairs_over_their_complete_rows(spark):
+    rnd = random.Random(2)
+    gap = lambda x: None if rnd.random() < 0.2 else x
+    data = [(gap(float(rnd.randrange(9))), gap(rnd.gauss(0, 1)), gap(rnd.random()), None) for _ in range(150)] + [(float("nan"), 1.0, float("inf"), None)]
+    df = spark.createDataFrame(data, "a double, b double, c double, empty double")
+    got = {(r["left"], r["right"]): r["corr"] for r in factor.corr_matrix(df, ["a", "b", "c", "empty"], "spearman").collect()}
+    frame = pd.DataFrame(data, columns=["a", "b", "c", "empty"], dtype=float).replace(float("inf"), float("nan"))
+    want = {}
+    for x, y in combinations(frame.columns, 2):
+        part = frame[[x, y]].dropna().rank()
+        want[x, y] = pytest.approx(part[x].corr(part[y]), abs=1e-9) if len(part) else None
+    assert got == want
+
+
+def test_selection_by_one_job_equals_the_steps_one_by_one(spark):
+    rnd = random.Random(3)
+    names = ["f1", "f2", "f3", "f4", "f5", "flat"]
+    data = []
+    for _ in range(300):
+        r, common = rnd.gauss(0, 1), rnd.gauss(0, 1)
+        data.append((r + common, r + common + rnd.gauss(0, .2), r * .4 + rnd.gauss(0, 1), None if rnd.random() < .3 else r + rnd.gauss(0, 2), rnd.gauss(0, 1), 2.0, r))
+    df = spark.createDataFrame(data, ", ".join(f"{n} double" for n in [*names, "ret"]))
+    scores = {r["factor"]: r["ic"] for r in factor.filter_by_ic(df, names, "ret", 0.1).collect()}
+    left = factor.mean_corr_filter(df, factor.uncorrelated(df, list(scores), scores, 0.7), 0.5)
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("selection", "one pass")
+    picked = factor.select_factors(df, names, "ret", 0.1, 0.7, 0.5)
+    jobs = len(seen.getJobIdsForGroup("selection"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert picked == [(f, scores[f]) for f in left] and len(picked) >= 2
+    assert jobs <= 2  # a shuffle stage of the one aggregate, and its end
+    assert factor.select_factors(df, [], "ret") == [] and factor.uncorrelated(df, []) == []
+    assert factor.select_factors(df.limit(0), names, "ret") == []
+
+
 # -- evaluation ------------------------------------------------------------------------------------
 
 
