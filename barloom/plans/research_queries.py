@@ -265,21 +265,52 @@ def evaluate_factor(spark, folder):
     return evaluate.evaluate_factor(bars(spark, folder), "gap", "gap")
 
 
+def _summary_sql(src: str, value: str) -> str:
+    """WITH items ``sm``: figures of the daily ICs of ``value`` per method and horizon, from ``src`` with returns r1 to r20."""
+    return "lg AS (" + " UNION ALL ".join(f"SELECT trade_date, 'ret_{p}d' AS horizon, {value} AS x, r{p} AS y FROM {src} WHERE {value} IS NOT NULL AND r{p} IS NOT NULL"
+                                          for p in _PERIODS) + """),
+    rk AS (SELECT *, rank() OVER (PARTITION BY horizon, trade_date ORDER BY x) + (count(*) OVER (PARTITION BY horizon, trade_date, x) - 1) / 2 AS xr,
+                  rank() OVER (PARTITION BY horizon, trade_date ORDER BY y) + (count(*) OVER (PARTITION BY horizon, trade_date, y) - 1) / 2 AS yr FROM lg),
+    dy AS (SELECT horizon, trade_date, count(*) AS n, corr(x, y) AS p, corr(xr, yr) AS s FROM rk GROUP BY 1, 2),
+    mt AS (SELECT 'pearson' AS method, horizon, round(p, 12) AS ic FROM dy WHERE n >= 3 AND NOT isnan(p) UNION ALL
+           SELECT 'spearman', horizon, round(s, 12) FROM dy WHERE n >= 3 AND NOT isnan(s)),
+    sm AS (SELECT method, horizon, avg(ic) AS ic_mean, coalesce(stddev_samp(ic), 0) AS ic_std,
+                  CASE WHEN coalesce(stddev_samp(ic), 0) > 1e-10 THEN round(avg(ic) / stddev_samp(ic), 4) ELSE 0 END AS ic_ir,
+                  avg(CASE WHEN ic > 0 THEN 1 ELSE 0 END) AS hit_rate, count(*) FILTER (ic > 0) AS positive_days, count(*) AS total_days, count(*) = 1 AS is_full_sample
+           FROM mt WHERE ic IS NOT NULL GROUP BY 1, 2)"""
+
+
+_HORIZONS = [f"ret_{p}d" for p in _PERIODS]
+_AHEAD = ", ".join(f"lead({{0}}, {p}) OVER ({ORDERED}) / {{0}} - 1 AS r{p}" for p in _PERIODS)
+
+
+@query("evaluate_summary", "method horizon ic_mean:6 ic_std:6 ic_ir:4 hit_rate:4 positive_days:i total_days:i is_full_sample:b", uses="bars", sql=f"""
+    known AS (SELECT trade_date, ts_code, gap, {_AHEAD.format('gap')} FROM bars WHERE gap IS NOT NULL),
+    {_summary_sql('known', 'gap')}
+--
+SELECT * FROM sm""")
+def evaluate_summary(spark, folder):
+    known = panel.forward_returns(bars(spark, folder).where("gap is not null"), _PERIODS, price="gap")
+    return evaluate.ic_summary(known, "gap", _HORIZONS)
+
+
 @query("factor_verdict", "ts_code passed:b", uses="factors", sql=f"""
+    ahead AS (SELECT trade_date, ts_code, level, {_AHEAD.format('close')} FROM factors),
+    {_summary_sql('ahead', 'level')},
     {_POSITION.format(src='factors')},
     eq AS (SELECT *, CASE WHEN strategy_ret IS NOT NULL THEN product(1 + strategy_ret) OVER ({ORDERED} ROWS UNBOUNDED PRECEDING) END AS equity FROM strat),
     dd AS (SELECT *, equity / max(equity) OVER ({ORDERED} ROWS UNBOUNDED PRECEDING) - 1 AS drop_by FROM eq)
 --
-SELECT ts_code, abs(avg(mom5) / stddev_samp(mom5)) >= 0.3 AND abs(CASE WHEN count(strategy_ret) < 20 OR stddev_samp(strategy_ret) < 1e-10 THEN 0
+SELECT ts_code, coalesce((SELECT max(abs(ic_ir)) FROM sm WHERE method = 'pearson'), 0) >= 0.3 AND abs(CASE WHEN count(strategy_ret) < 20 OR stddev_samp(strategy_ret) < 1e-10 THEN 0
        ELSE avg(strategy_ret) / stddev_samp(strategy_ret) * sqrt(252) END) >= 0.5 AND coalesce(min(drop_by), 0) >= -0.5 AS passed
 FROM dd GROUP BY 1""")
 def factor_verdict(spark, folder):
-    placed = evaluate.zscore_position(factor_frame(spark, folder), "level")
+    f = factor_frame(spark, folder)
+    placed = evaluate.zscore_position(f, "level")
     curve = placed.withColumn("equity", F.when(F.col("strategy_ret").isNotNull(), F.product(1 + F.col("strategy_ret")).over(panel.SERIES.so_far)))
     rows = curve.withColumn("dd", evaluate.drawdown("equity")).groupBy("ts_code").agg(
-        ratio(F.avg("mom5"), F.stddev_samp("mom5")).alias("ir"), evaluate.sharpe("strategy_ret").alias("sharpe"),
-        F.coalesce(F.min("dd"), F.lit(0.0)).alias("mdd"))
-    return rows.withColumn("passed", evaluate.verdict([F.col("ir")], F.col("sharpe"), F.col("mdd")))
+        evaluate.sharpe("strategy_ret").alias("sharpe"), F.coalesce(F.min("dd"), F.lit(0.0)).alias("max_drawdown"))
+    return evaluate.judge(rows, evaluate.ic_summary(panel.forward_returns(f, _PERIODS), "level", _HORIZONS))
 
 
 @query("label_purge_check", "label leaked:i safe:i recommended_purge:i clean:b", uses="bars", sql=f"""

@@ -185,6 +185,30 @@ def test_spearman_of_all_pairs_over_their_complete_rows(spark):
     assert got == want
 
 
+def test_summary_of_daily_ics_and_the_verdict_on_it(spark):
+    rnd = random.Random(4)
+    data = []
+    for d in range(12):
+        for c in "ABCDEF"[: 2 if d == 0 else 6]:  # the first section is too small
+            x = float(rnd.randrange(4))
+            data.append((day(d), c, None if d == 3 and c == "A" else x, x / 50 + rnd.gauss(0, .02), rnd.gauss(0, 1) if d < 2 else None))
+    df = spark.createDataFrame(data, "trade_date date, ts_code string, x double, near double, far double")
+    got = {(r["method"], r["horizon"]): r for r in evaluate.ic_summary(df, "x", ["near", "far"]).collect()}
+    frame = pd.DataFrame(data, columns=["d", "c", "x", "near", "far"])
+    for method, horizon in (("pearson", "near"), ("spearman", "near"), ("pearson", "far")):
+        parts = [g[["x", horizon]].astype(float).dropna() for _, g in frame.groupby("d")]
+        ics = [p["x"].corr(p[horizon]) if method == "pearson" else p["x"].rank().corr(p[horizon].rank()) for p in parts if len(p) >= 3]
+        r, mean, std = got[method, horizon], float(np.mean(ics)), float(np.std(ics, ddof=1)) if len(ics) > 1 else 0.0
+        assert (r["ic_mean"], r["ic_std"]) == (pytest.approx(mean, abs=1e-6), pytest.approx(std, abs=1e-6))
+        assert r["ic_ir"] == (pytest.approx(mean / std, abs=1e-4) if std else 0.0)
+        assert (r["positive_days"], r["total_days"], r["is_full_sample"]) == (sum(i > 0 for i in ics), len(ics), len(ics) == 1)
+    assert got["pearson", "far"]["is_full_sample"] and got["pearson", "near"]["total_days"] == 11
+    curves = spark.createDataFrame([("A", 0.6, -0.1), ("B", -0.6, -0.5), ("C", 0.4, 0.0), ("D", 2.0, -0.6)], "ts_code string, sharpe double, max_drawdown double")
+    summary = evaluate.ic_summary(df, "x", ["near", "far"])
+    assert rows(evaluate.judge(curves, summary), "ts_code", "passed") == [("A", True), ("B", True), ("C", False), ("D", False)]
+    assert not any(r["passed"] for r in evaluate.judge(curves, evaluate.ic_summary(df.limit(0), "x", ["near"])).collect())
+
+
 def test_selection_by_one_job_equals_the_steps_one_by_one(spark):
     rnd = random.Random(3)
     names = ["f1", "f2", "f3", "f4", "f5", "flat"]
