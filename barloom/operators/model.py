@@ -86,19 +86,33 @@ def validation_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
     return df.join(validation_dates(folds), "trade_date")
 
 
+def row_numbers(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Add ``out``: 1, 2, 3 … in the order of one column over the whole table, which no task ever holds.
+
+    The rows are dealt by ranges of (column, row id) and written once; each range is numbered by itself and starts after
+    the counts of the ranges below. Equal values, however many, are told apart by the row id and spread as well.
+    """
+    stored = materialize(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    ranged = materialize(stored.repartitionByRange(order, "_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    below = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", below.alias("_start"))  # one row per range
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(order, "_id"))
+    return ranged.join(starts, "_range").withColumn(out, place).drop("_range", "_id", "_start")
+
+
 def chrono_split(df: DataFrame, share: float = 0.8, tie: str = "ts_code") -> DataFrame:
     """Add ``part``: the first share of the rows by date is ``train``, the rest ``eval``.
 
     Running counts per date place every row but those of the one date the cut falls into; only these
-    are numbered.
+    are numbered, in ranges, so that the date may hold most of the rows.
     """
     cut = F.floor(F.max("rows_upto").over(Window.partitionBy(F.lit(0))) * share)
     days = numbered_dates(df).select("trade_date", (F.col("rows_upto") - F.col("n_rows")).alias("_before"), "rows_upto", cut.alias("_cut"))
     rows = df.join(days, "trade_date")
     split_day = (F.col("_before") < F.col("_cut")) & (F.col("rows_upto") > F.col("_cut"))
     whole = rows.where(~split_day).withColumn("part", F.when(F.col("rows_upto") <= F.col("_cut"), F.lit("train")).otherwise(F.lit("eval")))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("trade_date").orderBy(tie))
-    split = rows.where(split_day).withColumn("part", F.when(place <= F.col("_cut"), F.lit("train")).otherwise(F.lit("eval")))
+    place = F.col("_before") + F.col("_place")
+    split = row_numbers(rows.where(split_day), tie, "_place").withColumn("part", F.when(place <= F.col("_cut"), F.lit("train")).otherwise(F.lit("eval"))).drop("_place")
     return whole.unionByName(split).drop("_before", "rows_upto", "_cut")
 
 

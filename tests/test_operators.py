@@ -359,6 +359,27 @@ def test_walk_forward_predicts_every_row_once(spark):
     assert {r["fold"]: r["gain"] for r in gains.collect()} == {k: None if f["n_train"] < 100 else 1.0 for k, f in folds.items()}
 
 
+def test_chronological_cut_inside_a_date_that_holds_most_rows(spark):
+    rnd = random.Random(5)
+    data = [(day(0), f"c{rnd.randrange(40):02d}") for _ in range(50)] + [(day(1), f"c{rnd.randrange(40):02d}" if i % 2 else "c20") for i in range(900)] + [(day(2), "z")] * 50
+    df = spark.createDataFrame(data, "trade_date date, ts_code string")
+    numbered = model.row_numbers(df, "ts_code", "k").collect()
+    assert sorted(r["k"] for r in numbered) == list(range(1, 1001))
+    assert [r["ts_code"] for r in sorted(numbered, key=lambda r: r["k"])] == sorted(c for _, c in data)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as on a large table, whose ranges stay apart
+    try:
+        got = model.chrono_split(df, 0.5).collect()
+        ranged = df.withColumn("_id", F.monotonically_increasing_id()).repartitionByRange("ts_code", "_id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in ranged) < 400  # half of the rows have one code
+    train = [r for r in got if r["part"] == "train"]
+    assert len(got) == 1000 and len(train) == 500
+    inside = sorted(c for d, c in data if d == day(1))
+    assert sorted(r["ts_code"] for r in train if r["trade_date"] == day(1)) == inside[:450]
+    assert model.chrono_split(df, 0.95).where("part = 'train'").count() == 950 and model.chrono_split(df.limit(0)).count() == 0
+
+
 def test_boosting_goes_on_while_the_held_rows_improve(spark):
     data = [(day(i), c, float((i * 7 + k) % 10), ((i * 7 + k) % 10) / 100) for i in range(50) for k, c in enumerate("ABCD")]
     df = spark.createDataFrame(data, "trade_date date, ts_code string, x double, y double")
