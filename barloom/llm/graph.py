@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from barloom.session import materialize
 
 
-FEW = 100_000  # rows that one task handles at once
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once. At most ``FEW`` rows come back as one partition: steps on them need no shuffle."""
-    out = materialize(df, name)
-    return out.coalesce(1) if out.count() <= FEW else out
-
-
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first())
 
@@ -25,17 +16,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the (a, b) links; a component is named after its smallest node.
 
     Alternating large-star and small-star rounds: each is one aggregation and one join, the number of rounds grows with
-    the logarithm of the longest path, and no node ever gathers its component.
+    the logarithm of the longest path, and no node ever gathers its component. The least neighbours are written before they
+    are joined, so that AQE splits a node with very many links.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = _fingerprint(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lower.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "edges")
+        edges = materialize(small.distinct(), "edges")
         after = _fingerprint(edges)
         if after == before:
             break

@@ -7,13 +7,14 @@ coordinates of two sketches is concentrated around the Jaccard similarity as for
 with as many coordinates as the wanted similarity allows (``band_rows``), propose candidates: a pair at just that
 similarity misses all bands with a probability below 1e-6.
 
-Sets that are equal form one class and one node. Inside a bucket (nodes that share a band) no list of all pairs is
-made. First every node meets the bucket's hub, the node whose buckets are largest; then, while a bucket
-holds several components, its next pivots (``PIVOTS``, twice as many each time; those of the smallest components first, so that
-the largest need not be gone through) meet the members of other components and retire. A pair inside a component needs no comparison, so nothing is lost: each pair of a bucket either meets or is
-already connected. Pairs whose sketches differ in so many coordinates that the wanted similarity is five standard
-deviations away are left out in the join itself; all others are compared on the full sets. Buckets with the same members count
-once, and a pair meets only in the first bucket that it shares.
+Sets that are equal form one class and one node. Inside a bucket (nodes that share a band; buckets with the same members count
+once) no list of all pairs is made. First every node meets the bucket's hub, the node whose buckets are largest, and the links give
+components. Pairs whose sketches differ in so many coordinates that the wanted similarity is five standard deviations away are left
+out in the join itself; all others are compared on the full sets. A bucket whose other members still lie in several components goes on:
+its members are dealt by a hash into blocks of about ``BLOCK`` shingles, every two blocks meet as one group, sets of like size and of
+different components are compared in it, and it hands on only the links that join components, fewer than it has sets. So a bucket of
+any size spreads over tasks of bounded size, in a fixed number of steps; nothing is lost: each pair of a bucket either meets or is
+already connected. The work for sets that stay unlike grows with the square of such a bucket, that for copies and linked sets does not.
 
 Defined cases: null, blank or empty text has no shingles and is linked with nothing (its own component); fewer words than
 a shingle has are one shingle; repeated rows share a class; rows of one doc_id with different texts are one node with several
@@ -31,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.graph import components, stored
+from barloom.llm.graph import components
 from barloom.llm.rolling import U, mix, shingles, utf8, word_hashes
 from barloom.session import materialize
 
 BANDS = 70
-PIVOTS = 64
+BLOCK = 1 << 19  # shingles of a bucket that are compared with as many others in one group
 DEVIATIONS = 5
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 ELEMENTS = 1 << 20  # shingles sketched at once
@@ -159,13 +160,11 @@ def find_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node) of buckets with several nodes, equal buckets once."""
+    """(bucket, node, c) of buckets with several nodes, c of them; equal buckets once."""
     rows = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("bucket")
-    members = materialize(rows.join(shared, "bucket"), "members")
-    marks = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    once = marks.groupBy("c", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return materialize(members.join(once.select("bucket", "c"), "bucket"), "buckets")
+    marks = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
+    once = materialize(marks.groupBy("c", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "c"), "shared")
+    return materialize(rows.join(once, "bucket"), "buckets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,47 +175,103 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
 
 
-def _pairs(pivots: DataFrame, members: DataFrame, percent: int, t: int) -> DataFrame:
-    """Distinct pairs of a pivot and another member of its bucket outside the pivot's component that can be similar enough, with sizes."""
+def _pairs(hubs: DataFrame, members: DataFrame, percent: int, t: int) -> DataFrame:
+    """Distinct pairs of a hub and another member of its bucket that can be similar enough."""
     def differing(i: int) -> Column:
         x = F.get("bits", F.lit(i)).bitwiseXOR(F.get("pbits", F.lit(i)))
         return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
     differ = sum((differing(i) for i in range(-(-t // 32))), F.lit(0))
     fits = (F.col("n") * 100 >= F.col("pn") * percent) & (F.col("pn") * 100 >= F.col("n") * percent)
-    first = F.col("bucket") == F.array_min(F.array_intersect("own", "pown")) if "own" in members.columns else F.lit(True)
-    joined = members.join(pivots.withColumnRenamed("bucket", "_bucket"),
-                          (F.col("bucket") == F.col("_bucket")) & (F.col("node") != F.col("pivot")) & (F.col("component") != F.col("pc")) & fits & (differ <= most_differences(t, percent)) & first)
+    joined = members.join(hubs.withColumnRenamed("bucket", "_bucket"),
+                          (F.col("bucket") == F.col("_bucket")) & (F.col("node") != F.col("pivot")) & fits & (differ <= most_differences(t, percent)))
     return joined.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, percent: int) -> DataFrame:
+def joins(flat: np.ndarray, cut: np.ndarray, component: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between components that similar sets of two blocks (or of one with itself) make: a spanning forest of them.
+
+    Set i is ``flat[cut[i]:cut[i + 1]]``. One set at a time marks its shingles, and sums of marks give its intersections with all
+    sets of the other block whose size is near enough.
+    """
+    _, ids, times = np.unique(flat, return_inverse=True, return_counts=True)
+    size, order = np.diff(cut), np.argsort(np.diff(cut), kind="stable")
+    common = times[ids] > 1  # the others lie in no intersection
+    at = np.r_[0, np.cumsum(common)][cut]
+    shingle_ids = [ids[cut[i]:cut[i + 1]][common[cut[i]:cut[i + 1]]] for i in order]
+    size, block, at = size[order], block[order], np.r_[0, np.cumsum(np.diff(at)[order])]
+    names, root = np.unique(component[order], return_inverse=True)
+    alone = block.min() == block.max()
+    left = np.flatnonzero(block == block.min())
+    right = left if alone else np.flatnonzero(block == block.max())
+    other = np.concatenate([shingle_ids[j] for j in right])
+    ends = np.r_[0, np.cumsum(np.diff(at)[right])]
+    n, mark = size[right], np.zeros(len(times), dtype=np.int8)
+    found = []
+    for i in left:
+        first = int(np.searchsorted(n, -(-size[i] * percent // 100)))
+        stop = int(np.searchsorted(n, size[i] * 100 // percent, side="right"))
+        if alone:
+            first = max(first, i + 1)
+        if first >= stop or (root[right[first:stop]] == root[i]).all():
+            continue
+        mark[shingle_ids[i]] = 1
+        sums = np.r_[0, np.cumsum(mark[other[ends[first]:ends[stop]]], dtype=np.int64)]
+        mark[shingle_ids[i]] = 0
+        both = np.diff(sums[ends[first:stop + 1] - ends[first]])
+        near = 100 * both >= percent * (size[i] + n[first:stop] - both)
+        for r in np.unique(root[right[first:stop]][near]):
+            if r != root[i]:
+                found.append((int(names[root[i]]), int(names[r])))
+                root[root == r] = root[i]
+    return found
+
+
+def dealt(rest: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """The sets of each bucket that holds several components, once for every two blocks (low, high) that they meet in."""
+    blocks = materialize(rest.groupBy("bucket").agg(
+        F.ceil(F.sum("n") / block).alias("blocks"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("bucket", "blocks"), "blocks")
+    placed = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    with_sets = materialize(placed.select("bucket", "node", "component", "block", "blocks").join(sets, "node"), "placed")
+    met = with_sets.withColumn("_peer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return met.select("bucket", F.least("block", "_peer").alias("low"), F.greatest("block", "_peer").alias("high"), "block", "component", "shingles")
+
+
+def _across(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b) links between components of one bucket; ``rest`` has bucket, node, n, component."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        lists = t.column("shingles").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        flat, cut = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        block, low, high = (t.column(c).to_numpy() for c in ("block", "low", "high"))
+        # two blocks of which one is empty have nothing to compare: each block also meets itself
+        found = [] if low[0] < high[0] and block.min() == block.max() else joins(flat, cut, t.column("component").to_numpy(), block, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return dealt(rest, sets, block).groupBy("bucket", "low", "high").applyInArrow(meet, "a long, b long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(node, component) of the nodes that have a link. ``nodes`` has node, n, bands and bits; ``given`` holds links known beforehand."""
     buckets = _buckets(nodes)
     rank = buckets.groupBy("node").agg(F.sum(F.log2("c")).alias("rank"))
-    info = nodes.select("node", "n", "bits").join(rank, "node")
-    members = stored(buckets.select("bucket", "node").join(info, "node").withColumn("component", F.col("node")).withColumn("peers", F.lit(1).cast("long")), "members")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node")
+    members = materialize(buckets.select("bucket", "node").join(nodes.select("node", "n", "bits").join(rank, "node"), "node"), "members")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(rank.select("node"), "node", "left_semi")
     sets = materialize(find_sets(texts, size), "sets")
 
-    own = buckets.groupBy("node").agg(F.collect_list("bucket").alias("own"))  # at most one per band
-    found, pivots = given, 1
-    while True:
-        order = Window.partitionBy("bucket").orderBy("peers", F.desc("rank"), "node")
-        hubs = stored(members.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= pivots)
-                      .select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits"), F.col("component").alias("pc"), *[F.col(c).alias("pown") for c in members.columns if c == "own"]), "hubs")
-        fresh = _confirmed(_pairs(hubs, members, percent, BANDS * band_rows(percent)), sets, percent)
-        labels = stored(components(found.unionByName(fresh)), "labels")
-        found = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # says as much as all links so far
-        # a hub has met every other component of its bucket and retires; buckets whose other members still differ go on
-        rest = stored(members.drop("component", "peers").join(hubs.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-                      .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
-        peers = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("peers"))
-        mixed = peers.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-        members = stored(rest.drop("own").join(stored(peers.join(mixed, "bucket"), "peers"), ["bucket", "component"]).join(own, "node"), "members")
-        if members.isEmpty():
-            return labels
-        pivots = max(PIVOTS, 2 * pivots)
+    order = Window.partitionBy("bucket").orderBy(F.desc("rank"), "node")
+    hubs = materialize(members.withColumn("_i", F.row_number().over(order)).where("_i = 1").select(
+        "bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits")), "hubs")
+    near = _confirmed(_pairs(hubs, members, percent, BANDS * band_rows(percent)), sets, percent)
+    labels = materialize(components(given.unionByName(near)), "labels")
+    # a hub has met every other member of its bucket; buckets whose other members lie in several components go on
+    rest = materialize(members.select("bucket", "node", "n").join(hubs.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+                       .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
+    across = materialize(_across(rest, sets, percent, block), "across")
+    if across.isEmpty():
+        return labels
+    return materialize(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across)), "labels")
 
 
 def cluster(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:

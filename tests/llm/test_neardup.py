@@ -60,6 +60,68 @@ def test_equals_brute_force(spark, size, percent):
     assert got == brute(docs, size, percent)
 
 
+def hot_bucket(n, edits, seed=3):
+    """Copies of one text with so many edits that most are below the similarity, yet share bands."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(120)]
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for at in rnd.sample(range(120), edits):
+            t[at] = f"x{rnd.randint(0, 10**6)}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("edits", [2, 4])
+def test_unlike_sets_of_a_bucket_meet_in_blocks(spark, edits):
+    docs = list(enumerate(hot_bucket(150, edits)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs, 3, 85)
+    sk = neardup.find_sketches(df, 3, neardup.band_rows(85)).withColumnRenamed("doc_id", "node")
+    nothing = spark.createDataFrame([], "a long, b long")
+    for block in (500, neardup.BLOCK):
+        got = {r.node: r.component for r in neardup.links(df, sk, nothing, 3, 85, block).collect()}
+        assert {d: got.get(d, d) for d, _ in docs} == {d: c for d, (_, c, _) in want.items()}
+
+
+def test_no_task_holds_a_hot_bucket(spark):
+    sets = spark.range(900).selectExpr("id as node", "array(id, id + 1) as shingles")
+    rest = sets.selectExpr("7L as bucket", "node", "2L as n", "node as component")
+    assert neardup._across(rest, sets, 85, 100).isEmpty()
+    groups = neardup.dealt(rest, sets, 100).groupBy("low", "high").count().collect()
+    assert len(groups) == 18 * 19 // 2  # 1,800 shingles in 18 blocks
+    assert max(r["count"] for r in groups) < 200
+
+
+def test_joins_is_a_spanning_forest():
+    rnd = np.random.default_rng(5)
+    sets = []
+    for _ in range(6):
+        base = rnd.choice(10**6, 60, replace=False)
+        for _ in range(8):
+            own = base.copy()
+            own[rnd.integers(0, 60, 3)] = rnd.integers(10**6, 10**9, 3)
+            sets.append(np.unique(own))
+    cut = np.r_[0, np.cumsum([len(x) for x in sets])]
+    for block in (np.zeros(48, dtype=np.int64), np.arange(48) % 2):
+        comp = np.arange(48)
+        found = neardup.joins(np.concatenate(sets), cut, comp, block, 80)
+        want = {i: i for i in range(48)}
+        for i in range(48):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (block.max() == 0 or block[i] != block[j]) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    low, high = sorted((want[i], want[j]))
+                    want = {d: low if c == high else c for d, c in want.items()}
+        got = {i: i for i in range(48)}
+        for a, b in found:
+            low, high = sorted((got[a], got[b]))
+            assert low != high
+            got = {d: low if c == high else c for d, c in got.items()}
+        assert got == want
+
+
 def test_sketch_fills_and_estimates():
     rnd = np.random.default_rng(1)
     a = mix(rnd.integers(0, 1 << 60, 600, dtype=np.uint64))
