@@ -232,7 +232,7 @@ def dealt(rest: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     blocks = materialize(rest.groupBy("bucket").agg(
         F.ceil(F.sum("n") / block).alias("blocks"), F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("bucket", "blocks"), "blocks")
     placed = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    with_sets = materialize(placed.select("bucket", "node", "component", "block", "blocks").join(sets, "node"), "placed")
+    with_sets = placed.select("bucket", "node", "component", "block", "blocks").join(sets, "node")
     met = with_sets.withColumn("_peer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return met.select("bucket", F.least("block", "_peer").alias("low"), F.greatest("block", "_peer").alias("high"), "block", "component", "shingles")
 
@@ -256,8 +256,10 @@ def links(docs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, percen
     """(node, component) of the nodes that have a link. ``nodes`` has node, n, bands and bits; ``given`` holds links known beforehand."""
     buckets = _buckets(nodes)
     rank = buckets.groupBy("node").agg(F.sum(F.log2("c")).alias("rank"))
-    members = materialize(buckets.select("bucket", "node").join(nodes.select("node", "n", "bits").join(rank, "node"), "node"), "members")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(rank.select("node"), "node", "left_semi")
+    ranked = materialize(nodes.select("node", "n", "bits").join(rank, "node"), "ranked")
+    members = materialize(buckets.select("bucket", "node").join(ranked, "node"), "members")
+    # the written list has a known size: a short one is broadcast and the texts stay where they are
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(ranked.select("node").distinct(), "node")
     sets = materialize(find_sets(texts, size), "sets")
 
     order = Window.partitionBy("bucket").orderBy(F.desc("rank"), "node")
