@@ -52,13 +52,13 @@ def value_ranks(counts: DataFrame, by: list[str], per_octave: int = PER_OCTAVE)
 
     Slices hold distinct values only, so neither equal values nor a date with most of the rows gather in one task.
     """
-    cut = counts.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.sum("_n").alias("_c")).withColumn("_k", slice_of(F.col("_v"), per_octave))
+    cut = counts.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.sum("_n").alias("_c")).withColumn("_slice", slice_of(F.col("_v"), per_octave))
     n = F.col("_n")
-    below = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = cut.groupBy(*by, "_k").agg(F.sum("_c").alias("_n")).select(*by, "_k", below.alias("_below"))
-    inside = Window.partitionBy(*by, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    below = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut.groupBy(*by, "_slice").agg(F.sum("_c").alias("_n")).select(*by, "_slice", below.alias("_below"))
+    inside = Window.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_below") + F.sum("_c").over(inside)
-    return cut.join(offsets, [*by, "_k"]).select(*by, "_v", (upto - F.col("_c")).alias("n_less"), upto.alias("n_upto"))
+    return cut.join(offsets, [*by, "_slice"]).select(*by, "_v", (upto - F.col("_c")).alias("n_less"), upto.alias("n_upto"))
 
 
 def with_ranks(df: DataFrame, by: list[str], value: str, tie: str | None = None, per_octave: int = PER_OCTAVE) -> DataFrame:
@@ -122,17 +122,25 @@ def scale(df: DataFrame, value: str, out: str, a: float = 1.0, b: float = 0.0, b
     return x.withColumn(out, mapped).drop("_lo", "_hi")
 
 
-def group_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str, per_octave: int = PER_OCTAVE) -> DataFrame:
-    """Linearly interpolated quantile per group, read off the ranks instead of a per-group list."""
+def group_quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float], per_octave: int = PER_OCTAVE) -> DataFrame:
+    """Linearly interpolated quantiles per group, named by ``points``, all read off one table of ranks instead of a per-group list."""
     counts = materialize(value_counts(df.select(*by, finite(F.col(value).cast("double")).alias("_v")), by), "values")
     totals = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_total"))
-    at = (F.col("n_total").cast("double") - 1) * q
-    lo, v, frac = F.floor(at), F.col("_v"), at - F.floor(at)
+    v = F.col("_v")
     covers = lambda i: (F.col("n_less") <= i) & (i < F.col("n_upto"))
-    found = value_ranks(counts, by, per_octave).join(totals, by).groupBy(*by).agg(
-        F.max(F.when(covers(lo), v)).alias("_l"), F.max(F.when(covers(lo + 1), v)).alias("_h"), F.max(frac).alias("_f"))
-    value_at = F.col("_l") + F.when(F.col("_f") > 0, F.col("_f") * (F.col("_h") - F.col("_l"))).otherwise(0.0)
-    return found.select(*by, value_at.alias(out))
+    picked, values = [], []
+    for k, (out, q) in enumerate(points.items()):
+        at = (F.col("n_total").cast("double") - 1) * q
+        lo = F.floor(at)
+        picked += [F.max(F.when(covers(lo), v)).alias(f"_l{k}"), F.max(F.when(covers(lo + 1), v)).alias(f"_h{k}"), F.max(at - lo).alias(f"_f{k}")]
+        low, high, part = (F.col(f"_{c}{k}") for c in "lhf")
+        values.append((low + F.when(part > 0, part * (high - low)).otherwise(0.0)).alias(out))
+    return value_ranks(counts, by, per_octave).join(totals, by).groupBy(*by).agg(*picked).select(*by, *values)
+
+
+def group_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str, per_octave: int = PER_OCTAVE) -> DataFrame:
+    """One quantile per group, as ``group_quantiles`` finds it."""
+    return group_quantiles(df, by, value, {out: q}, per_octave)
 
 
 def demedian(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:

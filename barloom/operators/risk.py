@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.core import SERIES, Axis, or_zero, ratio
+from barloom.functions import section
 from barloom.functions.section import with_stats
 from barloom.operators.portfolio import top_n
 from barloom.session import materialize
@@ -67,10 +68,12 @@ def _method(df: DataFrame, name: str, by: list[str]) -> DataFrame:
 
 
 def var_historical(returns: DataFrame, by: list[str], ret: str = "ret") -> DataFrame:
-    """Empirical quantiles and tail means per key; 0 below 20 returns."""
-    q = returns.groupBy(*by).agg(
-        F.percentile(ret, [0.05, 0.01]).alias("_q"), F.count(ret).alias("_n"))
-    q = q.select(*by, F.col("_q")[0].alias("var_95"), F.col("_q")[1].alias("var_99"), "_n")
+    """Empirical quantiles and tail means per key; 0 below 20 returns.
+
+    Quantiles come from ranks of distinct values in slices, so a key with most of the returns gathers in no task.
+    """
+    q = materialize(returns.groupBy(*by).agg(F.count(ret).alias("_n")).join(
+        section.group_quantiles(returns, by, ret, {"var_95": 0.05, "var_99": 0.01}), by, "left"), "quantiles")
     r = F.col(ret)
     tails = returns.join(q, by).groupBy(*by, "var_95", "var_99", "_n").agg(
         F.avg(F.when(r <= F.col("var_95"), r)).alias("cvar_95"), F.avg(F.when(r <= F.col("var_99"), r)).alias("cvar_99"))

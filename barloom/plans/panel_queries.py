@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.series import pct_change
 from barloom.operators import panel, quality
 from barloom.plans.base import query
-from barloom.session import scratch_table
+from barloom.session import materialize, scratch_table
 from barloom.sources import bars_io, store
 from barloom.sources.panel_tables import bars, returns, security_dim, table
 
@@ -44,6 +44,14 @@ def scan_bars_range(spark, folder):
     return bars(spark, folder, dates=(START, END))
 
 
+@query("scan_bars_files", KEY + " close:6 vol:2", uses="bars",
+       sql=f"SELECT trade_date, ts_code, close, vol FROM bars WHERE trade_date BETWEEN '{START}' AND '{END}'")
+def scan_bars_files(spark, folder):
+    path = scratch_table(spark, "files")
+    bars_io.write_panel(bars(spark, folder).select("trade_date", "ts_code", "close", "vol"), path)
+    return bars_io.read_files_of_range(spark, path, bars_io.file_spans(spark, path), START, END).drop("year")
+
+
 @query("normalize_bars", "trade_date ts_code open:4 close:4 vol:2", sql="""
     SELECT strftime(l_shipdate, '%Y%m%d') AS trade_date, '600000.SH' AS ts_code,
            CASE WHEN l_returnflag <> 'A' THEN l_extendedprice END AS open, l_extendedprice AS close, l_quantity AS vol
@@ -185,6 +193,27 @@ def load_if_missing(spark, folder):
     return bars_io.load_if_missing(wanted, b.where("vol > 90"), b)
 
 
+@query("load_ranges", "ts_code first_date last_date n_rows:i stored:i", uses="bars", sql="""
+    WITH asked AS (SELECT 'S' || s_suppkey AS ts_code, CASE WHEN s_suppkey % 2 = 0 THEN '1998-01-01' ELSE '1998-04-01' END AS first_date,
+                          CASE WHEN s_suppkey % 2 = 0 THEN '1998-06-30' ELSE '1998-09-30' END AS last_date, s_suppkey % 2 = 0 AS again FROM supplier),
+    n AS (SELECT ts_code, count(*) FILTER (trade_date BETWEEN '1998-01-01' AND '1998-06-30') AS first_half,
+                 count(*) FILTER (trade_date BETWEEN '1998-04-01' AND '1998-09-30') AS middle,
+                 count(*) FILTER (trade_date BETWEEN '1998-01-01' AND '1998-09-30') AS whole FROM bars GROUP BY 1)
+    SELECT ts_code, first_date, last_date, CASE WHEN again THEN CASE WHEN first_half > 0 THEN -1 ELSE 0 END ELSE coalesce(middle, 0) END AS n_rows,
+           coalesce(CASE WHEN again THEN first_half ELSE whole END, 0) AS stored
+    FROM asked LEFT JOIN n USING (ts_code)""")
+def load_ranges(spark, folder):
+    source = materialize(bars(spark, folder).select("ts_code", "trade_date", "close"), "source")
+    names = security_dim(spark, folder).select("ts_code")
+    even = F.substring("ts_code", 2, 20).cast("long") % 2 == 0
+    path = scratch_table(spark, "loaded")
+    bars_io.load_ranges(spark, names.select("ts_code", F.lit("1998-01-01").alias("first_date"), F.lit("1998-06-30").alias("last_date")), source, path)
+    second = names.select("ts_code", F.when(even, "1998-01-01").otherwise("1998-04-01").alias("first_date"), F.when(even, "1998-06-30").otherwise("1998-09-30").alias("last_date"))
+    answers = bars_io.load_ranges(spark, second, source, path)
+    stored = spark.read.parquet(f"{path}/bars").groupBy("ts_code").agg(F.count(F.lit(1)).alias("stored"))
+    return answers.join(stored, "ts_code", "left").withColumn("stored", F.coalesce("stored", F.lit(0)))
+
+
 # -- quality --------------------------------------------------------------------------------------
 
 

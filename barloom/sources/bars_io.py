@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.session import materialize
+from barloom.sources.store import exists
+
 NUMERIC = ("open", "high", "low", "close", "vol", "amount")
 
 
@@ -20,6 +23,38 @@ def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str
     return df if start is None else scan_range(df, start, end)
 
 
+def file_spans(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """(file, first, last, n_rows): date range and size of every bar file below a path.
+
+    With the spans ``known`` from before only files they lack are read, and spans of files that are gone are dropped; the rest
+    is a listing. Files have unique names and do not change, as Spark writes them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("file"))
+    if known is None:
+        new = [r.file for r in files.collect()]
+    else:
+        new = [r.file for r in files.join(known, "file", "left_anti").collect()]
+        known = known.join(files, "file", "left_semi")
+    if not new:
+        return known if known is not None else spark.createDataFrame([], "file string, first date, last date, n_rows long")
+    spans = spark.read.option("basePath", path).parquet(*new).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.min("trade_date").alias("first"), F.max("trade_date").alias("last"), F.count(F.lit(1)).alias("n_rows"))
+    return materialize(spans if known is None else known.unionByName(spans), "spans")
+
+
+def files_of_range(spans: DataFrame, start: str, end: str) -> list[str]:
+    """Files that hold a date of the range."""
+    hit = spans.where((F.col("first") <= F.lit(end)) & (F.col("last") >= F.lit(start)))
+    return sorted(r.file for r in hit.select("file").collect())
+
+
+def read_files_of_range(spark: SparkSession, path: str, spans: DataFrame, start: str, end: str) -> DataFrame:
+    """The bars of a date range; files without one of its dates are not opened. Without any such file the first one gives the columns."""
+    files = files_of_range(spans, start, end)
+    df = spark.read.option("basePath", path).parquet(*files) if files else spark.read.parquet(path).limit(0)
+    return scan_range(df, start, end)
+
+
 def normalize(raw: DataFrame, names: dict[str, str], code: Column) -> DataFrame:
     """Vendor columns to bar columns: constant code, compact dates, bad numbers NULL, no bar without close."""
     kept = {new: F.col(old) for old, new in names.items() if old in raw.columns}
@@ -72,6 +107,29 @@ def load_if_missing(requested: DataFrame, stored: DataFrame, source: DataFrame)
     )
 
 
+def load_ranges(spark: SparkSession, requested: DataFrame, source: DataFrame, path: str) -> DataFrame:
+    """Load the requested (ts_code, first_date, last_date) ranges into the bar store; answers each request with n_rows.
+
+    n_rows is -1 for a request that was loaded before, else the number of source rows in its range (0: nothing found, so it is
+    asked again next time). Only bars that the store lacks are appended, whichever request brought the others. Bars are written before
+    the requests are noted: a run that is repeated after a failure finds the bars and adds none twice.
+    """
+    rows, noted = f"{path}/bars", f"{path}/requests"
+    asked = requested.select("ts_code", "first_date", "last_date").distinct()
+    keys = ["ts_code", "first_date", "last_date"]
+    done = materialize(spark.read.parquet(noted), "noted") if exists(spark, noted) else asked.limit(0)
+    todo = materialize(asked.join(done, keys, "left_anti"), "todo")
+    wanted = todo.select(F.col("ts_code").alias("_code"), "first_date", "last_date")
+    inside = (F.col("ts_code") == F.col("_code")) & F.col("trade_date").between(F.col("first_date"), F.col("last_date"))
+    found = materialize(source.join(wanted, inside, "left_semi"), "found")
+    missing = found.join(spark.read.parquet(rows).select("ts_code", "trade_date"), ["ts_code", "trade_date"], "left_anti") if exists(spark, rows) else found
+    missing.select(*source.columns).write.mode("append").parquet(rows)
+    counts = materialize(found.join(wanted, inside).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    counts.select(*keys).write.mode("append").parquet(noted)
+    return asked.join(counts, keys, "left").join(done.select(*keys, F.lit(-1).cast("long").alias("_done")), keys, "left").select(
+        *keys, F.coalesce("_done", "_n", F.lit(0)).alias("n_rows"))
+
+
 def stock_universe(active: DataFrame, paused: DataFrame, delisted: DataFrame) -> DataFrame:
     """Stock list with ``list_status`` L, P or D; a delisted code counts only if no other list has it."""
     known = active.withColumn("list_status", F.lit("L")).unionByName(paused.withColumn("list_status", F.lit("P")))

@@ -548,3 +548,43 @@ def test_catalogue(spark):
     assert catalog.search(merged, "E2").count() == 1
     with pytest.raises(KeyError):
         catalog.Computations().compute("x", old)
+
+
+def test_files_are_pruned_by_their_date_spans(spark):
+    path = scratch_table(spark, "spans")
+    for k in range(3):
+        rows_of_file = [("S1", day(10 * k + i), float(i)) for i in range(5)]
+        spark.createDataFrame(rows_of_file, "ts_code string, trade_date date, close double").coalesce(1).write.mode("append").parquet(path)
+    spans = bars_io.file_spans(spark, path)
+    assert sorted((r["first"], r["last"], r.n_rows) for r in spans.collect()) == [(day(10 * k), day(10 * k + 4), 5) for k in range(3)]
+    assert len(bars_io.files_of_range(spans, str(day(4)), str(day(12)))) == 2
+    got = bars_io.read_files_of_range(spark, path, spans, str(day(4)), str(day(12)))
+    assert len(got.inputFiles()) == 2 and sorted(r.trade_date for r in got.collect()) == [day(i) for i in (4, 10, 11, 12)]
+    assert bars_io.read_files_of_range(spark, path, spans, str(day(5)), str(day(9))).count() == 0
+    spark.createDataFrame([("S2", day(99), 1.0)], "ts_code string, trade_date date, close double").coalesce(1).write.mode("append").parquet(path)
+    assert bars_io.file_spans(spark, path, spans).count() == 4
+    assert rows(bars_io.file_spans(spark, path, spans).where("n_rows = 1"), "first", "last") == [(day(99), day(99))]
+
+
+def test_ranges_are_loaded_once(spark):
+    path = scratch_table(spark, "ranges")
+    source = spark.createDataFrame([("A", day(i), float(i)) for i in range(10)] + [("B", day(3), 1.0)], "ts_code string, trade_date date, close double")
+
+    def ask(*requests):
+        out = bars_io.load_ranges(spark, spark.createDataFrame([(c, str(day(a)), str(day(b))) for c, a, b in requests], "ts_code string, first_date string, last_date string"), source, path)
+        return sorted((r.ts_code, r.n_rows) for r in out.collect())
+
+    assert ask(("A", 0, 4), ("A", 3, 5), ("B", 5, 9), ("C", 0, 9)) == [("A", 3), ("A", 5), ("B", 0), ("C", 0)]
+    assert ask(("A", 0, 4), ("A", 4, 8), ("A", 4, 8), ("B", 0, 9)) == [("A", -1), ("A", 5), ("B", 1)]
+    assert sorted((r.ts_code, r.trade_date) for r in spark.read.parquet(f"{path}/bars").collect()) == [("A", day(i)) for i in range(9)] + [("B", day(3))]
+
+
+def test_var_historical_of_one_hot_key(spark):
+    rnd = random.Random(4)
+    values = [round(rnd.gauss(0, 0.02), 3) for _ in range(3000)]  # many ties
+    df = spark.createDataFrame([("hot", v) for v in values] + [("few", 0.1)] * 5 + [("hot", None)], "k string, ret double")
+    got = {r.k: r for r in risk.var_historical(df, ["k"]).collect()}
+    q95, q99 = np.quantile(values, [0.05, 0.01])
+    assert got["hot"].var_95 == pytest.approx(q95, abs=1e-6) and got["hot"].var_99 == pytest.approx(q99, abs=1e-6)
+    assert got["hot"].cvar_99 == pytest.approx(np.mean([v for v in values if v <= q99 + 1e-12]), abs=1e-6)
+    assert got["few"].var_95 == 0.0
