@@ -140,8 +140,8 @@ def factor_bundle(panel: DataFrame, on: Axis = SERIES) -> DataFrame:
 def snapshot_vector(bundle: DataFrame, names: list[str], last: int = 5, on: Axis = SERIES) -> DataFrame:
     """(key, features): the last values of each factor in one vector. Only ``last`` rows per security
     reach the aggregation."""
-    newest = on.members.orderBy(F.col(on.order).desc())
-    rows = bundle.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= last)
+    back = F.count(F.lit(1)).over(on.whole) - F.row_number().over(on.ordered) + 1  # shares the sort of the indicators
+    rows = bundle.withColumn("_back", back).where(F.col("_back") <= last)
     listed = F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("_at"), *names)))
     vector = rows.groupBy(on.key).agg(listed.alias("_l"))
     parts = [F.col(f"_l.{n}") for n in names]
