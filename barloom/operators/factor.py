@@ -7,8 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.core import finite, or_zero, pairs, pearson, ratio
-from barloom.functions.section import average_rank, with_ranks
+from barloom.functions.core import or_zero, pairs, pearson, ratio
+from barloom.functions.section import average_rank, pair_correlations, value_pairs, with_ranks
 
 # Thresholds of the neutralisation and selection rules.
 HUGE = 1e15
@@ -97,20 +97,16 @@ def filter_by_ic(df: DataFrame, factors: list[str], ret: str, min_abs_ic: float
 def corr_matrix(df: DataFrame, factors: list[str], method: str = "pearson") -> DataFrame:
     """(left, right, corr) for every pair of factors, over the rows that have both.
 
-    Pearson takes one pass for all pairs. For Spearman the complete rows of all pairs become rows of one table, so that
-    two rankings (one for each side) serve all of them.
+    Pearson takes one pass for all pairs. For Spearman the complete rows of all pairs become rows of one table of distinct values with
+    counts, so that two rankings (one for each side) serve all of them.
     """
     both = list(combinations(factors, 2))
     if method == "pearson":
         aggs = [pearson(a, b).alias(f"c{i}_corr") for i, (a, b) in enumerate(both)]
         return _rows(df.agg(*aggs), [({"left": a, "right": b}, f"c{i}") for i, (a, b) in enumerate(both)], ["corr"])
-    value = lambda f: finite(F.col(f).cast("double"))
-    cells = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), value(a).alias("_x"), value(b).alias("_y")) for a, b in both))
-    long = df.select(F.inline(cells)).where("_x is not null and _y is not null")
-    for side in ("_x", "_y"):
-        ranked = with_ranks(long, ["left", "right"], side, per_octave=FINE)
-        long = ranked.withColumn(f"{side}r", average_rank()).drop("n_less", "n_upto", "n_total", "n_rows")
-    found = long.groupBy("left", "right").agg(pearson("_xr", "_yr").alias("corr"))
+    cells = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")) for a, b in both))
+    counted = value_pairs(df.select(F.inline(cells)), ["left", "right"], F.col("_a"), F.col("_b"))
+    found = pair_correlations(counted, ["left", "right"], FINE).select("left", "right", F.col("spearman").alias("corr"))
     pair = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in both]
     names = df.sparkSession.range(1).select(F.inline(F.array(*pair)))  # a pair without complete rows has a NULL
     return names.join(found, ["left", "right"], "left")
