@@ -1,9 +1,11 @@
 """Plans that must keep their tasks small on large tables."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from barloom.functions import core, expr, stats
-from barloom.operators import evaluate, signals
+from barloom.functions import core, expr, section, stats
+from barloom.operators import evaluate, factor, model, signals
 from barloom.operators import panel as pn
 
 
@@ -28,3 +30,35 @@ def test_market_snapshot_takes_the_last_bar(panel):
     df = panel({"A": dict(close=[1.0, 2.0, 4.0]), "B": dict(close=[5.0])})
     assert [(r["ts_code"], r["close"], r["data_rows"], r["returns_1d"]) for r in pn.market_snapshot(df).orderBy("ts_code").collect()] == [
         ("A", 4.0, 3, 1.0), ("B", 5.0, 1, 0.0)]
+
+
+def test_rank_correlations_join_distinct_pairs_only(spark):
+    """Copies of a pair are counted before ranks are joined; the base rows meet no rank."""
+    data = [(float(x), float((x * 7) % 5)) for x in range(10)] * 200
+    df = spark.createDataFrame(data, "a double, b double").repartition(4)
+    pairs = section.value_pairs(df, [], F.col("a"), F.col("b"))
+    assert pairs.count() == 10 and pairs.agg(F.sum("_w")).first()[0] == 2000
+    want = pd.DataFrame(data, columns=["a", "b"]).rank().corr().iloc[0, 1]
+    got = factor.corr_matrix(df, ["a", "b"], "spearman")
+    assert abs(got.first()["corr"] - want) < 1e-12
+
+
+def test_pair_correlations_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 1.0, 2.0), (1, 2.0, 4.0), (1, 4.0, 5.0), (1, nan, 1.0), (1, inf, 1.0), (1, None, 3.0), (2, 0.1, 1.0), (2, 0.1, 2.0), (2, 0.1, 3.0), (3, 1.0, 1.0)]
+    pairs = section.value_pairs(spark.createDataFrame(rows, "g int, a double, b double"), ["g"], F.col("a"), F.col("b"))
+    got = {r["g"]: (r["n"], r["pearson"], r["spearman"]) for r in section.pair_correlations(pairs, ["g"]).collect()}
+    assert got[1][0] == 3 and abs(got[1][1] - np.corrcoef([1, 2, 4], [2, 4, 5])[0, 1]) < 1e-12 and abs(got[1][2] - 1) < 1e-12
+    assert got[2] == (3, None, None) and got[3] == (1, None, None)
+
+
+def test_oof_metrics_counts_copies(spark):
+    rows = [(1, 0.1, 0.2), (1, -0.1, 0.3), (2, 0.4, 0.1), (2, None, 0.1)] * 50
+    df = spark.createDataFrame(rows, "fold int, prediction double, y double")
+    got = model.oof_metrics(df, "y").first()
+    plain = pd.DataFrame(rows, columns=["fold", "p", "y"]).dropna()
+    assert (got["n_folds"], got["n"]) == (2, 150)
+    assert abs(got["ic"] - plain["p"].corr(plain["y"])) < 1e-9 and abs(got["rank_ic"] - plain["p"].rank().corr(plain["y"].rank())) < 1e-9
+    assert abs(got["hit_rate"] - 2 / 3) < 1e-12 and abs(got["rmse"] - ((plain["p"] - plain["y"]) ** 2).mean() ** 0.5) < 1e-12
+    empty = model.oof_metrics(df.limit(0), "y").first()
+    assert (empty["n_folds"], empty["n"], empty["rmse"], empty["rank_ic"]) == (0, 0, None, None)
