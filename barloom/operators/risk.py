@@ -25,6 +25,7 @@ PDF95, PDF99 = 0.10313564037537128, 0.026652142203457764
 MIN_ROWS = 20
 EPS = 1e-10
 UNKNOWN_SECTOR = "未知"
+BROADCAST_POSITIONS = 100  # largest positions per date whose keys are broadcast
 
 # Daily shocks of the stress scenarios.
 SCENARIOS: dict[str, list[float]] = {
@@ -107,16 +108,18 @@ def normal_draw(number: Column, seed: int) -> Column:
 def var_monte_carlo(spark: SparkSession, returns: DataFrame, n: int = 100_000, seed: int = 42, ret: str = "ret") -> DataFrame:
     """Quantiles and tail means of ``n`` normal draws with the moments of one return series.
 
-    The draws are generated in parallel; the moments reach them as scalar subqueries.
+    The draws are generated in parallel; the moments, written as one row, reach them as scalar subqueries.
     """
-    mu, sd = returns.agg(F.avg(ret)).scalar(), returns.agg(F.stddev_samp(ret)).scalar()
+    returns = materialize(returns.agg(F.avg(ret).alias("_mu"), F.stddev_samp(ret).alias("_sd"), F.count(ret).alias("_n")), "moments")
+    mu, sd = returns.select("_mu").scalar(), returns.select("_sd").scalar()
     drawn = spark.range(n).select(normal_draw(F.col("id"), seed).alias("_z")).select((mu + sd * F.col("_z")).alias("ret"))
-    enough = returns.agg(F.count(ret)).scalar()
+    enough = returns.select("_n").scalar()
     return var_historical(drawn.withColumn("_k", F.lit(1)).where(enough >= MIN_ROWS), ["_k"]).withColumn("method", F.lit("monte_carlo")).drop("_k")
 
 
 def var_all(spark: SparkSession, returns: DataFrame, ret: str = "ret") -> DataFrame:
-    """The three methods for one return series, one row each."""
+    """The three methods for one return series, one row each. The series is written once for all of them."""
+    returns = materialize(returns.select(ret), "series")
     one = returns.select(F.lit(1).alias("_k"), ret)
     return var_historical(one, ["_k"], ret).drop("_k").unionByName(var_parametric(one, ["_k"], ret).drop("_k")).unionByName(
         var_monte_carlo(spark, returns, ret=ret))
@@ -237,7 +240,9 @@ def position_limits(h: DataFrame, limits: RiskLimits = LIMITS, weight: str = "we
     """Add ``new_weight``: clipped to the single limit, and zero outside the largest positions."""
     clipped = h.withColumn("_w", F.least(F.col(weight), F.lit(limits.max_single_position)))
     kept = top_n(clipped.where("_w > 0").select("trade_date", "ts_code", "_w"), "_w", limits.max_positions, ["trade_date"])
-    return clipped.join(kept.select("trade_date", "ts_code", F.lit(True).alias("_kept")), ["trade_date", "ts_code"], "left").withColumn(
+    marks = kept.select("trade_date", "ts_code", F.lit(True).alias("_kept"))
+    marks = F.broadcast(marks) if limits.max_positions <= BROADCAST_POSITIONS else marks  # at most so many rows per date
+    return clipped.join(marks, ["trade_date", "ts_code"], "left").withColumn(
         "new_weight", F.when(F.col("_kept") | (F.col("_w") <= 0), F.col("_w")).otherwise(0.0)).drop("_w", "_kept")
 
 
@@ -320,13 +325,14 @@ def chain(h: DataFrame, curve: DataFrame, limits: RiskLimits = LIMITS) -> DataFr
     peak. ``fired`` lists the rules that changed the position or, for rules on the whole portfolio, held on its date. ``h`` holds (trade_date,
     ts_code, industry, weight, ret), ``curve`` (trade_date, nav).
 
-    Rules that need sums take them from partial aggregates joined back, so no date gathers; the rows are written out where a step reads
+    Rules that need sums take them from partial aggregates joined back, so no date gathers; these tables hold one row per date, date and
+    industry, or kept position, and are broadcast, so the rows are dealt by security once and not again; the rows are written out where a step reads
     them twice, which keeps the plan from doubling at every step.
     """
     hit = (or_zero(F.col("ret")) <= limits.stop_loss_single) & (F.col("weight") > 0)
     rows = h.select("trade_date", "ts_code", "industry", F.col("weight").cast("double").alias("weight"), "ret", hit.alias("stop_loss_single")).withColumn(
         "cut", F.when(F.col("stop_loss_single"), 0.0).otherwise(F.col("weight")))
-    rows = rows.join(day_rules(rows, curve, limits), "trade_date").withColumnsRenamed({"weight": "given"}).withColumn("weight", F.col("cut") * F.col("left"))
+    rows = rows.join(F.broadcast(day_rules(rows, curve, limits)), "trade_date").withColumnsRenamed({"weight": "given"}).withColumn("weight", F.col("cut") * F.col("left"))
     rows = trailing_stop(rows, limits).withColumnsRenamed({"stopped": "trailing_stop", "weight": "_before"}).withColumn("weight", F.col("new_weight"))
     rows = materialize(rows.drop("new_weight", "_before", "peak_weight", "cut", "left", "ret"), "risk-chain")
 
@@ -336,7 +342,7 @@ def chain(h: DataFrame, curve: DataFrame, limits: RiskLimits = LIMITS) -> DataFr
 
     sectors = materialize(sector_weights(rows), "risk-sectors")
     three = top_n(sectors, "sector_weight", 3, ["trade_date"], tie="industry").groupBy("trade_date").agg(F.sum("sector_weight").alias("top3"))
-    rows = rows.join(sectors, ["trade_date", "industry"], "left").join(three, "trade_date", "left").withColumns({
+    rows = rows.join(F.broadcast(sectors), ["trade_date", "industry"], "left").join(F.broadcast(three), "trade_date", "left").withColumns({
         "sector_limit": F.coalesce(F.col("sector_weight") > limits.max_sector_position, F.lit(False)),
         "sector_concentration": F.coalesce(F.col("top3") > limits.max_top3_sector, F.lit(False))})
     scaled = F.when(F.col("sector_limit"), ratio(F.lit(limits.max_sector_position), "sector_weight")).otherwise(1.0) * F.when(
