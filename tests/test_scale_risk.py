@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from barloom.functions import section
-from barloom.operators import risk
+from barloom.operators import evaluate, risk
 
 
 def _plan(df):
@@ -31,3 +31,11 @@ def test_rank_sum_computes_its_columns_once(spark):
     df = spark.range(983).select(F.lit("d").alias("trade_date"), F.col("id").cast("string").alias("ts_code"), (F.col("id") % 5).cast("double").alias("a"), F.col("id").cast("double").alias("b"))
     out = section.rank_sum(df, {"a": 1.0, "b": -1.0}, "s")
     assert "Range (0, 983" not in _plan(out) and out.count() == 983
+
+
+def test_market_beta_broadcasts_the_market(panel):
+    stock = panel(close=[1.0, 2.0, 3.0], ret=[0.1, 0.2, 0.3])
+    market = panel(close=[1.0, 2.0, 3.0], market_ret=[0.1, 0.2, 0.3])
+    out = evaluate.market_beta(stock, market, 2)
+    assert "strategy=broadcast" in _plan(out)
+    assert [r["beta"] if r["beta"] is None else round(r["beta"], 9) for r in out.orderBy("trade_date").collect()] == [None, 1.0, 1.0]
