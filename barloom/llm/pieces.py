@@ -5,7 +5,8 @@ text with spaces as markers; the Viterbi path through the trie's matches with th
 A character that no piece holds costs ``PENALTY`` more than the worst piece and becomes its UTF-8 bytes.
 Where no piece runs over a boundary (before a marker after other characters, around a line break), paths on both sides are
 independent, so texts are encoded chunk by chunk, blocks of chunks of one length at once, and known chunks are taken
-from a bounded cache. The trie is built once on the driver; its size is that of the vocabulary.
+from a bounded cache. A text is held as the numbers of its chunks, four bytes each, and results leave the task slice by slice.
+The trie is built once on the driver; its size is that of the vocabulary.
 
 Defined cases: null stays null; an empty text has no pieces; a marker character in the text itself goes to bytes, so every text comes
 back unchanged; unknown or null ids decode to nothing; texts of any length are encoded in slices; an empty table gives no rows;
@@ -16,10 +17,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.lattice import START, initial_weights, vocabulary
@@ -29,6 +31,7 @@ CACHED_CHUNKS = 300_000
 LONG = 200  # longer chunks are walked one by one
 _SLICE = 1 << 20
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
+_CUT = re.compile(f"(?<=[^{START}]){START}")  # a chunk always starts here
 
 
 class Trie:
@@ -127,13 +130,23 @@ class Encoder:
         breaks = self.by_marker and not any("\n" in p for p in joined)
         self.chunks = re.compile(f"\n|{START}+[^{START}\n]*|[^{START}\n]+" if breaks else f"{START}+[^{START}]*|[^{START}]+") if self.by_marker else None
 
+    def split(self, text: str) -> Iterator[list[str]]:
+        """The chunks of a marked text, about ``_SLICE`` characters of it at a time."""
+        at = 0
+        while at < len(text) and self.chunks:
+            cut = _CUT.search(text, at + _SLICE)
+            end = cut.start() if cut else len(text)
+            yield self.chunks.findall(text, at, end)
+            at = end
+        if text and not self.chunks:
+            yield [text]
+
     def coded(self, text: str) -> np.ndarray:
         """Codes of marked text: 0 for unknown characters."""
         return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
-    def viterbi(self, texts: list[str]) -> list[list[int]]:
-        """Piece ids of marked chunks; -1 in place of a character without a piece."""
-        out: list[list[int]] = [[]] * len(texts)
+    def viterbi(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """(position, piece ids) of all marked chunks, in any order; -1 in place of a character without a piece."""
         lengths = np.array([len(t) for t in texts])
         for n in np.unique(lengths):
             rows = np.flatnonzero(lengths == n)
@@ -141,9 +154,7 @@ class Encoder:
             for at in range(0, len(rows), width):
                 part = rows[at:at + width]
                 codes = self.coded("".join(texts[k] for k in part)).reshape(len(part), n)
-                for k, ids in zip(part, self._block(codes)):
-                    out[k] = ids
-        return out
+                yield from zip(part.tolist(), self._block(codes))
 
     def _block(self, codes: np.ndarray) -> list[list[int]]:
         rows, n = codes.shape
@@ -218,42 +229,59 @@ def marked(text: str) -> str:
     return START + text.replace(START, _LITERAL).replace(" ", START) if text else ""
 
 
-def encode(docs: DataFrame, vocab: list[tuple[str, float]], text: str = "text", into: str = "ids") -> DataFrame:
-    """The documents with the piece ids (positions in ``vocab``) of a text column."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, Encoder(vocab)))
-    fields = docs.schema
+class _Numbers(dict):
+    """Chunks by number; a new chunk gets the next one."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = k = len(self)
+        return k
+
+
+def _encoding(shared, text: str, into: str):
+    """A function of record batches that appends the piece ids; a batch comes back in slices of about 8 * ``_SLICE`` characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, encoder = shared.value
-        known: dict[str, bytes] = {}
-
-        def ids_of(texts: list[str]) -> list[bytes]:
-            split = [encoder.chunks.findall(t) if encoder.chunks else [t] * bool(t) for t in texts]
-            need = set().union(*split)
-            new = [c for c in need if c not in known]
-            if len(known) + len(new) > CACHED_CHUNKS:
+        numbers, known = _Numbers(), []  # the ids of chunk k as bytes are known[k]
+
+        def ids_of(split: list[np.ndarray]) -> list[bytes]:
+            new = list(islice(numbers, len(known), None))
+            known.extend([b""] * len(new))
+            first = len(known) - len(new)
+            for k, ids in encoder.viterbi(new):
+                known[first + k] = encoder.spelt(new[k], ids, vocab)
+            out = [b"".join(map(known.__getitem__, s.tolist())) for s in split]
+            if len(known) > CACHED_CHUNKS:
+                numbers.clear()
                 known.clear()
-                new = list(need)
-            for c, ids in zip(new, encoder.viterbi(new)):
-                known[c] = encoder.spelt(c, ids, vocab)
-            return [b"".join(map(known.__getitem__, s)) for s in split]
+            return out
 
         for b in batches:
-            out, todo, size = [], [], 0
-            column = b.column(text)
+            column, split, size, first = b.column(text), [], 0, 0
             for r in range(b.num_rows):
-                t = column[r].as_py()
-                todo.append(t or "")
-                size += len(todo[-1])
+                t = column[r].as_py() or ""
+                split.append(np.concatenate([np.zeros(0, np.int32), *[np.fromiter(map(numbers.__getitem__, c), np.int32, len(c)) for c in encoder.split(marked(t))]]))
+                size += len(t)
                 if size > 8 * _SLICE or r == b.num_rows - 1:
-                    out += ids_of([marked(t) for t in todo])
-                    todo, size = [], 0
-            flat = pa.array(np.frombuffer(b"".join(out), dtype="<i4"))
-            offsets = np.r_[0, np.cumsum([len(x) // 4 for x in out])].astype(np.int32)
-            starts = pa.array([None if i < b.num_rows and not column[i].is_valid else int(o) for i, o in enumerate(offsets)], pa.int32())
-            lists = pa.ListArray.from_arrays(starts, flat)
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, into])
+                    out, part = ids_of(split), b.slice(first, r + 1 - first)
+                    flat = pa.array(np.frombuffer(b"".join(out), dtype="<i4"))
+                    offsets = np.r_[0, np.cumsum([len(x) // 4 for x in out])].astype(np.int32)
+                    missing = np.r_[part.column(text).is_null().to_numpy(zero_copy_only=False), False]
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, mask=missing), flat)
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*b.schema.names, into])
+                    split, size, first = [], 0, r + 1
+
+    return run
+
 
+def _shared_encoder(spark: SparkSession, vocab: list[tuple[str, float]]):
+    return spark.sparkContext.broadcast((vocab, Encoder(vocab)))
+
+
+def encode(docs: DataFrame, vocab: list[tuple[str, float]], text: str = "text", into: str = "ids") -> DataFrame:
+    """The documents with the piece ids (positions in ``vocab``) of a text column."""
+    fields = docs.schema
+    run = _encoding(_shared_encoder(docs.sparkSession, vocab), text, into)
     return docs.mapInArrow(run, type(fields)(list(fields) + [type(fields[0])(into, _array())]))
 
 
@@ -263,32 +291,51 @@ def _array():
     return ArrayType(IntegerType())
 
 
-def decode(rows: DataFrame, vocab: list[tuple[str, float]], ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """The rows with the text that a column of piece ids stands for."""
-    table = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(START, " ").encode() for p, _ in vocab]
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+def _spellings(vocab: list[tuple[str, float]]) -> list[bytes]:
+    """The UTF-8 bytes that every piece stands for."""
+    return [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(START, " ").encode() for p, _ in vocab]
 
-    @F.pandas_udf("string")
-    def text(column):
-        table = shared.value
 
-        def one(x):
-            if x is None:
-                return None
-            raw = b"".join([table[k] for k in x if k is not None and 0 <= k < len(table)])
-            return raw[raw[:1] == b" ":].decode("utf-8", "replace")
+def _texts(table: list[bytes], lists: pa.ListArray) -> list[str | None]:
+    """The texts that lists of piece ids stand for."""
+    def one(ids: list[int | None] | None) -> str | None:
+        if ids is None:
+            return None
+        raw = b"".join([table[k] for k in ids if k is not None and 0 <= k < len(table)])
+        return raw[raw[:1] == b" ":].decode("utf-8", "replace")
 
-        return column.map(one)
+    return [one(x.as_py() if x.values is None or x.values.null_count else x.values.to_numpy().tolist()) for x in lists]
+
+
+def decode(rows: DataFrame, vocab: list[tuple[str, float]], ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """The rows with the text that a column of piece ids stands for."""
+    shared = rows.sparkSession.sparkContext.broadcast(_spellings(vocab))
+
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        return pa.array(_texts(shared.value, column), pa.string())
 
     return rows.withColumn(into, text(ids))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, n_bytes (byte pieces), ids_hash, same (does decoding give the text back) of every document."""
+    """doc_id, n_pieces, n_bytes (byte pieces), ids_hash, same (does decoding give the text back) of every document.
+
+    Texts are encoded and decoded in one Python worker a task; only ids and the comparison leave it.
+    """
     vocab = vocabulary(path)
     vocab = list(zip([p for p, _ in vocab], initial_weights(vocab).tolist()))
     spelt = [k for k, (p, _) in enumerate(vocab) if _BYTE.fullmatch(p)]
-    out = decode(encode(docs.select("doc_id", "text"), vocab), vocab)
+    encoded = _encoding(_shared_encoder(docs.sparkSession, vocab), "text", "ids")
+    shared = docs.sparkSession.sparkContext.broadcast(_spellings(vocab))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in encoded(batches):
+            same = [was.as_py() == t for was, t in zip(b.column("text"), _texts(shared.value, b.column("ids")))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(same, pa.bool_())], names=["doc_id", "ids", "same"])
+
+    docs = docs.select("doc_id", "text")
+    key, fields = docs.schema["doc_id"], type(docs.schema)
+    out = docs.mapInArrow(run, fields([key]).add("ids", _array()).add("same", "boolean"))
     n_bytes = F.size(F.filter("ids", lambda x: (x >= min(spelt)) & (x <= max(spelt))))
-    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), n_bytes.cast("long").alias("n_bytes"), F.xxhash64("ids").alias("ids_hash"),
-                      F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), n_bytes.cast("long").alias("n_bytes"), F.xxhash64("ids").alias("ids_hash"), "same")

@@ -1,7 +1,9 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from barloom.llm import pieces
@@ -79,3 +81,26 @@ def test_query_form(spark):
     docs = spark.createDataFrame([(1, None), (None, "ä b"), (2, ""), (2, "")], "doc_id long, text string")
     assert all(r.same for r in pieces.round_trip(docs, PATH).collect())
     assert pieces.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_a_round_trip_takes_one_python_worker_a_task(spark):
+    plan = pieces.round_trip(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_long_batches_are_held_in_slices(vocab, monkeypatch):
+    """Chunks are kept as numbers, a slice at a time; cut texts give the ids of whole ones."""
+    shared = SimpleNamespace(value=(vocab, pieces.Encoder(vocab)))
+    rnd = random.Random(8)
+    words = ["the", "of", "naïve", "日本", "▁", "\n", " ", "tokens"]
+    texts = [" ".join(rnd.choices(words, k=60_000)), None, "", *[" ".join(rnd.choices(words, k=50)) for _ in range(20)], " ".join(rnd.choices(words, k=60_000))]
+    batch = pa.record_batch({"text": texts, "n": list(range(len(texts)))})
+    run = pieces._encoding(shared, "text", "ids")
+    whole = pa.Table.from_batches(run(iter([batch])))
+    monkeypatch.setattr(pieces, "_SLICE", 1000)
+    monkeypatch.setattr(pieces, "CACHED_CHUNKS", 5)
+    parts = list(run(iter([batch])))
+    assert pa.Table.from_batches(parts).equals(whole) and len(parts) == 2
+    assert pieces._texts(pieces._spellings(vocab), whole["ids"].combine_chunks()) == texts
+    held = ["".join(c) for c in shared.value[1].split(pieces.marked(texts[0]))]
+    assert "".join(held) == pieces.marked(texts[0]) and max(map(len, held)) < 1100
