@@ -1,6 +1,9 @@
 import random
+import re
 import time
 
+from pyspark.sql import functions as F
+
 from barloom.llm import lines
 
 SCHEMA = "doc_id long, text string, h string, line int"
@@ -85,3 +88,25 @@ def test_clashing_columns_are_kept(spark):
     out = lines.drop_boilerplate(docs)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect())) == [(i, t.split("\n")[0], *range(len(names))) for i, t in enumerate(texts)]
+
+
+def test_masking_takes_the_same_fields_in_less_time(spark):
+    rest = random.Random(4)
+    spelt = "(?<![^ \\t-\\r])[^ \\t-\\r0-9]*+[0-9][^ \\t-\\r]*+"
+    odd = ["".join(rest.choices(" \t\n\x0b\x0c\r\x1c\x85\u00a0\u2003\u0663a9é漢🙂-", k=40)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    for r in df.select("text", lines._masked(F.col("text")).alias("m")).collect():
+        assert r.m == re.sub("[ \t\x0b-\r]+", " ", re.sub("[^ \t-\r]*[0-9][^ \t-\r]*", "<*>", r.text))
+    words = " ".join("".join(rest.choices("abcdefghij", k=rest.randint(1, 12))) for _ in range(20_000))
+    long = spark.createDataFrame([(words + str(i % 2),) for i in range(40)], "text string").repartition(1).localCheckpoint()
+
+    def seconds(c):
+        took = []
+        for _ in range(3):
+            start = time.time()
+            long.agg(F.sum(F.length(c))).collect()
+            took.append(time.time() - start)
+        return min(took)
+
+    plain = F.regexp_replace(F.regexp_replace("text", spelt, "<*>"), "[ \\t\\x0B-\\r]++", " ")
+    assert seconds(lines._masked(F.col("text"))) < 0.8 * seconds(plain)
