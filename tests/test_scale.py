@@ -1,11 +1,13 @@
 """Plans that must keep their tasks small on large tables."""
 
+import timeit
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from barloom.functions import core, expr, section, stats
-from barloom.operators import evaluate, factor, model, signals
+from barloom.operators import boosting, evaluate, factor, model, signals
 from barloom.operators import panel as pn
 
 
@@ -62,3 +64,31 @@ def test_oof_metrics_counts_copies(spark):
     assert abs(got["hit_rate"] - 2 / 3) < 1e-12 and abs(got["rmse"] - ((plain["p"] - plain["y"]) ** 2).mean() ** 0.5) < 1e-12
     empty = model.oof_metrics(df.limit(0), "y").first()
     assert (empty["n_folds"], empty["n"], empty["rmse"], empty["rank_ic"]) == (0, 0, None, None)
+
+
+def test_scores_by_look_up_are_those_of_the_walk():
+    rnd = np.random.default_rng(3)
+    x = np.round(rnd.normal(size=(4, 6000)), 2)
+    y, at = x[0] * x[1] + np.sin(3 * x[2]), np.round(rnd.normal(size=(4, 5000)), 2)
+    at[:, :3] = [[np.inf, -np.inf, 0.0]] * 4
+    for depth in (1, 3, 5, 6, 7):
+        trees = boosting.Trees(list("abcd"), {0: boosting._grow(x, y, 60, 0.05, depth)}, depth)
+
+        def walk():
+            return sum((value[boosting._leaf(at, feature, cut, depth)] for feature, cut, value, *_ in trees.models[0]), np.zeros(at.shape[1]))
+
+        score = trees.scorer(0)
+        assert (score(at) == walk()).all()
+        if depth == 5:
+            assert min(timeit.repeat(lambda: score(at), number=3)) < 0.6 * min(timeit.repeat(walk, number=3))
+
+
+def test_rows_in_no_sample_meet_no_group(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 10).alias("g"))
+    groups = [(k, F.col("g") <= k, 2000 * (k + 1)) for k in range(10)]
+    out = boosting.sampled(df, groups, ["id"], 100)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "Filter" in plan[plan.index("Generate"):]
+    draw = {r["id"]: r["d"] for r in df.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("d")).collect()}
+    want = {(i, k) for i in range(20_000) for k, _, n in groups if i % 10 <= k and draw[i] < int((1 << 31) * 100 / n)}
+    assert {(r["id"], r["model"]) for r in out.collect()} == want and len(want) > 300
