@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from barloom.functions.core import SERIES, Axis, or_zero, ratio
 from barloom.functions import section
-from barloom.functions.section import with_stats
 from barloom.operators.portfolio import top_n
 from barloom.session import materialize
 
@@ -236,11 +235,12 @@ def trailing_stop(h: DataFrame, limits: RiskLimits = LIMITS, on: Axis = SERIES)
         "new_weight", F.when(F.col("stopped"), F.lit(0.0)).otherwise(w))
 
 
-def position_limits(h: DataFrame, limits: RiskLimits = LIMITS, weight: str = "weight") -> DataFrame:
-    """Add ``new_weight``: clipped to the single limit, and zero outside the largest positions."""
+def position_limits(h: DataFrame, limits: RiskLimits = LIMITS, weight: str = "weight", stored: bool = False) -> DataFrame:
+    """Add ``new_weight``: clipped to the single limit, and zero outside the largest positions, whose keys are written once if ``stored``."""
     clipped = h.withColumn("_w", F.least(F.col(weight), F.lit(limits.max_single_position)))
     kept = top_n(clipped.where("_w > 0").select("trade_date", "ts_code", "_w"), "_w", limits.max_positions, ["trade_date"])
     marks = kept.select("trade_date", "ts_code", F.lit(True).alias("_kept"))
+    marks = materialize(marks, "risk-positions") if stored else marks
     marks = F.broadcast(marks) if limits.max_positions <= BROADCAST_POSITIONS else marks  # at most so many rows per date
     return clipped.join(marks, ["trade_date", "ts_code"], "left").withColumn(
         "new_weight", F.when(F.col("_kept") | (F.col("_w") <= 0), F.col("_w")).otherwise(0.0)).drop("_w", "_kept")
@@ -279,11 +279,12 @@ def top3_cap(h: DataFrame, limits: RiskLimits = LIMITS) -> DataFrame:
     return rows.withColumn("new_weight", F.col("weight") * scale)
 
 
-def normalize(h: DataFrame, limits: RiskLimits = LIMITS) -> DataFrame:
-    """Add ``new_weight``: scaled to sum 1, then clipped and cut to the largest positions again."""
-    rows = with_stats(h, ["trade_date"], _sum=F.sum("weight"))
+def normalize(h: DataFrame, limits: RiskLimits = LIMITS, stored: bool = False) -> DataFrame:
+    """Add ``new_weight``: scaled to sum 1, then clipped and cut to the largest positions again; ``stored`` writes the sums and the positions' keys once."""
+    sums = h.groupBy("trade_date").agg(F.sum("weight").alias("_sum"))
+    rows = h.join(F.broadcast(materialize(sums, "risk-sums") if stored else sums), ["trade_date"], "left")
     scaled = rows.withColumn("_scaled", F.when(F.col("_sum") > 0, ratio("weight", "_sum")).otherwise(F.col("weight")))
-    return position_limits(scaled, limits, "_scaled").drop("_sum", "_scaled")
+    return position_limits(scaled, limits, "_scaled", stored).drop("_sum", "_scaled")
 
 
 @dataclass(frozen=True)
@@ -326,9 +327,13 @@ def chain(h: DataFrame, curve: DataFrame, limits: RiskLimits = LIMITS) -> DataFr
     ts_code, industry, weight, ret), ``curve`` (trade_date, nav).
 
     Rules that need sums take them from partial aggregates joined back, so no date gathers; these tables hold one row per date, date and
-    industry, or kept position, and are broadcast, so the rows are dealt by security once and not again; the rows are written out where a step reads
-    them twice, which keeps the plan from doubling at every step.
+    industry, or kept position, and are broadcast, so the rows are dealt by security once and not again. The rows are written once, after the rules that
+    need their order, and then only the small tables: every later step reads the rows again and derives its weights from these, which costs no
+    shuffle and no second copy of the rows, and keeps the plan from doubling. Only where more positions are kept than are broadcast, rows are written at each step.
     """
+    def settled(rows: DataFrame) -> DataFrame:
+        return rows if limits.max_positions <= BROADCAST_POSITIONS else materialize(rows, "risk-chain")
+
     hit = (or_zero(F.col("ret")) <= limits.stop_loss_single) & (F.col("weight") > 0)
     rows = h.select("trade_date", "ts_code", "industry", F.col("weight").cast("double").alias("weight"), "ret", hit.alias("stop_loss_single")).withColumn(
         "cut", F.when(F.col("stop_loss_single"), 0.0).otherwise(F.col("weight")))
@@ -336,21 +341,20 @@ def chain(h: DataFrame, curve: DataFrame, limits: RiskLimits = LIMITS) -> DataFr
     rows = trailing_stop(rows, limits).withColumnsRenamed({"stopped": "trailing_stop", "weight": "_before"}).withColumn("weight", F.col("new_weight"))
     rows = materialize(rows.drop("new_weight", "_before", "peak_weight", "cut", "left", "ret"), "risk-chain")
 
-    rows = position_limits(rows, limits)
-    rows = rows.withColumn("position_limit", F.col("new_weight") != F.col("weight")).drop("weight").withColumnRenamed("new_weight", "weight")
-    rows = materialize(rows, "risk-chain")
+    rows = position_limits(rows, limits, stored=True)
+    rows = settled(rows.withColumn("position_limit", F.col("new_weight") != F.col("weight")).drop("weight").withColumnRenamed("new_weight", "weight"))
 
     sectors = materialize(sector_weights(rows), "risk-sectors")
-    three = top_n(sectors, "sector_weight", 3, ["trade_date"], tie="industry").groupBy("trade_date").agg(F.sum("sector_weight").alias("top3"))
+    three = materialize(top_n(sectors, "sector_weight", 3, ["trade_date"], tie="industry").groupBy("trade_date").agg(F.sum("sector_weight").alias("top3")), "risk-sectors")
     rows = rows.join(F.broadcast(sectors), ["trade_date", "industry"], "left").join(F.broadcast(three), "trade_date", "left").withColumns({
         "sector_limit": F.coalesce(F.col("sector_weight") > limits.max_sector_position, F.lit(False)),
         "sector_concentration": F.coalesce(F.col("top3") > limits.max_top3_sector, F.lit(False))})
     scaled = F.when(F.col("sector_limit"), ratio(F.lit(limits.max_sector_position), "sector_weight")).otherwise(1.0) * F.when(
         F.col("sector_concentration"), ratio(F.lit(limits.max_top3_sector), "top3")).otherwise(1.0)
-    rows = materialize(rows.withColumn("weight", F.col("weight") * scaled).drop("sector_weight", "top3"), "risk-chain")
+    rows = settled(rows.withColumn("weight", F.col("weight") * scaled).drop("sector_weight", "top3"))
 
     names = [F.when(F.col(rule.name), F.lit(rule.name)) for rule in CHAIN]
-    return normalize(rows, limits).select("trade_date", "ts_code", F.col("given").alias("weight"), "new_weight", F.concat_ws(",", *names).alias("fired"))
+    return normalize(rows, limits, stored=True).select("trade_date", "ts_code", F.col("given").alias("weight"), "new_weight", F.concat_ws(",", *names).alias("fired"))
 
 
 def factor_exposure(h: DataFrame, factors: list[str], limits: RiskLimits = LIMITS) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions import series
 from barloom.operators import portfolio, risk
 from barloom.plans.base import query
-from barloom.plans.portfolio_queries import curve_of
+from barloom.plans.portfolio_queries import N, curve_of
 from barloom.plans.research_queries import factor_frame, holdings, weighted
 from barloom.plans.tables import TABLES
+from barloom.session import materialize
 from barloom.sources.panel_tables import returns, stored_returns
 
 KEY = "trade_date:d ts_code"
@@ -269,8 +271,10 @@ _CHAIN = f"""{_STREAK},
 
 
 def chained(spark, folder):
-    r = stored_returns(spark, folder, industry=True)
-    return risk.chain(weighted(r), curve_of(spark, folder, r), TIGHT)
+    # the curve's signal comes from the pass that finds the returns, so its series are not dealt again
+    r = returns(spark, folder, industry=True).withColumns({"signal": series.pct_change("close", 5)})
+    r = materialize(r.select("trade_date", "ts_code", "industry", "amount", "ret", "signal"), "returns")
+    return risk.chain(weighted(r), portfolio.backtest(r, r.select("trade_date", "ts_code", "signal"), N), TIGHT)
 
 
 @query("risk_chain", KEY + " weight:6 new_weight:6 fired", uses="pnl holdings curve", sql=_CHAIN + "SELECT * FROM ch")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import section
 from barloom.operators import evaluate, risk
+from barloom.session import materialize
 
 
 def _plan(df):
@@ -39,3 +40,20 @@ def test_market_beta_broadcasts_the_market(panel):
     out = evaluate.market_beta(stock, market, 2)
     assert "strategy=broadcast" in _plan(out)
     assert [r["beta"] if r["beta"] is None else round(r["beta"], 9) for r in out.orderBy("trade_date").collect()] == [None, 1.0, 1.0]
+
+
+def test_the_chain_writes_its_rows_once(spark, monkeypatch):
+    written = []
+
+    def noted(df, name):
+        written.append((name, df.columns))
+        return materialize(df, name)
+
+    monkeypatch.setattr(risk, "materialize", noted)
+    rows = [(f"2024-01-0{d}", c, i, w, r) for d in (1, 2) for c, i, w, r in [("A", "x", 0.5, -0.2), ("B", "x", 0.3, 0.1), ("C", "y", 0.2, 0.0)]]
+    h = spark.createDataFrame(rows, "trade_date string, ts_code string, industry string, weight double, ret double").withColumn("trade_date", F.to_date("trade_date"))
+    curve = h.select("trade_date", F.lit(1.0).alias("nav")).distinct()
+    few = risk.chain(h, curve, risk.RiskLimits(max_positions=2)).orderBy("trade_date", "ts_code").collect()
+    assert [n for n, c in written if "given" in c] == ["risk-chain"]
+    monkeypatch.setattr(risk, "BROADCAST_POSITIONS", 1)
+    assert risk.chain(h, curve, risk.RiskLimits(max_positions=2)).orderBy("trade_date", "ts_code").collect() == few
