@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.core import or_zero, pairs, pearson, ratio
@@ -94,21 +97,90 @@ def filter_by_ic(df: DataFrame, factors: list[str], ret: str, min_abs_ic: float
     return strong.withColumn("ic", F.round("ic", 6)).orderBy(F.abs("ic").desc(), "factor")
 
 
+_PART = "left string, right string, n double, mx double, my double, xx double, yy double, xy double, odd double"
+
+
+def _merged(one: tuple, two: tuple) -> tuple:
+    """Counts, means, centred squares and products, and odd pairs of two sets of rows, each [i, j] over the rows that have both i and j."""
+    n1, m1, q1, p1, o1 = one
+    n2, m2, q2, p2, o2 = two
+    n, off = n1 + n2, m2 - m1
+    share = n2 / np.maximum(n, 1)
+    return n, m1 + off * share, q1 + q2 + off * off * n1 * share, p1 + p2 + off * off.T * n1 * share, o1 + o2
+
+
+def _batch_moments(batch: pa.RecordBatch) -> tuple:
+    x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+    there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+    usable = np.isfinite(x)
+    odd, known = (there & ~usable).astype(float), there.astype(float)
+    centre = np.zeros((len(x), 1))
+    for i, u in enumerate(usable):
+        v = x[i, u]
+        if v.size:
+            centre[i] = np.partition(v, v.size // 2)[v.size // 2]
+    # a value that occurs, near the middle: constants become exactly 0, and single huge values do not spoil the others' digits
+    d, m = np.where(usable, x, centre) - centre, usable.astype(float)
+    n, s = m @ m.T, d @ m.T
+    mean = s / np.maximum(n, 1)
+    odds = odd @ known.T
+    return n, np.where(n > 0, centre + mean, 0.0), (d * d) @ m.T - s * mean, d @ d.T - s * mean.T, odds + odds.T
+
+
+def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(left, right, n, xx, yy, xy, odd) for every two columns and for every column with itself, over the rows that have both: their number, sums of
+    squares and products about the means, and the number of rows (not in ``n``) where a value is NaN or infinite.
+
+    A task adds its rows up by a few matrix products per Arrow batch and sends one row per pair. As one aggregate per figure the pairs make a
+    buffer of hundreds of numbers, and its update for every row took most of a selection's time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = _batch_moments(batch)
+                total = part if total is None else _merged(total, part)
+        if total is not None:
+            n, mean, squares, products, odd = total
+            at = [(i, j) for i in range(len(columns)) for j in range(i, len(columns)) if n[i, j] + odd[i, j] > 0]
+            rows = [(columns[i], columns[j], n[i, j], mean[i, j], mean[j, i], squares[i, j], squares[j, i], products[i, j], odd[i, j]) for i, j in at]
+            names = ["left", "right", "n", "mx", "my", "xx", "yy", "xy", "odd"]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, map(lambda v: v if isinstance(v, str) else float(v), r))) for r in rows], schema=pa.schema(
+                [(c, pa.string() if c in ("left", "right") else pa.float64()) for c in names]))
+
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, _PART)
+    pair = Window.partitionBy("left", "right")  # one row per task
+    for c in ("mx", "my"):
+        base = F.min(F.when(F.col("n") > 0, F.col(c))).over(pair)
+        parts = parts.withColumn(f"_{c}", F.col(c) - base - ratio(F.sum(F.col("n") * (F.col(c) - base)).over(pair), F.sum("n").over(pair)))
+    off_x, off_y, n = or_zero(F.col("_mx")), or_zero(F.col("_my")), F.col("n")
+    return parts.groupBy("left", "right").agg(
+        F.sum("n").cast("long").alias("n"), F.sum(F.col("xx") + n * off_x * off_x).alias("xx"), F.sum(F.col("yy") + n * off_y * off_y).alias("yy"),
+        F.sum(F.col("xy") + n * off_x * off_y).alias("xy"), F.sum("odd").cast("long").alias("odd"))
+
+
+def _correlation() -> Column:
+    """Of a row of ``pair_moments``: NULL without variance, NaN if a value is NaN or infinite."""
+    return F.when(F.col("odd") > 0, F.lit(float("nan"))).otherwise(ratio(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")))
+
+
 def corr_matrix(df: DataFrame, factors: list[str], method: str = "pearson") -> DataFrame:
     """(left, right, corr) for every pair of factors, over the rows that have both.
 
-    Pearson takes one pass for all pairs. For Spearman the complete rows of all pairs become rows of one table of distinct values with
+    Pearson takes one pass for all pairs (``pair_moments``). For Spearman the complete rows of all pairs become rows of one table of distinct values with
     counts, so that two rankings (one for each side) serve all of them.
     """
     both = list(combinations(factors, 2))
+    pair = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in both]
+    if not pair:
+        return df.sparkSession.createDataFrame([], "left string, right string, corr double")
+    names = df.sparkSession.range(1).select(F.inline(F.array(*pair)))  # a pair without complete rows has a NULL
     if method == "pearson":
-        aggs = [pearson(a, b).alias(f"c{i}_corr") for i, (a, b) in enumerate(both)]
-        return _rows(df.agg(*aggs), [({"left": a, "right": b}, f"c{i}") for i, (a, b) in enumerate(both)], ["corr"])
+        return names.join(pair_moments(df, factors).select("left", "right", _correlation().alias("corr")), ["left", "right"], "left")
     cells = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")) for a, b in both))
     counted = value_pairs(df.select(F.inline(cells)), ["left", "right"], F.col("_a"), F.col("_b"))
     found = pair_correlations(counted, ["left", "right"], FINE).select("left", "right", F.col("spearman").alias("corr"))
-    pair = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in both]
-    names = df.sparkSession.range(1).select(F.inline(F.array(*pair)))  # a pair without complete rows has a NULL
     return names.join(found, ["left", "right"], "left")
 
 
@@ -126,17 +198,18 @@ def spreads(df: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def _numbers(df: DataFrame, factors: list[str], ret: str | None = None) -> dict:
-    """All that a selection asks, by one job and one row: the spread of each factor, the correlation of each pair and, with
+    """All that a selection asks, by one job and one row per pair: the spread of each factor, the correlation of each pair and, with
     ``ret``, each factor's IC (also rounded) and number of pairs."""
-    aggs = [F.stddev_samp(f).alias(f"s{i}") for i, f in enumerate(factors)]
-    aggs += [pearson(factors[i], factors[j]).alias(f"r{i}_{j}") for i, j in combinations(range(len(factors)), 2)]
-    if ret is not None:
-        aggs += [a for i, f in enumerate(factors) for a in (pearson(f, ret).alias(f"ic{i}"), F.round(pearson(f, ret), 6).alias(f"near{i}"), pairs(f, ret).alias(f"n{i}"))]
-    row = df.agg(*aggs).first()
-    out = {"std": {f: row[f"s{i}"] or 0.0 for i, f in enumerate(factors)},
-           "corr": {frozenset((factors[i], factors[j])): row[f"r{i}_{j}"] for i, j in combinations(range(len(factors)), 2)}}
+    columns = list(dict.fromkeys([*factors, *([] if ret is None else [ret])]))
+    spread = F.when(F.col("odd") > 0, F.lit(float("nan"))).otherwise(F.sqrt(ratio(F.col("xx"), F.col("n") - 1)))
+    rows = pair_moments(df, columns).select(
+        "left", "right", (F.col("n") + F.col("odd")).alias("n"), spread.alias("std"), _correlation().alias("corr"), F.round(_correlation(), 6).alias("near"))
+    found = {frozenset((r["left"], r["right"])): r for r in rows.collect()}
+    at = lambda a, b, name: found[key][name] if (key := frozenset((a, b))) in found else None
+    out = {"std": {f: at(f, f, "std") or 0.0 for f in factors},
+           "corr": {frozenset(pair): at(*pair, "corr") for pair in combinations(factors, 2)}}
     if ret is not None:
-        out["ic"] = {f: (row[f"ic{i}"], row[f"near{i}"], row[f"n{i}"]) for i, f in enumerate(factors)}
+        out["ic"] = {f: (at(f, ret, "corr"), at(f, ret, "near"), at(f, ret, "n") or 0) for f in factors}
     return out
 
 

@@ -4,6 +4,7 @@ import timeit
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import core, expr, section, stats
@@ -45,6 +46,34 @@ def test_rank_correlations_join_distinct_pairs_only(spark):
     assert abs(got.first()["corr"] - want) < 1e-12
 
 
+def test_pair_moments_are_those_of_the_rows_that_have_both(spark):
+    """Figures of all pairs come from one narrow row per pair and task, not from an aggregate of hundreds of numbers."""
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(3000, 4)) @ rnd.normal(size=(4, 4)) + [1e7, 0, 100, 0]
+    frame = pd.DataFrame(x, columns=list("abcd")).assign(flat=0.1, once=[4.0] + [None] * 2999, odd=[float("nan"), float("inf")] + [1.0, 2.0] * 1499)
+    frame.loc[rnd.random(3000) < 0.3, "b"] = None
+    frame.loc[0, ["a", "b"]] = [1e15, None]  # no part of the pairs of b
+    data = [tuple(None if pd.isna(v) and c != "odd" else float(v) for c, v in zip(frame.columns, r)) for r in frame.itertuples(index=False)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} double" for c in frame)).repartition(7)
+    names = list(frame.columns)
+    plan = factor.corr_matrix(df, names)
+    got = {(r["left"], r["right"]): r["corr"] for r in plan.collect()}
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            if "odd" in (a, b) and "once" not in (a, b):
+                assert np.isnan(got[a, b])
+            elif {"flat", "once"} & {a, b}:
+                assert got[a, b] is None or "odd" in (a, b)
+            else:
+                both = frame[[a, b]].dropna().astype(float)
+                assert got[a, b] == pytest.approx(np.corrcoef((both - both.median()).T)[0, 1], abs=1e-9)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("covar") == 0 and len(got) == 21
+    found = factor._numbers(df, names, "d")
+    assert found["std"]["flat"] == found["std"]["once"] == 0.0 and np.isnan(found["std"]["odd"])
+    assert found["std"]["c"] == pytest.approx(frame["c"].std(), rel=1e-12) and found["ic"]["b"][2] == frame["b"].count() and found["ic"]["odd"][2] == 3000
+    assert factor.corr_matrix(df.limit(0), ["a", "b"]).collect() == [("a", "b", None)] and factor.corr_matrix(df, ["a"]).collect() == []
+
+
 def test_pair_correlations_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, 1.0, 2.0), (1, 2.0, 4.0), (1, 4.0, 5.0), (1, nan, 1.0), (1, inf, 1.0), (1, None, 3.0), (2, 0.1, 1.0), (2, 0.1, 2.0), (2, 0.1, 3.0), (3, 1.0, 1.0)]
