@@ -1,5 +1,6 @@
 """Plans that must keep their tasks small on large tables."""
 
+import datetime as dt
 import timeit
 
 import numpy as np
@@ -121,3 +122,17 @@ def test_rows_in_no_sample_meet_no_group(spark):
     draw = {r["id"]: r["d"] for r in df.select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("d")).collect()}
     want = {(i, k) for i in range(20_000) for k, _, n in groups if i % 10 <= k and draw[i] < int((1 << 31) * 100 / n)}
     assert {(r["id"], r["model"]) for r in out.collect()} == want and len(want) > 300
+
+
+def test_series_bars_are_the_bars_dealt_once(spark):
+    """Also with securities summed ahead of the exchange; the factors need no exchange behind it."""
+    from barloom.plans.research_queries import factor_frame
+    from barloom.sources.panel_tables import bars, series_bars
+
+    folder = "/root/testdata/sf0.001"
+    want = sorted(bars(spark, folder).withColumn("amount", F.round("amount", 6)).collect())
+    for hot_rows in (0, 600, 10 ** 6):
+        got = series_bars(spark, folder, hot_rows).withColumn("amount", F.round("amount", 6)).select(*bars(spark, folder).columns)
+        assert sorted(got.collect()) == want and len(want) > 1000
+    plan = factor_frame(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
