@@ -136,3 +136,13 @@ def test_series_bars_are_the_bars_dealt_once(spark):
         assert sorted(got.collect()) == want and len(want) > 1000
     plan = factor_frame(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_walk_forward_scores_rows_where_they_lie(spark):
+    start = dt.date(2024, 1, 1)
+    rows = [(start + dt.timedelta(days=d), f"S{c}", float((d * 7 + c) % 11), float((d * 3 + c * c) % 7) / 100) for d in range(60) for c in range(12)]
+    df = spark.createDataFrame(rows, "trade_date date, ts_code string, x double, y double")
+    plan = model.WalkForward(min_train_days=20, step_days=10, tile=True)
+    predictions, _ = model.walk_forward(df, ["x"], "y", plan, rounds=3, depth=2)
+    assert "Exchange hashpartitioning(trade_date" not in predictions._jdf.queryExecution().executedPlan().toString()
+    assert predictions.count() == predictions.dropDuplicates(["trade_date", "ts_code"]).count() == 12 * sum(d > 25 for d in range(60))
