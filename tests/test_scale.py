@@ -146,3 +146,15 @@ def test_walk_forward_scores_rows_where_they_lie(spark):
     predictions, _ = model.walk_forward(df, ["x"], "y", plan, rounds=3, depth=2)
     assert "Exchange hashpartitioning(trade_date" not in predictions._jdf.queryExecution().executedPlan().toString()
     assert predictions.count() == predictions.dropDuplicates(["trade_date", "ts_code"]).count() == 12 * sum(d > 25 for d in range(60))
+
+
+def test_leaves_of_growing_are_those_of_the_walk():
+    rnd = np.random.default_rng(6)
+    x = np.round(rnd.normal(size=(3, 4000)), 1)
+    y = np.where(x[0] > 1, 5.0, x[1] * x[2])
+    edges = [boosting._edges(row) for row in x]
+    bins = np.stack([np.searchsorted(e, row) for e, row in zip(edges, x)])
+    for depth in (1, 4, 8):  # some nodes are not split
+        feature, cut, value, gains, at = boosting._tree(bins, edges, y, depth, 1.0)
+        assert (at == boosting._leaf(x, feature, cut, depth)).all() and len(set(at.tolist())) > 1
+        assert all(value[k] == pytest.approx(y[at == k].mean(), abs=1e-9) for k in set(at.tolist()))
