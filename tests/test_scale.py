@@ -1,6 +1,7 @@
 """Plans that must keep their tasks small on large tables."""
 
 import datetime as dt
+import os
 import timeit
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions import core, expr, section, stats
 from barloom.operators import boosting, evaluate, factor, model, signals
 from barloom.operators import panel as pn
+from barloom.plans import catalogue
 
 
 def test_series_sorts_spread_over_partitions(panel):
@@ -113,6 +115,33 @@ def test_scores_by_look_up_are_those_of_the_walk():
             assert min(timeit.repeat(lambda: score(at), number=3)) < 0.6 * min(timeit.repeat(walk, number=3))
 
 
+def test_scores_by_cells_are_those_of_the_walk():
+    rnd = np.random.default_rng(5)
+    for n_features in (1, 2, 3, 4, 5):
+        x = np.round(rnd.normal(size=(n_features, 6000)), 2)
+        y, at = np.sin(3 * x[0]) * x[-1] + x.sum(axis=0), np.round(rnd.normal(size=(n_features, 10_000)), 2)
+        at[:, :3] = [[np.inf, -np.inf, 0.0]] * n_features
+        rounds = boosting._grow(x, y, 60, 0.05, 5)
+        looked_up = boosting._lookup(rounds, n_features, 5)
+        cells = boosting._cells(*looked_up, boosting._CELLS)
+        walk = sum((value[boosting._leaf(at, feature, cut, 5)] for feature, cut, value, *_ in rounds), np.zeros(at.shape[1]))
+        assert len(cells) == len(rounds) and (boosting._cell_scores(at, looked_up[0], cells) == walk).all()
+        assert boosting._cells(*looked_up, sum(value.size for _, value in cells) - 1) is None  # no room: bit sets
+        assert (boosting.Trees([""] * n_features, {0: rounds}, 5).scorer(0)(at) == walk).all()
+    bits = timeit.repeat(lambda: boosting._scores(at, *looked_up), number=3)
+    assert min(timeit.repeat(lambda: boosting._cell_scores(at, looked_up[0], cells), number=3)) < 0.8 * min(bits)
+
+
+def test_scores_are_not_written_before_they_are_read(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    for name in ("score_factors", "score_rows"):
+        rows = catalogue()[name].run(spark, folder)
+        assert not any("scores-" in f for f in rows.inputFiles())
+        assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_rows_in_no_sample_meet_no_group(spark):
     df = spark.range(20_000).select("id", (F.col("id") % 10).alias("g"))
     groups = [(k, F.col("g") <= k, 2000 * (k + 1)) for k in range(10)]
