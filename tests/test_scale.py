@@ -187,3 +187,46 @@ def test_leaves_of_growing_are_those_of_the_walk():
         feature, cut, value, gains, at = boosting._tree(bins, edges, y, depth, 1.0)
         assert (at == boosting._leaf(x, feature, cut, depth)).all() and len(set(at.tolist())) > 1
         assert all(value[k] == pytest.approx(y[at == k].mean(), abs=1e-9) for k in set(at.tolist()))
+
+
+def test_models_are_those_of_all_rows_whatever_the_partitioning(spark):
+    rnd, start, rows = np.random.default_rng(1), dt.date(2024, 1, 1), []
+    for d in range(40):
+        for c in range(60):
+            a, b = float(rnd.integers(1, 30)), float(rnd.integers(-8, 9))
+            rows.append((start + dt.timedelta(days=d), f"S{c:02d}", a, b, np.sin(a) + b / 5 + rnd.normal()))
+    rows = [(*r[:4], float(r[4])) for r in rows]
+    kind, ends, key = "trade_date date, ts_code string, a double, b double, y double", {7: rows[15 * 60][0], 9: rows[27 * 60][0], 11: None}, ["trade_date", "ts_code"]
+    first, second = (boosting.fit_upto(df, ends, ["a", "b"], "y", key, rounds=20) for df in (
+        spark.createDataFrame(rows, kind).repartition(5), spark.createDataFrame(rows[::-1], kind).repartition(3, "ts_code")))
+    for model_no, end in ends.items():
+        own = np.array([r[2:] for r in rows if end is None or r[0] <= end]).T
+        want = boosting._grow(own[:2], own[2], 20, boosting.RATE, boosting.DEPTH)
+        assert len(want) == len(first.models[model_no])
+        for w, g, h in zip(want, first.models[model_no], second.models[model_no]):
+            assert (w[0] == g[0]).all() and (w[1] == g[1]).all() and np.allclose(w[2], g[2], atol=1e-12)
+            assert all(np.array_equal(a, b) for a, b in zip(g, h))
+
+
+def test_a_model_of_many_rows_takes_them_all(spark):
+    n = 300_000
+    df = spark.range(n, numPartitions=3).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 1000).cast("int")).alias("trade_date"), F.format_string("%06d", "id").alias("ts_code"),
+        (F.col("id") % 97).cast("double").alias("x"), F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("double").alias("y"))
+    trees = model.train_trees(df, ["x"], "y", rounds=2)
+    total = df.where(F.col("ts_code") < f"{n * 4 // 5:06d}").agg(F.sum("y")).first()[0]
+    assert trees.models[0][0][2][0] == total / (n * 4 // 5)  # the mean of the first four fifths
+
+
+def test_edges_are_at_most_an_eighth_of_a_bin_off(spark):
+    rnd = np.random.default_rng(2)
+    x = np.stack([rnd.normal(size=20_000) ** 3, 108 + rnd.normal(size=20_000) / 1e6, np.where(rnd.random(20_000) < 0.5, 0.0, rnd.random(20_000)), np.zeros(20_000)])
+    df = spark.createDataFrame(pd.DataFrame(x.T, columns=list("abcd"))).withColumn("_segment", F.lit(0))
+    edges, = boosting._edges_of(df, list("abcd"), 1)
+    for own, e in zip(x, edges):
+        own = np.sort(own)
+        for q in range(1, 64):
+            at = e[np.searchsorted(e, own[int((own.size - 1) * q / 64)])]
+            first, behind = np.searchsorted(own, at), np.searchsorted(own, at, side="right")
+            assert first - own.size / 512 - 1 <= (own.size - 1) * q / 64 <= behind
+    assert edges[3].tolist() == [0.0]
