@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import series, stats
-from barloom.functions.core import ratio
+from barloom.functions.core import SERIES, ratio
 from barloom.operators import panel, portfolio
 from barloom.plans.base import query
 from barloom.plans.function_queries import rolled, strict
 from barloom.plans.tables import TABLES
-from barloom.sources.panel_tables import bars, returns, stored_returns
+from barloom.sources.panel_tables import BY_SUPPLIER, bars, returns, series_bars, stored_returns
 
 KEY = "trade_date:d ts_code"
 ORDERED = "PARTITION BY ts_code ORDER BY trade_date"
@@ -247,10 +247,10 @@ TABLES["composite"] = ("composite_parts", f"""
     SELECT trade_date, ts_code, {_RANKED.format(c='volume_ratio')} - {_RANKED.format(c='mom20')} - {_RANKED.format(c='vola20')} AS signal FROM composite_parts""")
 
 
-def composite_factors(r):
-    return r.select("trade_date", "ts_code", series.pct_change("close", 20).alias("mom20"),
-                    F.coalesce(ratio(stats.std("close", 20), "close"), F.lit(0.0)).alias("vola20"),
-                    F.coalesce(ratio("vol", stats.mean("vol", 20)), F.lit(0.0)).alias("volume_ratio"))
+def composite_factors(r, on=SERIES):
+    return r.select("trade_date", "ts_code", series.pct_change("close", 20, on).alias("mom20"),
+                    F.coalesce(ratio(stats.std("close", 20, on), "close"), F.lit(0.0)).alias("vola20"),
+                    F.coalesce(ratio("vol", stats.mean("vol", 20, on)), F.lit(0.0)).alias("volume_ratio"))
 
 
 def composite(factors):
@@ -259,7 +259,7 @@ def composite(factors):
 
 @query("composite_signal", KEY + " signal:6", uses="composite", sql="SELECT * FROM composite")
 def composite_signal(spark, folder):
-    return composite(composite_factors(bars(spark, folder)))
+    return composite(composite_factors(series_bars(spark, folder), BY_SUPPLIER))
 
 
 _FLAGSHIP_TABLES = {  # the weights-to-curve chain again, on the composite signal

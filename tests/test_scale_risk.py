@@ -1,5 +1,6 @@
 """Risk and ranking plans that must read their input once and leave large tables where they are."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from barloom.functions import section
@@ -57,3 +58,18 @@ def test_the_chain_writes_its_rows_once(spark, monkeypatch):
     assert [n for n, c in written if "given" in c] == ["risk-chain"]
     monkeypatch.setattr(risk, "BROADCAST_POSITIONS", 1)
     assert risk.chain(h, curve, risk.RiskLimits(max_positions=2)).orderBy("trade_date", "ts_code").collect() == few
+
+
+def test_rank_sum_deals_small_sections_once_and_slices_hot_ones(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(d, f"{i:03d}", v, float((i * 7) % 5) if i % 9 else None) for d, n in (("a", 300), ("b", 20), (None, 30)) for i in range(n)
+            for v in [nan if i % 11 == 3 else inf if i % 11 == 4 else float(i % 13)]]
+    df = spark.createDataFrame(rows, "trade_date string, ts_code string, a double, b double")
+    got = [sorted((str(r[0]), r[1], r[2] if r[2] is None else round(r[2], 12)) for r in section.rank_sum(df, {"a": 1.0, "b": -1.0}, "s", hot_rows=h).collect()) for h in (0, 25, 1000)]
+    frame = pd.DataFrame(rows, columns=["d", "c", "a", "b"]).replace([inf], nan)
+    ranks = frame.groupby("d", dropna=False)[["a", "b"]].rank(pct=True)
+    want = sorted((str(d), c, None if v != v else round(v, 12)) for d, c, v in zip([r[0] for r in rows], frame["c"], ranks["a"] - ranks["b"]))
+    assert [g for g in got[2] if g[0] != "None"] == [w for w in want if w[0] != "None"] and got[2] == want
+    assert [g for g in got[1] if g[0] != "None"] == [w for w in want if w[0] != "None"]
+    plan = section.rank_sum(df, {"a": 1.0, "b": -1.0}, "s")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
