@@ -73,3 +73,46 @@ def test_rank_sum_deals_small_sections_once_and_slices_hot_ones(spark):
     assert [g for g in got[1] if g[0] != "None"] == [w for w in want if w[0] != "None"]
     plan = section.rank_sum(df, {"a": 1.0, "b": -1.0}, "s")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_summary_deals_rows_once_with_all_horizons(spark, monkeypatch):
+    written = []
+
+    def noted(df, name):
+        written.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name)
+
+    monkeypatch.setattr(evaluate, "materialize", noted)
+    # one date holds all rows, and half of them one factor value
+    rows = [("d", f"{i:04d}", 1.0 if i % 2 else float(i), float(i % 17), None if i % 5 == 0 else float(i % 3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "trade_date string, ts_code string, x double, near double, far double")
+    got = {(r["method"], r["horizon"]): r["ic_mean"] for r in evaluate.ic_summary(df, "x", ["near", "far"]).collect()}
+    frame = pd.DataFrame(rows, columns=["d", "c", "x", "near", "far"])
+    for h in ("near", "far"):
+        known = frame.dropna(subset=[h])
+        assert abs(got["pearson", h] - known["x"].corr(known[h])) < 2e-6 and abs(got["spearman", h] - known["x"].rank().corr(known[h].rank())) < 2e-6
+    (name, plan), = written
+    assert name == "pairs" and plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange") > plan.index("Generate")
+
+
+def test_evaluation_queries_deal_raw_rows_by_security_only(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from barloom.plans import research_queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    written = []
+
+    def noted(df, name):
+        written.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(evaluate, "materialize", noted)
+    for build in (research_queries.evaluate_summary, research_queries.factor_verdict):
+        written.clear()
+        build(spark, folder)
+        assert written[0].count("Exchange hashpartitioning") == 2  # raw rows by security, dated rows by value
